@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from mediatally.functions.let import let
+
 # Query parameters that change per request and do not identify the media.
 VOLATILE_PARAMS = ["_t", "_ts", "token", "expire", "expires", "sign", "signature", "auth_key"]
 # Fixed value: title of media whose URL gives none.
@@ -13,37 +15,42 @@ _WEB = (
     r"^((?i:https?|wss?|ftp))://([^/?#@\s]*@)?(\[[^\]\s]*\]|[^/?#:@\s]+)(?::(\d*))?(?=[/?#]|$)"
     r"(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 )
-_OTHER_SCHEME = r"^(?!(?i:https?|wss?|ftp):)[A-Za-z][A-Za-z0-9+.\-]*:"
+_HOST = r"^(?i:https?|wss?|ftp)://(?:[^/?#@\s]*@)?(\[[^\]\s]*\]|[^/?#:@\s]+)(?::\d*)?(?=[/?#]|$)"
+_PATH = r"^(?:(?i:https?|wss?|ftp)://[^/?#\s]+|(?!(?i:https?|wss?|ftp):)[A-Za-z][A-Za-z0-9+.\-]*:)([^?#]*)"
 _ANY_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # https://host/path with nothing left to canonicalise
-_PLAIN = r"^https?://[a-z0-9.\-]+/[^\s]*$"
+_PLAIN = r"^https?://[a-z0-9.\-]+/(?!\.)(?:[^\s/]|/(?!\.))*$"
+_CUT = "\n"
+
+
+def _match(url: Column, pattern: str, group: int) -> Column:
+    """A group of an anchored pattern in one pass; NULL when the text does not match."""
+    return F.get(F.regexp_extract_all(url, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
-def _web(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _WEB, group)
+def _web_parts(url: Column) -> Column:
+    """[scheme, userinfo@, host, port, path, ?query, #fragment] in one pass; NULL when not a web URL."""
+    groups = _CUT.join(f"${i}" for i in range(1, 8))
+    return let(F.split(F.regexp_replace(url, _WEB, groups), _CUT), lambda p: F.when(F.size(p) == 7, p))
 
 
 def is_web_url(url: Column) -> Column:
-    return url.rlike(_WEB)
+    return url.rlike(_HOST)
 
 
 def is_url(url: Column) -> Column:
     """An absolute URL of any scheme."""
-    return url.rlike(_WEB) | url.rlike(_OTHER_SCHEME)
+    return url.rlike(_PATH)
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host, NULL when the URL is not valid or has none."""
-    return F.nullif(F.lower(_web(url, 3)), F.lit(""))
+    return F.lower(_match(url, _HOST, 1))
 
 
 def path_of(url: Column) -> Column:
-    """Path part; `/` for a bare host, the opaque part for other schemes, NULL when not a URL."""
-    web_path = _web(url, 5)
-    return (
-        F.when(is_web_url(url), F.when(web_path == "", F.lit("/")).otherwise(web_path))
-        .when(url.rlike(_OTHER_SCHEME), F.regexp_extract(url, r"^[^:]*:([^?#]*)", 1))
-    )
+    """Path part, the opaque part for schemes other than web ones, NULL when not a URL."""
+    return _match(url, _PATH, 1)
 
 
 def _resolve_dots(path: Column) -> Column:
@@ -60,28 +67,27 @@ def _resolve_dots(path: Column) -> Column:
     return F.regexp_replace(F.concat(F.array_join(kept, "/"), tail), r"^/{0,1}", "/")
 
 
-def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, default port dropped, empty path as `/`, dot segments resolved."""
-    scheme, port, path = F.lower(_web(url, 1)), _web(url, 4), _web(url, 5)
+def _rebuilt(p: Column) -> Column:
+    scheme, port, path = F.lower(p[0]), p[3], p[4]
     default_port = (
         (port == "")
         | (scheme.isin("http", "ws") & (port == "80"))
         | (scheme.isin("https", "wss") & (port == "443"))
         | ((scheme == "ftp") & (port == "21"))
     )
-    rebuilt = F.concat(
-        scheme, F.lit("://"), _web(url, 2), F.lower(_web(url, 3)),
+    return F.concat(
+        scheme, F.lit("://"), p[1], F.lower(p[2]),
         F.when(default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
         F.when(path == "", F.lit("/")).when(path.contains("/."), _resolve_dots(path)).otherwise(path),
-        _web(url, 6), _web(url, 7),
-    )
-    return (
-        F.when(url.rlike(_PLAIN) & ~url.contains("/."), url)
-        .when(is_web_url(url), rebuilt)
-        .otherwise(url)
+        p[5], p[6],
     )
 
 
+def canonical_url(url: Column) -> Column:
+    """Lower-case scheme and host, default port dropped, empty path as `/`, dot segments resolved."""
+    return F.when(url.rlike(_PLAIN), url).otherwise(F.coalesce(let(_web_parts(url), _rebuilt), url))
+
+
 def _form_encode(text: Column) -> Column:
     decoded = F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
     return F.url_encode(decoded)
@@ -103,25 +109,33 @@ def _without_params(url: Column, names: list[str]) -> Column:
         lambda p: F.concat(
             _form_encode(F.substring_index(p, "=", 1)),
             F.lit("="),
-            _form_encode(F.when(p.contains("="), F.regexp_replace(p, r"^[^=]*=", "")).otherwise(F.lit(""))),
+            _form_encode(F.regexp_replace(p, r"^[^=]*=?", "")),
         ),
     )
-    joined = F.array_join(pairs, "&")
-    return F.concat(
-        F.regexp_extract(url, r"^([^?#]*)", 1),
-        F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined)),
-        F.regexp_extract(url, r"(#.*)$", 1),
-    )
+    joined = F.regexp_replace(F.concat(F.lit("?"), F.array_join(pairs, "&")), r"^\?$", "")
+    return F.concat(F.regexp_extract(url, r"^([^?#]*)", 1), joined, F.regexp_extract(url, r"(#.*)?$", 1))
 
 
 def normalize_url(url: Column) -> Column:
-    """Canonical URL without volatile parameters; text that is not a URL stays unchanged."""
+    """Canonical URL without volatile parameters; text that is not a URL stays unchanged.
+
+    Most URLs pass the first two tests and are copied. A query is written anew only when a volatile
+    parameter leaves it.
+    """
     names = "|".join(VOLATILE_PARAMS)
     may_hold = url.rlike(rf"(?i)[?&](?:{names}|[^=&#]*%[^=&#]*)(?:=|&|#|$)")
+
+    def stripped(u: Column) -> Column:
+        query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+        listed = F.array(*[F.lit(n) for n in VOLATILE_PARAMS])
+        volatile = F.exists(F.split(query, "&"), lambda p: F.array_contains(
+            listed, F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.lit("")))))
+        return F.when(volatile, _without_params(u, VOLATILE_PARAMS)).otherwise(u)
+
     return (
-        F.when(~is_web_url(url), url)
-        .when(may_hold, canonical_url(_without_params(url, VOLATILE_PARAMS)))
-        .otherwise(canonical_url(url))
+        F.when(~may_hold, canonical_url(url))
+        .when(is_web_url(url), let(stripped(url), canonical_url))
+        .otherwise(url)
     )
 
 
@@ -159,50 +173,37 @@ def last_path_name(url: Column) -> Column:
 
 def title_from_url(url: Column) -> Column:
     """Name in the last path part (100 characters at most), else the host, else a fixed title."""
-    named = F.when(
-        is_url(url),
-        F.coalesce(F.nullif(F.left(last_path_name(url), F.lit(100)), F.lit("")),
-                   F.when(last_path_name(url).isNotNull(), host_of(url))),
-    )
+    named = let(last_path_name(url), lambda n: F.when(n != "", F.left(n, F.lit(100))).when(n == "", host_of(url)))
     return F.coalesce(named, F.lit(UNTITLED))
 
 
 def ext_from_url(url: Column) -> Column:
     """Text after the last dot of the path, lower case."""
-    path = F.coalesce(path_of(url), without_query(url))
-    return F.lower(F.regexp_extract(path, r"([^.]*)$", 1))
+    return let(F.coalesce(path_of(url), without_query(url)), lambda path: F.lower(F.regexp_extract(path, r"([^.]*)$", 1)))
 
 
 def resolve_url(base: Column, rel: Column) -> Column:
     """`rel` against `base`; absolute, scheme-relative, root-relative and relative forms."""
-    origin = F.concat(F.lower(_web(base, 1)), F.lit("://"), _web(base, 2), F.lower(_web(base, 3)),
-                      F.when(_web(base, 4) == "", F.lit("")).otherwise(F.concat(F.lit(":"), _web(base, 4))))
-    bare = F.regexp_replace(base, r"[?#].*$", "")
+    origin = F.regexp_replace(base, r"^([^:/?#]+://[^/?#]*).*$", "$1")
+    folder = F.regexp_replace(base, r"^([^:/?#]+://[^/?#]*)(?:((?:/[^/?#]*)*)/[^/?#]*)?(?:[?#].*)?$", "$1$2/")
     joined = (
-        F.when(rel == "", F.regexp_replace(base, r"#.*$", ""))
-        .when(rel.startswith("//"), F.concat(_web(base, 1), F.lit(":"), rel))
+        F.when(rel.rlike(_ANY_SCHEME), rel)
+        .when(rel == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(rel.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), rel))
         .when(rel.startswith("/"), F.concat(origin, rel))
-        .when(rel.startswith("?"), F.concat(bare, rel))
+        .when(rel.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), rel))
         .when(rel.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), rel))
-        .otherwise(F.concat(F.regexp_replace(F.when(_web(base, 5) == "", F.concat(origin, F.lit("/"))).otherwise(bare),
-                                             r"[^/]*$", ""), rel))
-    )
-    return (
-        F.when(rel.rlike(_ANY_SCHEME), canonical_url(rel))
-        .when(is_web_url(base), canonical_url(joined))
-        .otherwise(rel)
+        .otherwise(F.concat(folder, rel))
     )
+    return F.when(rel.rlike(_ANY_SCHEME) | is_web_url(base), let(joined, canonical_url)).otherwise(rel)
 
 
 def sanitize_url(url: Column) -> Column:
     """Host and the first three path parts, the rest masked."""
-    parts = F.slice(F.filter(F.split(path_of(url), "/"), lambda p: p != ""), 1, 3)
-    shown = F.array_join(parts, "/")
-    return F.when(
-        is_url(url),
-        F.concat(F.coalesce(host_of(url), F.lit("")), F.lit("/"), shown,
-                 F.when(shown == "", F.lit("")).otherwise(F.lit("/")), F.lit("***")),
-    ).otherwise(F.lit("(非法地址)"))
+    shown = let(path_of(url), lambda path: F.array_join(
+        F.transform(F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, 3), lambda p: F.concat(p, F.lit("/"))), ""))
+    masked = F.concat(F.coalesce(host_of(url), F.lit("")), F.lit("/"), shown, F.lit("***"))
+    return F.coalesce(masked, F.lit("(非法地址)"))
 
 
 def sanitize_path(path: Column) -> Column:
@@ -216,25 +217,29 @@ def credentials_note(present: Column) -> Column:
     return F.when(present, F.lit("已附凭证")).otherwise(F.lit("无凭证"))
 
 
-def parse_track_url(url: Column) -> Column:
-    """Single-file track URLs (`/dir/base-n-codec.ext`) as a struct, NULL for any other URL."""
-    # Fixed value: shape of a single-file track path.
-    shape = r"(?i)/([^/]+)/([^/]*?)-(\d+)-(\d+)\.(m4s|mp4|ts)$"
-    path = F.when(is_url(url), path_of(url))
-    codec = F.regexp_extract(path, shape, 4).try_cast("bigint")
-    group = F.concat(F.regexp_extract(path, shape, 1), F.lit("/"), F.regexp_extract(path, shape, 2))
-    site = F.coalesce(host_of(url), F.lit(""))
-    key = F.concat(F.regexp_replace(site, r"^[^.]+\.", ""), F.lit("|"), group, F.lit("|"), codec.cast("string"))
-    return F.when(
-        path.rlike(shape) & codec.isNotNull(),
-        F.struct(key.alias("key"), site.alias("site_key"), group.alias("group_id"), codec.alias("codec_id"),
-                 classify_track(codec).alias("track_type")),
-    )
+# Fixed value: shape of a single-file track URL, `/dir/base-n-codec.ext` at the end of the path.
+_TRACK = (
+    r"(?i)^[a-z][a-z0-9+.\-]*:(?://(?:[^/?#@\s]*@)?([^/?#:\s]*)(?::\d*)?)?[^?#]*/([^/?#]+)/([^/?#]*?)-(\d+)-(\d{1,18})\.(?:m4s|mp4|ts)(?:[?#].*)?$"
+)
 
 
 def is_track_url(url: Column) -> Column:
-    """Whether `parse_track_url` would give a track; cheap text test on the part before the query."""
-    return F.coalesce(F.regexp_replace(url, r"[?#].*$", "").rlike(r"(?i):.*/[^/]+/[^/]*-\d+-\d{1,18}\.(m4s|mp4|ts)$"), F.lit(False))
+    """Whether `parse_track_url` would give a track."""
+    return F.coalesce(url.rlike(_TRACK), F.lit(False))
+
+
+def parse_track_url(url: Column) -> Column:
+    """A single-file track URL as a struct, NULL for any other URL."""
+
+    def read(p: Column) -> Column:
+        site, group, codec = F.lower(p[0]), F.concat(p[1], F.lit("/"), p[2]), p[3].cast("bigint")
+        key = F.concat(F.regexp_replace(site, r"^[^.]+\.", ""), F.lit("|"), group, F.lit("|"), codec.cast("string"))
+        return F.when(F.size(p) == 4, F.struct(
+            key.alias("key"), site.alias("site_key"), group.alias("group_id"), codec.alias("codec_id"),
+            classify_track(codec).alias("track_type")))
+
+    groups = _CUT.join(f"${i}" for i in (1, 2, 3, 5))
+    return F.when(is_track_url(url), let(F.split(F.regexp_replace(url, _TRACK, groups), _CUT), read))
 
 
 def classify_track(codec: Column) -> Column:

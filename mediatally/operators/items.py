@@ -21,20 +21,19 @@ def merge_items(hints: DataFrame, *, session: list[str], tie: str = "request_id"
     first = F.struct("ts_ms", tie)
     df = hints.withColumn("kind", media.classify_hint(F.col("url"), F.col("mime"))).filter("kind <> 'segment'")
     df = df.withColumn("dedup_key", urls.normalize_url(F.col("url")))
-    has_title = "page_title" in hints.columns
-    title = F.coalesce(F.nullif(text.clean_title(F.col("page_title")), F.lit("")) if has_title else F.lit(None),
-                       urls.title_from_url(F.col("url")))
-    title = F.when(F.col("kind") == "manifest", urls.title_from_url(F.col("url"))).otherwise(title)
+    page_title = F.col("page_title") if "page_title" in hints.columns else F.lit(None).cast("string")
     merged = df.groupBy(*session, "dedup_key").agg(
         F.min("ts_ms").alias("detected_ms"),
-        F.min_by(F.struct("url", "mime", "kind", title.alias("title")), first).alias("_f"),
+        F.min_by(F.struct("url", "mime", "kind", page_title.alias("page_title")), first).alias("_f"),
         F.min_by("size", F.when(F.col("size") > 0, first)).alias("size_estimate"),
         F.count(F.lit(1)).alias("hint_count"),
     )
     kind = F.col("_f.kind")
+    shown = F.when(kind != "manifest", F.nullif(text.clean_title(F.col("_f.page_title")), F.lit("")))
+    title = F.coalesce(shown, urls.title_from_url(F.col("_f.url")))
     return merged.select(
         *session, "dedup_key", text.hash_key(F.col("dedup_key")).alias("item_id"), "detected_ms",
-        F.col("_f.url").alias("master_url"), F.col("_f.title").alias("title"),
+        F.col("_f.url").alias("master_url"), title.alias("title"),
         media.media_type(F.col("_f.url"), F.col("_f.mime")).alias("media_type"),
         F.when(kind == "manifest", media.manifest_protocol(F.col("_f.url"), F.col("_f.mime")))
         .otherwise(F.lit("progressive")).alias("protocol"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -163,7 +163,7 @@ FROM {customer}""",
 _REF = re.compile(r"\{(\w+)\}")
 
 
-def _deps(name: str) -> list[str]:
+def deps(name: str) -> list[str]:
     return [ref for ref in dict.fromkeys(_REF.findall(RECIPES[name])) if ref not in _DIALECT["spark"]]
 
 
@@ -171,10 +171,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one, as a lazy DataFrame."""
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return derived(spark, name, {dep: table(spark, sf_dir, dep) for dep in deps(name)})
+
+
+def derived(spark: SparkSession, name: str, inputs: dict[str, DataFrame]) -> DataFrame:
+    """A recipe over given inputs. The row is rebuilt by `inline`, so that its columns are values as in a
+    stored table: without it the optimizer copies the recipe's long CASE texts into every later expression."""
     sql = RECIPES[name]
     for marker, text in _DIALECT["spark"].items():
         sql = sql.replace("{" + marker + "}", text)
-    return spark.sql(sql, **{dep: table(spark, sf_dir, dep) for dep in _deps(name)})
+    rows = spark.sql(sql, **inputs)
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
@@ -184,7 +191,7 @@ def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
     def visit(name: str) -> None:
         if name in BASE_TABLES or name in ordered:
             return
-        for dep in _deps(name):
+        for dep in deps(name):
             visit(dep)
         ordered.append(name)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatally.plans.tables import BASE_TABLES, RECIPES, _DIALECT, _deps, table
+from mediatally.plans.tables import BASE_TABLES, deps, derived, table
 from mediatally.session import scratch_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -16,10 +16,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE_TABLES:
         schema = table(spark, sf_dir, name).schema
         return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    sql = RECIPES[name]
-    for marker, text in _DIALECT["spark"].items():
-        sql = sql.replace("{" + marker + "}", text)
-    return spark.sql(sql, **{dep: stream_table(spark, sf_dir, dep) for dep in _deps(name)})
+    return derived(spark, name, {dep: stream_table(spark, sf_dir, dep) for dep in deps(name)})
 
 
 def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
