@@ -219,13 +219,15 @@ def credentials_note(present: Column) -> Column:
 
 # Fixed value: shape of a single-file track URL, `/dir/base-n-codec.ext` at the end of the path.
 _TRACK = (
-    r"(?i)^[a-z][a-z0-9+.\-]*:(?://(?:[^/?#@\s]*@)?([^/?#:\s]*)(?::\d*)?)?[^?#]*/([^/?#]+)/([^/?#]*?)-(\d+)-(\d{1,18})\.(?:m4s|mp4|ts)(?:[?#].*)?$"
+    r"(?i)^[a-z][a-z0-9+.\-]*+:(?://(?:[^/?#@\s]*+@)?([^/?#:\s]*+)(?::\d*+)?)?(?:/[^/?#]*+)*?/([^/?#]+)/([^/?#]*?)-(\d+)-(\d{1,18})\.(?:m4s|mp4|ts)(?:[?#].*)?$"
 )
+# its tail alone, which sorts out nearly all other URLs in one cheap pass
+_TRACK_END = r"(?i)-\d+-\d{1,18}\.(?:m4s|mp4|ts)(?:[?#]|$)"
 
 
 def is_track_url(url: Column) -> Column:
     """Whether `parse_track_url` would give a track."""
-    return F.coalesce(url.rlike(_TRACK), F.lit(False))
+    return F.coalesce(url.rlike(_TRACK_END) & url.rlike(_TRACK), F.lit(False))
 
 
 def parse_track_url(url: Column) -> Column:

@@ -79,8 +79,10 @@ def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: s
     however many rows a key has. A chunk with such a gap ends in the same state whatever came before
     it. A chunk without one is summed up as a step function from its possible first kept time to its
     last. The states are chained over one small row per chunk, and the chunks are then resolved in parallel.
+    Rows with a NULL key or time are left out.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk_ms))
+    # one explicit NULL test, so that every branch below reads the same exchange
+    rows = df.dropna(subset=[*keys, order]).withColumn("_chunk", every(order, chunk_ms))
     chunks = rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(order)).alias("times"))
     times = F.col("times")
     # position after the last inner gap; 0 when the chunk has none
@@ -132,4 +134,4 @@ def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: s
 def dedup_requests(df: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """W1 on requests: one row per tab and URL without its query within a minute."""
     keyed = df.withColumn("url_base", urls.without_query(F.col("url")))
-    return dedup_window(keyed, keys=["tab_id", "url_base"], window_ms=window_ms)
+    return dedup_window(keyed, keys=["tab_id", "url_base"], window_ms=window_ms).drop("url_base")

@@ -205,7 +205,7 @@ def stage_durations(events: DataFrame, width: int = 3_600_000) -> DataFrame:
 
 def progress_samples(attempts: DataFrame, *, keys: list[str], order: list[str], width: int, step: int = 8 * 1024 * 1024) -> DataFrame:
     """R7 in batch: rows at which a task's running bytes cross a multiple of `step`."""
-    scanned = running(attempts, keys=keys, order=order, bucket=F.floor(F.col(order[0]) / width),
+    scanned = running(attempts, keys=keys, order=order, bucket=every(order[0], width),
                       total_bytes=Running("sum", F.col("bytes")))
     crossed = F.floor(F.col("total_bytes") / step) > F.floor((F.col("total_bytes") - F.col("bytes")) / step)
     return scanned.filter(crossed)
@@ -234,7 +234,7 @@ def plan_outputs(tasks: DataFrame, policy: str = "rename", subdir: str = "", exi
         return kept.join(taken, "path", "left_anti").select(*tasks.columns, "path") if taken is not None else kept
     if policy != "rename":
         raise ValueError(f"unknown policy {policy}")
-    ranked = numbered(df, keys=["path"], order=order, bucket=F.floor(F.col(order[0]) / width), name="_n")
+    ranked = numbered(df, keys=["path"], order=order, bucket=every(order[0], width), name="_n")
     shift = F.lit(0)
     if taken is not None:
         ranked = ranked.join(taken.withColumn("_taken", F.lit(1)), "path", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import media, text, urls
-from mediatally.operators.scan import Running, numbered, running
+from mediatally.operators.scan import Running, every, numbered, running
 
 
 def union_hints(network: DataFrame, page: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def await_audio(tracks: DataFrame, *, keys: list[str], width: int, wait_ms: int
     """
     df = tracks.withColumn("_audio_last", (F.col("track_type") == "audio").cast("int"))
     audio = F.when(F.col("track_type") == "audio", F.struct(F.col("ts_ms").alias("ts"), F.col("codec_id").alias("codec")))
-    scanned = running(df, keys=keys, order=["ts_ms", "_audio_last", tie], bucket=F.floor(F.col("ts_ms") / width),
+    scanned = running(df, keys=keys, order=["ts_ms", "_audio_last", tie], bucket=every("ts_ms", width),
                       _next=Running("next", audio))
     near = F.when(F.col("_next.ts") - F.col("ts_ms") <= wait_ms, F.col("_next"))
     return scanned.filter("track_type = 'video'").select(
@@ -162,14 +162,20 @@ def await_audio(tracks: DataFrame, *, keys: list[str], width: int, wait_ms: int
         near["ts"].alias("audio_ts_ms"), near["codec"].alias("audio_codec"), near.isNull().alias("silent"))
 
 
-def session_summary(items: DataFrame, *, by: list[str], rejected: DataFrame | None = None) -> DataFrame:
-    """A1: per session the listed, downloadable, protected, parsing and filtered counts. Protected counts items, not updates."""
-    out = items.groupBy(*by).agg(
+def session_counts(items: DataFrame, *, by: list[str], protocols: list[str] | None = None) -> DataFrame:
+    """Per session the listed, downloadable, protected and parsing counts, and items per protocol when asked for."""
+    return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("item_count"),
         F.count_if(F.col("downloadable") & ~F.col("status").isin("parsing", "hint")).alias("downloadable_count"),
         F.count_if(~F.col("downloadable")).alias("protected_count"),
         F.count_if(F.col("status") == "parsing").alias("parsing_count"),
+        *[F.count_if(F.col("protocol") == p).alias(f"{p}_count") for p in protocols or []],
     )
+
+
+def session_summary(items: DataFrame, *, by: list[str], rejected: DataFrame | None = None) -> DataFrame:
+    """A1: session counts with the number of filtered hints. Protected counts items, not updates."""
+    out = session_counts(items, by=by)
     if rejected is None:
         return out.withColumn("filtered_count", F.lit(0).cast("bigint"))
     dropped = rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("filtered_count"))
@@ -242,14 +248,14 @@ def sort_items(items: DataFrame, field: str, descending: bool, *, tie: str) -> D
 
 def cap_list(items: DataFrame, n: int = 200, *, session: list[str], order: list[str], width: int) -> DataFrame:
     """The first `n` items of each session are listed, the rest marked folded."""
-    ranked = numbered(items, keys=session, order=order, bucket=F.floor(F.col(order[0]) / width))
+    ranked = numbered(items, keys=session, order=order, bucket=every(order[0], width))
     return ranked.withColumn("folded", F.col("rank") > n)
 
 
 def batch_index(items: DataFrame, *, batch: list[str], order: list[str], width: int) -> DataFrame:
     """1-based number of each downloadable item of a batch; other items are left out."""
     picked = downloadable_only(items)
-    return numbered(picked, keys=batch, order=order, bucket=F.floor(F.col(order[0]) / width), name="batch_index")
+    return numbered(picked, keys=batch, order=order, bucket=every(order[0], width), name="batch_index")
 
 
 def nest_items(variants: DataFrame, *, key: str, order: list[str]) -> DataFrame:

@@ -26,8 +26,8 @@ class Running:
 
 
 def every(column: str, width: int) -> Column:
-    """Bucket number for an integer order column."""
-    return F.floor(F.col(column) / width)
+    """Bucket number for an integer order column; it never decreases along the order."""
+    return F.coalesce(F.expr(f"`{column}` div {width}"), F.lit(0).cast("bigint"))
 
 
 def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, **wanted: Running) -> DataFrame:

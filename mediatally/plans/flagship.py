@@ -6,44 +6,57 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediatally.functions import media, urls
 from mediatally.operators import admission, dedup, items
+from mediatally.session import stage
 from mediatally.sources.requests import normalize_request
 
 SESSION = ["tab_id", "epoch"]
 
 
-def network_hints(requests: DataFrame, cfg: admission.Admission) -> tuple[DataFrame, DataFrame]:
-    """Admitted hints with `reject_reason`, and single-file track requests.
+_LOG = ["request_id", "tab_id", "ts_ms", "method", "status_code", "kind", "url", "content_type", "content_length"]
+_HINT = ["request_id", "tab_id", "ts_ms", "kind", "url", "mime", "size"]
 
-    Track requests leave before the media test. HTTP and domain tests come before the dedup shuffle.
+
+def network_hints(requests: DataFrame, cfg: admission.Admission) -> DataFrame:
+    """Hints with `reject_reason`, and single-file track requests (`is_track`).
+
+    The dedup rule does not look at page loads, so it comes first and runs over the pushed-down scan.
+    What it keeps is staged, and page loads are then counted over kept rows, track requests and load
+    rows only, which gives the same numbers as counting over every request. Track requests leave before
+    the media test and are not deduplicated.
     """
-    staged = dedup.navigation_epoch(requests)
-    http = normalize_request(admission.admit_http(staged.filter("kind = 'http'")))
+    log = requests.select(*_LOG)
+    http = normalize_request(admission.admit_http(log.filter("kind = 'http'")))
     is_track = urls.is_track_url(F.col("url"))
-    tracks = http.filter(is_track)
     seen = http.filter(~is_track & media.looks_like_media(F.col("url"), F.col("mime"), F.col("has_range")))
-    once = dedup.dedup_requests(seen)
-    hosted = once.withColumn("host", urls.host_of(F.col("url"))).filter(F.col("host").isNotNull())
-    admitted = admission.admit_domain(hosted, cfg.domains, cfg.domain_mode)
-    return admission.apply_filters(admitted, cfg), tracks
+    once = dedup.dedup_requests(seen.select(*_HINT))
+    loads = log.filter("kind = 'nav'").select("request_id", "tab_id", "ts_ms", "kind")
+    kept = once.withColumn("is_track", F.lit(False)).unionByName(
+        http.filter(is_track).select(*_HINT, F.lit(True).alias("is_track"))).unionByName(loads, allowMissingColumns=True)
+    placed = dedup.navigation_epoch(stage(kept, "kept-requests")).filter("kind = 'http'")
+    hosted = placed.withColumn("host", urls.host_of(F.col("url"))).filter("host IS NOT NULL")
+    tracks = hosted.filter("is_track")
+    admitted = admission.admit_domain(hosted.filter("NOT is_track"), cfg.domains, cfg.domain_mode)
+    return admission.apply_filters(admitted, cfg).unionByName(tracks, allowMissingColumns=True)
 
 
 def session_media_summary(requests: DataFrame, cfg: admission.Admission = admission.Admission()) -> DataFrame:
-    """The chain from a request log to session counts by protocol."""
-    hints, tracks = network_hints(requests, cfg)
-    accepted = hints.filter("reject_reason IS NULL")
+    """The chain from a request log to session counts by protocol.
+
+    The deduplicated hints are staged: merging, attribution and the filter counts all read them.
+    """
+    hints = stage(network_hints(requests, cfg), "hints")
+    accepted = hints.filter("NOT is_track AND reject_reason IS NULL")
     merged = items.merge_items(accepted, session=SESSION)
     manifests = merged.filter("protocol <> 'progressive'")
     segments = accepted.filter(media.classify_hint(F.col("url"), F.col("mime")) == "segment")
     owned = items.segments_per_manifest(items.attribute_segments(segments, manifests, session=SESSION), session=SESSION)
-    grouped = items.track_items(items.best_tracks(tracks, by=SESSION), session=SESSION)
-    columns = [*SESSION, "dedup_key", "protocol", "status", "downloadable"]
-    listed = (
-        merged.select(*columns).join(owned, [*SESSION, "dedup_key"], "left")
-        .unionByName(grouped.select(*columns), allowMissingColumns=True))
-    by_protocol = listed.groupBy(*SESSION).agg(
-        *[F.count_if(F.col("protocol") == p).alias(f"{p}_count") for p in ("progressive", "hls", "dash")],
-        F.coalesce(F.sum("segment_count"), F.lit(0)).alias("segment_count"))
-    summary = items.session_summary(listed, by=SESSION, rejected=hints.filter("reject_reason IS NOT NULL"))
-    extra = ["progressive_count", "hls_count", "dash_count", "segment_count"]
-    return summary.join(by_protocol, SESSION, "left").select(
-        *summary.columns, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in extra])
+    grouped = items.track_items(items.best_tracks(hints.filter("is_track"), by=SESSION), session=SESSION)
+    listed = merged.select(*SESSION, "protocol", "status", "downloadable").unionByName(
+        grouped.select(*SESSION, "protocol", "status", "downloadable"))
+    counts = items.session_counts(listed, by=SESSION, protocols=["progressive", "hls", "dash"])
+    filtered = hints.filter("reject_reason IS NOT NULL").groupBy(*SESSION).agg(F.count(F.lit(1)).alias("filtered_count"))
+    held = owned.groupBy(*SESSION).agg(F.sum("segment_count").alias("segment_count"))
+    # one shuffle by session for all three parts
+    parts = counts.unionByName(filtered, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
+    measures = [c for c in parts.columns if c not in SESSION]
+    return parts.groupBy(*SESSION).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in measures])
