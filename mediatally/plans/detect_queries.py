@@ -389,6 +389,6 @@ SELECT tab_id, saved_ms FROM saves WHERE (SELECT max(saved_ms) FROM saves) - sav
 def r5(spark, sf):
     # ages are stretched by ten and the limit set to ten minutes, so that the short synthetic log has expired tabs
     last = table(spark, sf, "requests").groupBy("tab_id").agg(F.max("ts_ms").alias("ts"))
-    newest = last.agg(F.max("ts").alias("now"))
-    saves = last.join(newest).select("tab_id", (F.col("ts") * 10 - F.col("now") * 9).alias("saved_ms"), "now")
-    return dedup.live_states(saves, F.col("now"), ttl_ms=600_000).select("tab_id", "saved_ms")
+    now = table(spark, sf, "requests").agg(F.max("ts_ms").alias("now")).scalar()
+    saves = last.select("tab_id", (F.col("ts") * 10 - now * 9).alias("saved_ms"))
+    return dedup.live_states(saves, now, ttl_ms=600_000).select("tab_id", "saved_ms")

@@ -245,6 +245,7 @@ def j10(spark, sf):
     sealed = F.substring(F.aes_encrypt(body, key, F.lit("CBC"), F.lit("PKCS"), iv), F.lit(17), F.lit(2147483647))
     broken = F.encode(F.lit("short"), "UTF-8")
     stored = docs.select("doc_id", F.col("doc_id").alias("segment_index"), F.when(F.col("doc_id") % 7 == 3, broken).when(F.col("doc_id") % 5 == 0, body).otherwise(sealed).alias("content"))
-    keys = docs.filter("doc_id % 5 <> 0 OR doc_id % 7 = 3").select("doc_id", key.alias("key"), F.when(F.col("doc_id") % 2 == 0, F.md5(F.lit("iv"))).alias("iv_hex"))
+    has_key = (F.col("doc_id") % 5 != 0) | (F.col("doc_id") % 7 == 3)
+    keys = docs.select("doc_id", F.when(has_key, key).alias("key"), F.when(F.col("doc_id") % 2 == 0, F.md5(F.lit("iv"))).alias("iv_hex"))
     out = segments.decrypt_segments(stored, keys, by="doc_id")
     return out.select("doc_id", "status", F.decode("plain", "UTF-8").alias("plain_text"))

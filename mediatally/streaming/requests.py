@@ -26,6 +26,13 @@ def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+def closed_window_counts(stream: DataFrame, *, span: str = "10 seconds", watermark: str = "30 seconds") -> DataFrame:
+    """Requests per tab and window. A window is put out once, when the watermark has passed its end;
+    later rows of that window are dropped and counted."""
+    windows = with_event_time(stream, watermark).groupBy("tab_id", F.window("event_time", span).alias("w"))
+    return windows.agg(F.count(F.lit(1)).alias("requests")).select("tab_id", F.unix_millis("w.start").alias("window_ms"), "requests")
+
+
 class _Dedup(StatefulProcessor):
     """Last kept time of a key; dropped once the watermark has passed the window after it."""
 

@@ -7,23 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from mediatally.streaming.requests import with_event_time
 
 
-def coalesce_completions(completions: DataFrame, *, span: str = "2 seconds") -> DataFrame:
-    """Notices per window of completions: three or more give one summary, fewer give one each.
-
-    Works on a batch or, after `with_event_time`, on a stream. Only counts and the two end titles are
-    kept per window, so a burst costs no more than a single completion.
-    """
+def completion_windows(completions: DataFrame, *, span: str = "2 seconds") -> DataFrame:
+    """Completions per window of event time. Only a count and the two end titles are kept, so a burst
+    costs no more than a single completion. Works on a batch and on a stream."""
     windows = completions.groupBy(F.window("event_time", span).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("title").alias("_first"), F.max("title").alias("_last"))
-    notices = F.when(F.col("n") >= 3, F.array(F.concat(F.col("n").cast("string"), F.lit(" 个下载已完成")))).when(
-        F.col("n") == 2, F.array("_first", "_last")).otherwise(F.array("_first"))
-    return windows.select(F.unix_millis(F.col("w.start")).alias("window_ms"), F.col("n").alias("completions"), F.explode(notices).alias("notice"))
+        F.count(F.lit(1)).alias("completions"), F.min("title").alias("first_title"), F.max("title").alias("last_title"))
+    return windows.select(F.unix_millis(F.col("w.start")).alias("window_ms"), "completions", "first_title", "last_title")
+
+
+def completion_notices(windows: DataFrame) -> DataFrame:
+    """Three or more completions of a window give one summary, fewer give one notice each."""
+    summary = F.array(F.concat(F.col("completions").cast("string"), F.lit(" 个下载已完成")))
+    notices = (
+        F.when(F.col("completions") >= 3, summary)
+        .when(F.col("completions") == 2, F.array("first_title", "last_title")).otherwise(F.array("first_title")))
+    return windows.select("window_ms", "completions", F.explode(notices).alias("notice"))
+
+
+def finished_tasks(events: DataFrame) -> DataFrame:
+    """Completions of a stage log, with event time and title."""
+    title = F.concat(F.lit("task-"), F.col("task_id").cast("string"))
+    return events.filter("stage = 'done'").select(F.timestamp_millis("ts_ms").alias("event_time"), title.alias("title"))
 
 
 def stream_completions(events: DataFrame, *, watermark: str = "10 seconds") -> DataFrame:
-    """R8 on a stage log: completions with event time and title."""
-    done = events.filter("stage = 'done'").withColumn("title", F.concat(F.lit("task-"), F.col("task_id").cast("string")))
-    return coalesce_completions(with_event_time(done, watermark))
+    """R8 on a stream, in update mode: the latest row of a window counts."""
+    return completion_windows(finished_tasks(events).withWatermark("event_time", watermark))
 
 
 def stream_task_state(events: DataFrame, *, watermark: str = "10 minutes") -> DataFrame:
