@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import urls
@@ -45,47 +44,88 @@ def _greedy(times: Column, last_kept: Column, window_ms: int) -> Column:
     )
 
 
-def _exits(window_ms: int):
-    """Arrow batches of dense chunks to, per possible first kept time, the last kept time of the chunk."""
+# A stretch of a key's time without an inner gap as a step function: kept first at or before `upto`
+# (and after the step before), it keeps `end` last. Steps lie in time order.
+_STEPS = "array<struct<upto:bigint,end:bigint>>"
+
+
+def _steps(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return [{"upto": int(u), "end": int(e)} for u, e in zip(starts[keep], ends[keep])]
+
+
+def _chunk_steps(window_ms: int):
+    """Batches of chunks (`times`) to their step functions."""
 
     def run(batches):
         for pdf in batches:
-            entries = []
+            out = []
             for times in pdf["times"]:
                 a = np.asarray(times, dtype=np.int64)
                 nxt = np.searchsorted(a, a + window_ms, side="left")
                 last = np.where(nxt < len(a), nxt, np.arange(len(a)))
-                while True:
-                    step = last[last]
-                    if np.array_equal(step, last):
+                while not np.array_equal(last[last], last):
+                    last = last[last]
+                # a first kept time lies within one window of the chunk's first time, or is the next one
+                n = min(int(np.searchsorted(a, a[0] + window_ms, side="left")) + 1, len(a))
+                out.append(_steps(a[:n], a[last[:n]]))
+            yield pdf.drop(columns="times").assign(steps=out)
+
+    return run
+
+
+def _span_steps(window_ms: int):
+    """Batches of spans (`cs`, several chunks without a gap) to the composed step functions."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for cs in pdf["cs"]:
+                chunks = [(c["_first"], c["_latest"], np.array([s["upto"] for s in c["steps"]], dtype=np.int64),
+                           np.array([s["end"] for s in c["steps"]], dtype=np.int64)) for c in cs]
+                starts, ends = [], []
+                for j, (_, _, upto, end) in enumerate(chunks):
+                    if j and chunks[j - 1][1] >= chunks[0][0] + window_ms:
                         break
-                    last = step
-                n_first = min(int(np.searchsorted(a, a[0] + window_ms, side="left")) + 1, len(a))
-                ends = a[last[:n_first]]
-                # one entry per run of equal ends: its last start time stands for the run
-                keep = np.append(ends[1:] != ends[:-1], True)
-                entries.append([{"upto": int(u), "end": int(e)} for u, e in zip(a[:n_first][keep], ends[keep])])
-            yield pd.DataFrame({**{c: pdf[c] for c in pdf.columns if c != "times"}, "exits": entries})
+                    for _, _, u, e in chunks[j + 1:]:
+                        at = np.searchsorted(u, end + window_ms, side="left")
+                        end = np.where(at < len(u), e[np.minimum(at, len(u) - 1)], end)
+                    starts.append(upto)
+                    ends.append(end)
+                out.append(_steps(np.concatenate(starts), np.concatenate(ends)))
+            yield pdf.drop(columns="cs").assign(steps=out)
 
     return run
 
 
-def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: str = "request_id",
-                 window_ms: int = WINDOW_MS, chunk_ms: int = HOUR_MS) -> DataFrame:
-    """Per key, keep a row only when at least `window_ms` passed since the last kept row.
+def _map_steps(df: DataFrame, fn, payload: str) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != payload)
+    return df.mapInPandas(fn, f"{schema}, steps {_STEPS}")
 
-    The rule is sequential, but only along a run of rows without a gap of `window_ms`. Each key's
-    distinct times are collected per chunk of event time, which bounds every array by the chunk length
-    however many rows a key has. A chunk with such a gap ends in the same state whatever came before
-    it. A chunk without one is summed up as a step function from its possible first kept time to its
-    last. The states are chained over one small row per chunk, and the chunks are then resolved in parallel.
-    Rows with a NULL key or time are left out.
-    """
-    # one explicit NULL test, so that every branch below reads the same exchange
-    rows = df.dropna(subset=[*keys, order]).withColumn("_chunk", every(order, chunk_ms))
-    chunks = rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(order)).alias("times"))
+
+def _follow(end: Column, steps: Column, last: Column, window_ms: int) -> Column:
+    """Last kept time after a stretch: its fixed end, or its step for the last time kept before it."""
+    hit = F.get(F.filter(steps, lambda s: last.isNull() | (s["upto"] >= last + window_ms)), F.lit(0))["end"]
+    return F.coalesce(end, hit, last)
+
+
+def _entries(stretches: Column, last: Column, name: str, window_ms: int) -> Column:
+    """For an array of stretches in order, the last time kept before each, as structs (`name`, _entry)."""
+    start = F.struct(last.cast("bigint").alias("last"), F.array().cast(f"array<struct<{name}:bigint,_entry:bigint>>").alias("seen"))
+    return F.aggregate(
+        stretches, start,
+        lambda acc, c: F.struct(
+            _follow(c["_end"], c["steps"], acc["last"], window_ms).alias("last"),
+            F.concat(acc["seen"], F.array(F.struct(c[name].alias(name), acc["last"].alias("_entry")))).alias("seen")),
+        lambda acc: acc["seen"],
+    )
+
+
+def _chunk_states(chunks: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Per chunk its first and last time and how it ends: `_end` when an inner gap fixes that, else `steps`;
+    `_fresh` is the end when nothing was kept shortly before it."""
     times = F.col("times")
-    # position after the last inner gap; 0 when the chunk has none
+    # position after the last inner gap, 0 when the chunk has none
     after_gap = F.aggregate(
         times,
         F.struct(F.lit(0).alias("i"), F.lit(0).alias("cut"), F.lit(None).cast("bigint").alias("prev")),
@@ -96,35 +136,66 @@ def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: s
         ),
         lambda acc: acc["cut"],
     )
-    measured = chunks.select(*keys, "_chunk", "times", after_gap.alias("_cut"))
-    dense = (F.col("_cut") == 0) & (F.size("times") > 1)
+    measured = chunks.select(*keys, "_chunk", "times", after_gap.alias("_cut"),
+                             F.element_at("times", 1).alias("_first"), F.element_at("times", -1).alias("_latest"))
+    long = (F.col("_cut") == 0) & (F.col("_latest") - F.col("_first") >= window_ms)
     tail = F.slice("times", F.col("_cut") + 1, F.size("times"))
-    first = F.element_at("times", 1)
-    # a chunk with an inner gap has one end; a single time is either kept itself or changes nothing
-    plain = measured.filter(~dense).select(
-        *keys, "_chunk",
-        F.when(F.col("_cut") > 0, F.element_at(_greedy(tail, F.lit(None), window_ms), -1)).alias("_end"),
-        F.when(F.col("_cut") == 0, F.array(F.struct(first.alias("upto"), first.alias("end")))).alias("exits"))
-    head = measured.filter(dense).select(*keys, "_chunk", "times")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema.fields if f.name != "times")
-    stepped = (
-        head.mapInPandas(_exits(window_ms), f"{schema}, exits array<struct<upto:bigint,end:bigint>>")
-        .select(*keys, "_chunk", F.lit(None).cast("bigint").alias("_end"), "exits"))
-    states = plain.unionByName(stepped)
-
-    def chain(acc: Column, c: Column) -> Column:
-        earliest = acc["last"] + window_ms
-        hit = F.get(F.filter(c["exits"], lambda e: acc["last"].isNull() | (e["upto"] >= earliest)), 0)["end"]
-        last = F.coalesce(c["_end"], hit, acc["last"])
-        return F.struct(last.alias("last"),
-                        F.concat(acc["seen"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["last"].alias("_entry")))).alias("seen"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"),
-                     F.array().cast("array<struct<_chunk:bigint,_entry:bigint>>").alias("seen"))
-    per_key = states.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_end", "exits"))).alias("cs"))
-    entries = per_key.select(*keys, F.inline(F.aggregate("cs", start, chain, lambda acc: acc["seen"])))
-    kept_times = chunks.join(entries, [*keys, "_chunk"]).select(
-        *keys, "_chunk", F.explode(_greedy(times, F.col("_entry"), window_ms)).alias(order))
+    settled = F.when(F.col("_cut") > 0, F.element_at(_greedy(tail, F.lit(None), window_ms), -1))
+    # shorter than the window: whatever is kept first is also kept last
+    short = F.when(F.col("_cut") == 0, F.transform("times", lambda t: F.struct(t.alias("upto"), t.alias("end"))))
+    columns = [*keys, "_chunk", "_first", "_latest"]
+    plain = measured.filter(~long).select(*columns, settled.alias("_end"), short.alias("steps"))
+    stepped = _map_steps(measured.filter(long).select(*columns, "times"), _chunk_steps(window_ms), "times")
+    states = plain.unionByName(stepped.withColumn("_end", F.lit(None).cast("bigint")))
+    return states.withColumn("_fresh", F.coalesce("_end", F.get("steps", F.lit(0))["end"]))
+
+
+def _span_states(spans: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Per span of chunks (`cs`) its fixed end, or its step function when it has no gap anywhere."""
+    fixed = F.aggregate(
+        "cs",
+        F.struct(F.lit(False).alias("known"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("prev")),
+        lambda acc, c: F.struct(
+            (acc["known"] | c["_end"].isNotNull() | F.coalesce(c["_first"] - acc["prev"] >= window_ms, F.lit(False))).alias("known"),
+            F.when(c["_first"] - acc["prev"] >= window_ms, c["_fresh"])
+            .otherwise(_follow(c["_end"], c["steps"], acc["last"], window_ms)).alias("last"),
+            c["_latest"].alias("prev")),
+        lambda acc: F.when(acc["known"], acc["last"]),
+    )
+    ended = spans.select(*keys, "_span", "cs", fixed.alias("_end"))
+    joined = F.col("_end").isNull() & (F.size("cs") > 1)
+    single = F.when(F.col("_end").isNull(), F.get("cs", F.lit(0))["steps"])
+    plain = ended.filter(~joined).select(*keys, "_span", "_end", single.alias("steps"))
+    composed = _map_steps(ended.filter(joined).select(*keys, "_span", "cs"), _span_steps(window_ms), "cs")
+    return plain.unionByName(composed.withColumn("_end", F.lit(None).cast("bigint")))
+
+
+def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: str = "request_id",
+                 window_ms: int = WINDOW_MS, chunk_ms: int = HOUR_MS, span_chunks: int = 64) -> DataFrame:
+    """Per key, keep a row only when at least `window_ms` passed since the last kept row.
+
+    The rule is sequential, but a gap of `window_ms` makes it start anew. Each key's distinct times are
+    collected per chunk of event time, so an array is bounded by the chunk's length however many rows a
+    key has. A chunk with an inner gap ends in one way; a chunk without is summed up as a step function
+    from its possible first kept times to its last one. Chunks are combined per span of chunks in the
+    same form, and only one such state per span is chained per key. The way back is parallel again:
+    spans hand their entry to their chunks, and every chunk is resolved on its own.
+    Rows with a NULL key or time are left out.
+    """
+    # one explicit NULL test, so that every branch below reads the same exchange
+    rows = df.dropna(subset=[*keys, order]).withColumn("_chunk", every(order, chunk_ms))
+    chunks = rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(order)).alias("times"))
+    state = F.struct("_chunk", "_first", "_latest", "_fresh", "_end", "steps")
+    spans = (
+        _chunk_states(chunks, keys, window_ms).withColumn("_span", every("_chunk", span_chunks))
+        .groupBy(*keys, "_span").agg(F.array_sort(F.collect_list(state)).alias("cs")))
+    per_key = _span_states(spans, keys, window_ms).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_span", "_end", "steps"))).alias("ss"))
+    span_entries = per_key.select(*keys, F.inline(_entries(F.col("ss"), F.lit(None), "_span", window_ms)))
+    chunk_entries = spans.join(span_entries, [*keys, "_span"]).select(
+        *keys, F.inline(_entries(F.col("cs"), F.col("_entry"), "_chunk", window_ms)))
+    kept_times = chunks.join(chunk_entries, [*keys, "_chunk"]).select(
+        *keys, "_chunk", F.explode(_greedy(F.col("times"), F.col("_entry"), window_ms)).alias(order))
     at_kept = rows.join(kept_times, [*keys, "_chunk", order], "left_semi")
     # of several rows at one kept time the first counts
     winner = F.min_by(F.struct(*df.columns), F.col(tie)).alias("_row")

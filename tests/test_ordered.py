@@ -49,9 +49,9 @@ def greedy(rows, window):
     return kept
 
 
-def _dedup_case(spark, rows, window, chunk):
+def _dedup_case(spark, rows, window, chunk, span=3):
     df = spark.createDataFrame(rows, "k string, ts_ms bigint, request_id bigint").repartition(5)
-    got = dedup.dedup_window(df, keys=["k"], window_ms=window, chunk_ms=chunk)
+    got = dedup.dedup_window(df, keys=["k"], window_ms=window, chunk_ms=chunk, span_chunks=span)
     assert {r.request_id for r in got.collect()} == greedy(rows, window)
 
 
@@ -65,7 +65,14 @@ def test_dedup_sparse_dense_and_mixed(spark, seed):
             ts += rng.choice([1, 3, 200]) if key == "mixed" else rng.randrange(0, 2 * gap)
             rows.append((key, ts, rid))
             rid += 1
-    _dedup_case(spark, rows, 60, 300)
+    _dedup_case(spark, rows, 60, 300, span=1 + seed)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dedup_chunks_shorter_than_the_window(spark, seed):
+    rng = random.Random(100 + seed)
+    rows = sorted({(k, t) for k in "ab" for t in (rng.randrange(3000) for _ in range(rng.choice([60, 400])))})
+    _dedup_case(spark, [(k, t, i) for i, (k, t) in enumerate(rows)], 60, rng.choice([10, 25, 59, 61]), span=rng.choice([2, 4, 64]))
 
 
 def test_dedup_one_hot_key_without_gaps(spark):
