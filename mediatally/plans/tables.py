@@ -167,10 +167,25 @@ def deps(name: str) -> list[str]:
     return [ref for ref in dict.fromkeys(_REF.findall(RECIPES[name])) if ref not in _DIALECT["spark"]]
 
 
+# tables whose rows take long to work on: URLs, manifests and pages are read as text
+_WIDE_ROWS = ("events", "documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its files give fewer tasks than there are cores, else unchanged.
+
+    A file with one row group is one task, however much work its rows are. Large tables have more
+    splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one, as a lazy DataFrame."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spread(df) if name in _WIDE_ROWS else df
     return derived(spark, name, {dep: table(spark, sf_dir, dep) for dep in deps(name)})
 
 
