@@ -18,7 +18,7 @@ INLINE_RULES = 500
 class Admission:
     """Settings of the admission step."""
 
-    sniff_type: str = "all"
+    media_type: str = "all"
     min_size_mb: float | None = None
     max_size_mb: float | None = None
     extensions: list[str] = field(default_factory=lambda: list(DEFAULT_EXTENSIONS))
@@ -79,16 +79,16 @@ def admit_domain(df: DataFrame, rules: list[str] | DataFrame, mode: str = "black
     return flagged.filter(keep).drop("listed")
 
 
-def filter_reason(url: Column, mime: Column, size: Column, cfg: Admission) -> Column:
+def filter_reason(url: Column, mime: Column, size: Column, cfg: Admission, kind: Column | None = None) -> Column:
     """the filter that rejects a hint, NULL when it is admitted. Manifests and segments always pass; unknown sizes pass."""
     mb = 1024 * 1024
-    kind = media.classify_hint(url, mime)
+    kind = media.classify_hint(url, mime) if kind is None else kind
     is_audio = media.media_type(url, mime) == "audio"
     ext = F.lower(F.regexp_extract(urls.without_query(url), r"([^.]*)$", 1))
     no_mime = F.coalesce(mime, F.lit("")) == ""
     reason = F.when(~kind.isin("progressive", "blob"), F.lit(None).cast("string"))
-    if cfg.sniff_type in ("video", "audio"):
-        reason = reason.when(is_audio if cfg.sniff_type == "video" else ~is_audio, F.lit("type"))
+    if cfg.media_type in ("video", "audio"):
+        reason = reason.when(is_audio if cfg.media_type == "video" else ~is_audio, F.lit("type"))
     if cfg.min_size_mb is not None:
         reason = reason.when(size < cfg.min_size_mb * mb, F.lit("min_size"))
     if cfg.max_size_mb is not None:
@@ -98,7 +98,8 @@ def filter_reason(url: Column, mime: Column, size: Column, cfg: Admission) -> Co
 
 def apply_filters(df: DataFrame, cfg: Admission) -> DataFrame:
     """`df` with `reject_reason`; keep rows where it is NULL, count the others."""
-    return df.withColumn("reject_reason", filter_reason(F.col("url"), F.col("mime"), F.col("size"), cfg))
+    known = F.col("hint_kind") if "hint_kind" in df.columns else None
+    return df.withColumn("reject_reason", filter_reason(F.col("url"), F.col("mime"), F.col("size"), cfg, known))
 
 
 def import_domains(lines: DataFrame, line: str = "value") -> DataFrame:

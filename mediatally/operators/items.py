@@ -13,18 +13,23 @@ def union_hints(network: DataFrame, page: DataFrame) -> DataFrame:
     return network.unionByName(page, allowMissingColumns=True)
 
 
+def keyed_hints(hints: DataFrame) -> DataFrame:
+    """Hints with `hint_kind` and `dedup_key`; columns that are there already are kept."""
+    wanted = {"hint_kind": media.classify_hint(F.col("url"), F.col("mime")), "dedup_key": urls.normalize_url(F.col("url"))}
+    return hints.withColumns({name: c for name, c in wanted.items() if name not in hints.columns})
+
+
 def merge_items(hints: DataFrame, *, session: list[str], tie: str = "request_id") -> DataFrame:
     """A2: one item per session and normalised URL, segments left out.
 
-    Hints need url, mime, size, ts_ms and `tie`, and may carry page_title and is_blob kinds by URL.
+    Hints need url, mime, size, ts_ms and `tie`, and may carry page_title, and hint_kind and dedup_key from `keyed_hints`.
     """
     first = F.struct("ts_ms", tie)
-    df = hints.withColumn("kind", media.classify_hint(F.col("url"), F.col("mime"))).filter("kind <> 'segment'")
-    df = df.withColumn("dedup_key", urls.normalize_url(F.col("url")))
+    df = keyed_hints(hints).filter("hint_kind <> 'segment'")
     page_title = F.col("page_title") if "page_title" in hints.columns else F.lit(None).cast("string")
     merged = df.groupBy(*session, "dedup_key").agg(
         F.min("ts_ms").alias("detected_ms"),
-        F.min_by(F.struct("url", "mime", "kind", page_title.alias("page_title")), first).alias("_f"),
+        F.min_by(F.struct("url", "mime", F.col("hint_kind").alias("kind"), page_title.alias("page_title")), first).alias("_f"),
         F.min_by("size", F.when(F.col("size") > 0, first)).alias("size_estimate"),
         F.count(F.lit(1)).alias("hint_count"),
     )
@@ -52,11 +57,12 @@ def attribute_segments(segments: DataFrame, manifests: DataFrame, *, session: li
     Each directory needs only the first manifest at one of its ancestors and the first manifest
     anywhere below it, two equality joins against one row per directory.
 
-    `segments`: session columns and url. `manifests`: session columns, dedup_key, detected_ms.
+    `segments`: session columns and url, or dedup_key for the URL in normal form. `manifests`: session columns, dedup_key, detected_ms.
     Gives session columns, dir, segment_count, dedup_key (NULL while no manifest matches).
     """
+    normal = F.col("dedup_key") if "dedup_key" in segments.columns else urls.normalize_url(F.col("url"))
     dirs = (
-        segments.withColumn("dir", urls.dir_of(urls.normalize_url(F.col("url"))))
+        segments.withColumn("dir", urls.dir_of(normal))
         .groupBy(*session, "dir").agg(F.count(F.lit(1)).alias("segment_count"))
     )
     rank = F.struct("detected_ms", "dedup_key")

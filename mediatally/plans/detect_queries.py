@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediatally.functions import media, text, urls
-from mediatally.operators import admission, dedup, items
+from mediatally.functions import media, urls
+from mediatally.operators import admission, dedup, items, logs
 from mediatally.plans import flagship
 from mediatally.plans.registry import query
 from mediatally.plans.tables import table, with_ctes
 from mediatally.sources import pages, requests as req
 
 RULES = ["ads.example.org", "Example.NET ", "", "*.example.com"]
-FILTERS = admission.Admission(sniff_type="video", min_size_mb=0.5, max_size_mb=6, domains=["ads.example.org"])
+FILTERS = admission.Admission(media_type="video", min_size_mb=0.5, max_size_mb=6, domains=["ads.example.org"])
 
 VOLATILE = "['_t','_ts','token','expire','expires','sign','signature','auth_key']"
 
@@ -351,6 +351,24 @@ def _union(spark, sf):
     return items.union_hints(network, page).withColumn("media_type", media.media_type(F.col("url"), F.col("mime")))
 
 
+@query("a14_detection_counts", with_ctes(f""", {HTTP}
+SELECT source, media_type, protocol, count(*) AS hints FROM (
+  SELECT 'network' AS source, {TYPE} AS media_type, CASE WHEN ({KIND}) <> 'manifest' THEN 'progressive' WHEN url LIKE '%.mpd%' THEN 'dash' ELSE 'hls' END AS protocol FROM http WHERE {LOOKS}
+  UNION ALL SELECT 'page', 'video', 'progressive' FROM media_pages WHERE contains(html, '/media/clip-')
+  UNION ALL SELECT 'page', 'audio', 'progressive' FROM media_pages WHERE contains(html, 'files.example.net/a-')
+  UNION ALL SELECT 'page', 'video', 'progressive' FROM media_pages WHERE contains(html, 'blob:https://x.example.com/')
+  UNION ALL SELECT 'page', 'video', 'hls' FROM media_pages WHERE contains(html, '<source src="stream/')) u GROUP BY ALL""", "requests", "media_pages"))
+def a14_detected(spark, sf):
+    is_manifest = media.classify_hint(F.col("url"), F.col("mime")) == "manifest"
+    protocol = F.when(is_manifest, media.manifest_protocol(F.col("url"), F.col("mime"))).otherwise(F.lit("progressive"))
+    return logs.detection_counts(_union(spark, sf).withColumn("protocol", protocol))
+
+
+@query("a14_filter_hits", with_ctes(f", {HTTP}, screened AS (SELECT {_REASON} AS reject_reason FROM http) SELECT reject_reason, count(*) AS hits FROM screened WHERE reject_reason IS NOT NULL GROUP BY reject_reason", "requests"))
+def a14_filtered(spark, sf):
+    return logs.filter_hits(admission.apply_filters(_http(spark, sf), FILTERS).filter("reject_reason IS NOT NULL"))
+
+
 @query("s7_import_domains", with_ctes("""
 SELECT domain, regexp_matches(domain, '^[a-z0-9][a-z0-9.-]*\\.[a-z]{2,}$') AS valid, count(*) AS lines FROM (
   SELECT lower(trim(CASE WHEN page_id % 5 = 0 THEN url ELSE ' ' || upper(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) || ' ' END)) AS domain FROM pages) d GROUP BY domain"""))

@@ -36,6 +36,7 @@ def network_hints(requests: DataFrame, cfg: admission.Admission) -> DataFrame:
     hosted = placed.withColumn("host", urls.host_of(F.col("url"))).filter("host IS NOT NULL")
     tracks = hosted.filter("is_track")
     admitted = admission.admit_domain(hosted.filter("NOT is_track"), cfg.domains, cfg.domain_mode)
+    admitted = items.keyed_hints(admitted)
     return admission.apply_filters(admitted, cfg).unionByName(tracks, allowMissingColumns=True)
 
 
@@ -48,7 +49,7 @@ def session_media_summary(requests: DataFrame, cfg: admission.Admission = admiss
     accepted = hints.filter("NOT is_track AND reject_reason IS NULL")
     merged = items.merge_items(accepted, session=SESSION)
     manifests = merged.filter("protocol <> 'progressive'")
-    segments = accepted.filter(media.classify_hint(F.col("url"), F.col("mime")) == "segment")
+    segments = accepted.filter("hint_kind = 'segment'")
     owned = items.segments_per_manifest(items.attribute_segments(segments, manifests, session=SESSION), session=SESSION)
     grouped = items.track_items(items.best_tracks(hints.filter("is_track"), by=SESSION), session=SESSION)
     listed = merged.select(*SESSION, "protocol", "status", "downloadable").unionByName(

@@ -45,7 +45,8 @@ class _Dedup(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _in_order(rows, ["ts_ms", "request_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        state = self.last.get()
+        last = state[0] if state else None
         keep = []
         for ts in pdf["ts_ms"]:
             fresh = last is None or ts - last >= self.window_ms
@@ -53,14 +54,15 @@ class _Dedup(StatefulProcessor):
             if fresh:
                 last = int(ts)
         if any(keep):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.last.update((last,))
             self.handle.registerTimer(last + self.window_ms)
         yield pdf.loc[keep, self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
+        # a timer of an earlier kept row finds a later time in the state and leaves it
+        state = self.last.get()
+        if state and state[0] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:

@@ -124,7 +124,7 @@ def test_domain_rules(spark):
 
 
 def test_filters(spark):
-    cfg = admission.Admission(sniff_type="audio", min_size_mb=1, extensions=["mp3"])
+    cfg = admission.Admission(media_type="audio", min_size_mb=1, extensions=["mp3"])
     df = hints(spark, ("https://x/a.mp3", None, 2 << 20), ("https://x/a.mp3", None, 10), ("https://x/a.mp4", "video/mp4", None), ("https://x/a.m4a", None, None),
                ("https://x/a.m3u8", None, 1), ("https://x/a.ts", None, 1))
     assert [r.reject_reason for r in admission.apply_filters(df, cfg).orderBy("request_id").collect()] == [None, "min_size", "type", "extension", None, None]
