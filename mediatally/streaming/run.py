@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mediatally.plans.tables import BASE_TABLES, deps, derived, table
 from mediatally.session import scratch_dir
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -19,6 +23,26 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return derived(spark, name, {dep: stream_table(spark, sf_dir, dep) for dep in deps(name)})
 
 
+@contextmanager
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a stream takes over when it starts: RocksDB state, and in local mode one state partition per core."""
+    wanted = {_PROVIDER: ROCKSDB}
+    context = spark.sparkContext
+    if context.master.startswith("local") and int(spark.conf.get(_PARTITIONS)) > context.defaultParallelism:
+        wanted[_PARTITIONS] = str(context.defaultParallelism)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Run `stream` until its source is used up and give back what it wrote.
 
@@ -27,29 +51,27 @@ def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
+    with _stream_settings(spark):
         query = (
             stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
-    query.awaitTermination()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def drain_updates(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run an update-mode stream; every batch is written with its number in `batch_id`, later rows replace earlier ones."""
+    """Run an update-mode stream; every batch is written with its number in `batch_id`, later rows replace earlier ones.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(
-        availableNow=True).start().awaitTermination()
+    with _stream_settings(spark):
+        query = stream.writeStream.outputMode("update").foreachBatch(write).option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
