@@ -31,8 +31,9 @@ def every(column: str, width: int) -> Column:
 
 
 def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, **wanted: Running) -> DataFrame:
-    """`df` with the wanted running columns. Keys must not be NULL; `order` must be unique within a group
-    and `bucket` must not decrease along it."""
+    """`df` with the wanted running columns. `order` must be unique within a group and `bucket` must not decrease
+    along it. Rows with a NULL key are kept but see their own bucket only: matching NULL keys would cost
+    the wide rows a second shuffle."""
     b = "_bucket"
     df = df.withColumn(b, bucket)
     group = Window.partitionBy(*keys, b).orderBy(*order)
@@ -74,7 +75,7 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
         for name, r in wanted.items()
     }
     carries = df.groupBy(*keys, b).agg(*totals).select(*keys, b, *[c.alias(f"_c_{n}") for n, c in carry.items()])
-    scanned = df.withColumns(local).join(carries, [*keys, b])
+    scanned = df.withColumns(local).join(carries, [*keys, b], "left")
     combined = {}
     for name, r in wanted.items():
         own, prior = F.col(name), F.col(f"_c_{name}")

@@ -310,7 +310,7 @@ def a1(spark, sf):
     return flagship.session_media_summary(table(spark, sf, "requests"), FILTERS)
 
 
-@query("s3_scan_pages", with_ctes("""
+SQL_PAGES = with_ctes("""
 SELECT page_id, 'video' AS tag, '/media/clip-' || CAST(page_id % 50 AS STRING) || '.mp4' AS src, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/media/clip-' || CAST(page_id % 50 AS STRING) || '.mp4' AS url,
        false AS is_blob, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/p/' || CAST(page_id AS STRING) || '.jpg' AS poster_url, 'Clip ' || CAST(page_id AS STRING) AS title
 FROM media_pages WHERE contains(html, '/media/clip-')
@@ -322,12 +322,15 @@ SELECT page_id, 'video', 'blob:https://x.example.com/' || CAST(page_id AS STRING
 FROM media_pages WHERE contains(html, 'blob:https://x.example.com/')
 UNION ALL
 SELECT page_id, 'source', 'stream/' || CAST(page_id AS STRING) || '/master.m3u8', regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'stream/' || CAST(page_id AS STRING) || '/master.m3u8', false, NULL, NULL
-FROM media_pages WHERE contains(html, '<source src="stream/')""", "media_pages"))
+FROM media_pages WHERE contains(html, '<source src="stream/')""", "media_pages")
+
+
+@query("s3_scan_pages", SQL_PAGES)
 def s3(spark, sf):
     return pages.scan_pages(table(spark, sf, "media_pages")).select("page_id", "tag", "src", "url", "is_blob", "poster_url", "title")
 
 
-@query("s3_scan_pages_exact")
+@query("s3_scan_pages_exact", SQL_PAGES)
 def s3_exact(spark, sf):
     return pages.scan_pages(table(spark, sf, "media_pages"), exact=True).select("page_id", "tag", "src", "url", "is_blob", "poster_url", "title")
 
