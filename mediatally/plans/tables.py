@@ -119,7 +119,7 @@ FROM {documents}""",
     "logs": """
 SELECT event_id AS log_id, 1704067200000 + event_id * 40 AS ts_ms,
        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'purchase' THEN 'DEBUG' ELSE 'INFO' END AS level,
-       CASE event_id % 7 WHEN 0 THEN 'sniffer' WHEN 1 THEN 'analyzer' WHEN 2 THEN 'downloader' WHEN 3 THEN 'processor' WHEN 4 THEN 'engine' WHEN 5 THEN 'storage' ELSE 'ui' END AS module,
+       CASE event_id % 7 WHEN 0 THEN 'detector' WHEN 1 THEN 'analyzer' WHEN 2 THEN 'downloader' WHEN 3 THEN 'processor' WHEN 4 THEN 'engine' WHEN 5 THEN 'storage' ELSE 'ui' END AS module,
        concat('step ', event_type, ' task=', CAST(user_id AS STRING)) AS msg,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('https://cdn.example.com/a/b/c/d/', CAST(event_id AS STRING), '.ts?token=', CAST(user_id AS STRING)) END AS detail
 FROM {events}""",
