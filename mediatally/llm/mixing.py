@@ -54,16 +54,17 @@ def mix_sites(items: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_rate:
     sends it to all executors only while its size permits, and joins by site with split hot sites otherwise.
     """
     kept = items.select(*[c for c in items.columns if c not in ADDED])
-    sized = kept.withColumn("size", title_size(F.col("title")))
+    # drawn before the join, so that a caller who wants no titles moves none
+    key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("title", F.lit("")))
+    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    sized = kept.withColumns({"size": title_size(F.col("title")), "_draw": draw})
     targets = site_targets(sized.select("site", "size"), weights=weights, max_rate=max_rate)
     targets = targets.withColumnRenamed("site", "_site")
     out = sized.join(targets, F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site")
     rate = F.when(F.col("site_size") > 0, F.least(F.col("target") / F.col("site_size"), F.lit(float(max_rate)))).otherwise(0.0)
-    key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("title", F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     whole = F.floor("rate")
     out = out.withColumn("rate", rate).withColumn(
-        "copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("bigint"))
+        "copies", (whole + F.when(F.col("_draw") < F.col("rate") - whole, 1).otherwise(0)).cast("bigint"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*kept.columns, *ADDED)
 
 

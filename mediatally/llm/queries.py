@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mediatally.llm import exact, lines, mixing
+from mediatally.llm import encoding, exact, language, lines, mixing, simhash, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,46 @@ SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM kept
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lines.drop_repeated_lines(as_manifests(given(spark, sf_dir, "documents")))
     return clean.select(F.col("manifest_id").alias("doc_id"), "n_lines", "n_removed", "kept_sha256")
+
+
+def remainder(column: str, n: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.similar_titles(as_items(given(spark, sf_dir, "documents")))
+    return found.select(F.col("item_id").alias("doc_id"), F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("item_id", 3) == 1, F.lit(False))
+    items = as_items(given(spark, sf_dir, "documents"), "lang").withColumn("held_out", held_out)
+    named = language.title_languages(items, ~F.col("held_out"))
+    return named.select(F.col("item_id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+@query("op4_token_binary")
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    read = encoding.encode_titles(as_items(given(spark, sf_dir, "documents")), tokenizer=path)
+    return read.select(F.col("item_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reserved = given(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reserved_id"), "text")
+    found = tiling.reserved_in_titles(as_items(given(spark, sf_dir, "documents")), reserved)
+    return found.select(F.col("item_id").alias("doc_id"), F.col("reserved_id").alias("item_id"), "coverage", "tiles")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("item_id", 5) == 0, F.lit(False))
+    labels = given(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "toxic").filter(~held_out)
+    items = as_items(given(spark, sf_dir, "documents")).withColumn("held_out", held_out)
+    scored = toxicity.title_toxicity(items, labels)
+    return scored.select(F.col("item_id").alias("doc_id"), "held_out", "score", "predicted")
