@@ -28,7 +28,7 @@ from mediatally.llm.words import slices, spread
 from mediatally.session import scratch_dir, stage
 
 MAGIC = b"MTI1"
-HEAD = struct.Struct("<4s5I")
+HEAD = "<4s5I"
 END_ID = 0
 NO_NAME = 2**32 - 1
 BLOCK_IDS = 1 << 20
@@ -108,16 +108,6 @@ class Encoder:
         return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), np.array(per_text, dtype=np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def write_block(ids: np.ndarray, lengths: np.ndarray, names: list[bytes | None]) -> bytes:
     """One block: `ids` of titles with `lengths` ids and `names` each."""
     if len(ids) >= 2**32 or len(lengths) >= 2**32:
@@ -141,17 +131,17 @@ def write_block(ids: np.ndarray, lengths: np.ndarray, names: list[bytes | None])
         if len(more):
             data[start[more] + k] = (ranks[more] >> np.uint32(8 * k)) & np.uint32(255)
     width = 2 if len(counts) <= 1 << 16 else 4
-    return b"".join([HEAD.pack(MAGIC, len(lengths), len(ids), len(table), width, len(data)), table.astype(f"<u{width}").tobytes(),
+    return b"".join([struct.pack(HEAD, MAGIC, len(lengths), len(ids), len(table), width, len(data)), table.astype(f"<u{width}").tobytes(),
                      lengths.astype("<u4").tobytes(), np.array([NO_NAME if x is None else len(x) for x in names], dtype="<u4").tobytes(),
                      *[x for x in names if x], control.tobytes(), data.tobytes(), b"\n"])
 
 
 def read_block(data: memoryview, at: int) -> tuple[np.ndarray, np.ndarray, list[str | None], int]:
     """(ids, ids per title, names, place after the block) of the block at `at`."""
-    magic, titles, n, ranks, width, size = HEAD.unpack_from(data, at)
+    magic, titles, n, ranks, width, size = struct.unpack_from(HEAD, data, at)
     if magic != MAGIC:
         raise ValueError(f"no block at byte {at}")
-    at += HEAD.size
+    at += struct.calcsize(HEAD)
     table = np.frombuffer(data, f"<u{width}", ranks, at).astype(np.uint32)
     at += width * ranks
     lengths = np.frombuffer(data, "<u4", titles, at).astype(np.int64)
@@ -177,7 +167,7 @@ def read_block(data: memoryview, at: int) -> tuple[np.ndarray, np.ndarray, list[
 
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = Encoder(path)
         ids, lengths, names, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:

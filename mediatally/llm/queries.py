@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mediatally.llm import encoding, exact, language, lines, mixing, simhash, tiling, toxicity
+from mediatally.llm import encoding, exact, language, lines, mixing, repeats, simhash, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +135,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = as_items(given(spark, sf_dir, "documents")).withColumn("held_out", held_out)
     scored = toxicity.title_toxicity(items, labels)
     return scored.select(F.col("item_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+w AS (SELECT doc_id, i AS start, array_to_string(words[i + 1:i + 35], ' ') AS win
+      FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 34, 0))) AS i FROM d)),
+twice AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, start + k AS pos FROM w JOIN twice USING (win), (SELECT unnest(range(0, 35)) AS k)),
+l AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM d),
+kept AS (SELECT doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE g.pos IS NULL) AS kept
+         FROM l LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_substring_dedup", PASSAGES_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    clean = repeats.drop_repeated_passages(docs.select(F.col("doc_id").alias("log_id"), F.col("text").alias("msg")))
+    return clean.select(F.col("log_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
