@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mediatally.llm import encoding, exact, language, lines, mixing, repeats, simhash, tiling, toxicity
+from mediatally.llm import encoding, exact, language, lines, mixing, pseudo, repeats, simhash, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,3 +156,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     clean = repeats.drop_repeated_passages(docs.select(F.col("doc_id").alias("log_id"), F.col("text").alias("msg")))
     return clean.select(F.col("log_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pseudo.title_likelihood(as_items(given(spark, sf_dir, "documents")))
+    return scored.select(F.col("item_id").alias("doc_id"), F.col("n_words").alias("n_tokens"),
+                         F.col("log_likelihood").alias("log_prob"), F.col("per_word").alias("score"))
