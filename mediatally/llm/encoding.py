@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,30 @@ HEAD = "<4s5I"
 END_ID = 0
 NO_NAME = 2**32 - 1
 BLOCK_IDS = 1 << 20
-CACHED = 400_000
+CACHED = 1_000_000  # units a worker holds; then it starts anew
 
 # a run of blanks and line feeds with the run of other characters after it is tokenized on its own
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-# other white space, next to which the cut above could change the tokens
-ODD_SPACE = re.compile(r"[^\S \n]")
+# UTF-8 of other white space, or of characters near it, next to which a cut could change the tokens
+ODD_BYTES = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+ODD_PARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # by control byte
 
 
+def units_of(text: str) -> list[str] | None:
+    """The text cut at blanks and line feeds, the separator with what follows; a blank in front is left out, so that
+    a unit stands for itself if it starts with a blank or line feed or is the first one, and else for blank and unit.
+    None if the text has other white space."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw.translate(None, ODD_BYTES)) != len(raw) or not raw.isascii() and any(p in raw for p in ODD_PARTS):
+        return None
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n", "") or text[-1] in " \n":
+        units = UNIT.findall(text)
+        return [units[0]] + [u[1:] if u[0] == " " and len(u) > 1 and u[1] not in " \n" else u for u in units[1:]] if units else []
+    return text.replace("\n", " \n").split(" ")
+
+
 class Encoder:
     """Ids of texts by a tokenizers file. Texts are cut into units at blanks, which are token boundaries of a byte-level
     vocabulary that starts words with the blank; units seen before are looked up, new ones are encoded together."""
@@ -62,17 +77,17 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.held = 0
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     def _add(self, units: list[str]) -> None:
-        """Encode new units. Units that start with a blank are put into one text: a token never spans two of them."""
-        glued = [u for u in units if u[0] == " " and u[-1] not in " \n" and u[1] not in " \n"]
-        alone = [u for u in units if not (u[0] == " " and u[-1] not in " \n" and u[1] not in " \n")]
+        """Encode new units. Those that stand for blank and unit are put into one text: a token never spans two of them."""
+        glued = [u for u in units if u[0] not in " \n"]
+        alone = [u for u in units if u[0] in " \n"]
         parts, counts = [], []
-        step = 512
-        groups = [glued[i: i + step] for i in range(0, len(glued), step)]
+        groups = [[" " + u for u in glued[i: i + 512]] for i in range(0, len(glued), 512)]
         for group, done in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(done.ids, dtype=np.uint32)
             ends = np.cumsum(self.bytes_of[ids])
@@ -91,23 +106,44 @@ class Encoder:
         """(ids of all texts, ids per text)."""
         if len(self.number) > CACHED:
             self.clear()
-        cut = [UNIT.findall(t) if not ODD_SPACE.search(t) else None for t in texts]
-        new = list(dict.fromkeys(u for units in cut if units for u in units if u not in self.number))
-        if new:
-            self._add(new)
-        flat, per_text = [], []
+        cut = [units_of(t) for t in texts]
+        later = [u for units in cut if units for u in units[1:]]
+        at = np.fromiter(map(self.number.get, later, repeat(-1)), dtype=np.int64, count=len(later))
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            new = [later[i] for i in missed.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            at[missed] = np.fromiter(map(self.number.__getitem__, new), dtype=np.int64, count=len(new))
+        sizes = self.first[at + 1] - self.first[at]
+        ids = self.flat[np.repeat(self.first[at], sizes) + spread(sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        # the first unit of a text has no blank in front of it
+        heads = iter(self.tokenizer.encode_batch_fast([units[0] for units in cut if units], add_special_tokens=False))
+        flat, per_text, done = [], [], 0
         for units, text in zip(cut, texts):
             if units is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                own = [self.plain(text)]
+            elif not units:
+                own = []
             else:
-                at = np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units))
-                sizes = self.first[at + 1] - self.first[at]
-                ids = self.flat[np.repeat(self.first[at], sizes) + spread(sizes)]
-            flat.append(ids)
-            per_text.append(len(ids))
+                own = [np.array(next(heads).ids, dtype=np.uint32), ids[ends[done]: ends[done + len(units) - 1]]]
+                done += len(units) - 1
+            flat += own
+            per_text.append(sum(map(len, own)))
         return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), np.array(per_text, dtype=np.int64)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a file. Functions and their modules are sent anew with every task, so it is kept with the
+    installed library's module, which outlives the task, and with it the units seen so far."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_encoders_by_path", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def write_block(ids: np.ndarray, lengths: np.ndarray, names: list[bytes | None]) -> bytes:
     """One block: `ids` of titles with `lengths` ids and `names` each."""
     if len(ids) >= 2**32 or len(lengths) >= 2**32:
@@ -167,7 +203,7 @@ def read_block(data: memoryview, at: int) -> tuple[np.ndarray, np.ndarray, list[
 
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         ids, lengths, names, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
