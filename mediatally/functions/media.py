@@ -82,7 +82,7 @@ def resolution_of(res: Column) -> Column:
     shape = r"^(\d+)[xX×](\d+)$"
     w = F.coalesce(F.regexp_extract(res, shape, 1).try_cast("bigint"), F.lit(0))
     h = F.coalesce(F.regexp_extract(res, shape, 2).try_cast("bigint"), F.lit(0))
-    label = F.when(F.coalesce(res.rlike(shape), F.lit(False)), _label(h, QUALITY_LABELS, F.lit("低清"))).otherwise(F.lit(""))
+    label = F.when(F.coalesce(res.rlike(shape), F.lit(False)), _label(h, QUALITY_LABELS, F.lit("low"))).otherwise(F.lit(""))
     return F.struct((w * h).alias("pixels"), h.alias("height"), label.alias("label"))
 
 
@@ -139,11 +139,11 @@ def derive_downloadable(encryption: Column, live: Column) -> Column:
 def blocked_text(reason: Column, status: Column) -> Column:
     """why an item cannot be downloaded."""
     return (
-        F.when(reason.isin("drm", "sampleaes"), F.lit("该内容受数字版权保护（DRM），平台限制下载，本扩展不提供绕过"))
-        .when(reason == "live", F.lit("直播流暂不支持下载"))
-        .when(reason == "blob", F.lit("这是页面内存流（MSE）引用，真正地址在网络层——播放几秒后再看列表"))
-        .when(status == "parse_failed", F.lit("清单解析失败，请刷新页面重试"))
-        .otherwise(F.lit("该媒体暂不可下载"))
+        F.when(reason.isin("drm", "sampleaes"), F.lit("protected"))
+        .when(reason == "live", F.lit("live"))
+        .when(reason == "blob", F.lit("memory_stream"))
+        .when(status == "parse_failed", F.lit("parse_failed"))
+        .otherwise(F.lit("unavailable"))
     )
 
 
@@ -177,18 +177,18 @@ def item_tags(*, resolution: Column, variant_count: Column, protocol: Column, tr
     """Display tags of an item, in fixed order."""
     label = resolution_of(resolution)["label"]
     quality = F.when(label != "", F.when(
-        variant_count > 1, F.concat(label, F.lit(" · "), variant_count.cast("string"), F.lit(" 变体"))).otherwise(label))
+        variant_count > 1, F.concat(label, F.lit(" · "), variant_count.cast("string"), F.lit(" variants"))).otherwise(label))
     tags = F.array(
         quality,
-        F.when((protocol == "dash") & (track_count > 1), F.lit("DASH 双轨")),
-        F.when((protocol == "dash") & (track_count == 1), F.lit("仅视频轨（无声音）")),
+        F.when((protocol == "dash") & (track_count > 1), F.lit("dash_two_tracks")),
+        F.when((protocol == "dash") & (track_count == 1), F.lit("video_only")),
         F.when(encryption == "aes128", F.lit("AES-128")),
-        F.when(blocked_reason == "drm", F.lit("🔒 受保护")),
-        F.when(blocked_reason == "sampleaes", F.lit("🔒 SAMPLE-AES")),
-        F.when(blocked_reason == "live", F.lit("直播 · 本期不支持")),
-        F.when(blocked_reason == "blob", F.lit("内存流")),
-        F.when(status == "parse_failed", F.lit("解析失败")),
-        F.when(status == "parsing", F.lit("解析中")),
+        F.when(blocked_reason == "drm", F.lit("protected")),
+        F.when(blocked_reason == "sampleaes", F.lit("sample_aes")),
+        F.when(blocked_reason == "live", F.lit("live")),
+        F.when(blocked_reason == "blob", F.lit("memory_stream")),
+        F.when(status == "parse_failed", F.lit("parse_failed")),
+        F.when(status == "parsing", F.lit("parsing")),
     )
     return F.filter(tags, lambda t: t.isNotNull())
 
@@ -198,7 +198,7 @@ def spec_text(resolution: Column, size: Column, url: Column) -> Column:
     ext = F.upper(F.regexp_extract(urls.without_query(url), r"([^.]*)$", 1))
     line = F.concat_ws(" · ", F.nullif(resolution, F.lit("")), F.when(size.isNotNull(), text.format_bytes(size)),
                        F.nullif(ext, F.lit("")))
-    return F.when(line == "", F.lit("规格未知")).otherwise(line)
+    return F.when(line == "", F.lit("unknown")).otherwise(line)
 
 
 def task_progress(*, stage: Column, completed: Column, total_segments: Column, bytes_done: Column,
@@ -211,7 +211,7 @@ def task_progress(*, stage: Column, completed: Column, total_segments: Column, b
         .when(stage == "done", F.lit(100.0))
         .otherwise(F.lit(0.0))
     )
-    names = {"queued": "排队中", "downloading": "下载中", "decrypting": "解密中", "merging": "合并中", "transcoding": "转码中"}
+    names = {"queued": "waiting", "downloading": "fetching", "decrypting": "decrypting", "merging": "joining", "transcoding": "transcoding"}
     measured = (elapsed_sec > 1) & (bytes_done > 0)
     speed = F.when(measured, F.try_divide(bytes_done.cast("double"), elapsed_sec)).otherwise(F.lit(0.0))
     eta = F.when(measured & (total_bytes > 0),
@@ -223,18 +223,18 @@ def task_progress(*, stage: Column, completed: Column, total_segments: Column, b
 def error_text(status_code: Column, message: Column) -> Column:
     """Readable text for a fetch error."""
     return (
-        F.when(status_code.isin(401, 403), F.lit("访问凭证已失效（401），请刷新页面后重试"))
-        .when(status_code == 404, F.lit("源文件不存在（404）"))
-        .when(status_code.isin(429, 503), F.lit("站点限流，已多次自动降速仍失败"))
-        .when(message == "timeout", F.lit("连接超时"))
-        .when(message.contains("memory"), F.lit("内存水位不足，建议安装本地处理引擎"))
-        .otherwise(F.coalesce(F.nullif(message, F.lit("")), F.lit("未知错误")))
+        F.when(status_code.isin(401, 403), F.lit("credential_expired"))
+        .when(status_code == 404, F.lit("not_found"))
+        .when(status_code.isin(429, 503), F.lit("rate_limited"))
+        .when(message == "timeout", F.lit("timed_out"))
+        .when(message.contains("memory"), F.lit("out_of_memory"))
+        .otherwise(F.coalesce(F.nullif(message, F.lit("")), F.lit("unknown_error")))
     )
 
 
 def merge_error(error: Column) -> Column:
     """struct(text, code) for a merge error."""
-    e = F.coalesce(error, F.lit("未知错误"))
+    e = F.coalesce(error, F.lit("unknown_error"))
     code = (
         F.when(e.startswith("unsupported_codec"), F.lit("unsupported_codec"))
         .when(e.startswith("merge_validation_failed"), F.lit("merge_validation"))
@@ -242,9 +242,9 @@ def merge_error(error: Column) -> Column:
     )
     message = (
         F.when(code == "unsupported_codec",
-               F.concat(F.lit("视频编码不受浏览器内引擎支持："), F.regexp_replace(e, "unsupported_codec:", "")))
-        .when(code == "merge_validation", F.concat(F.lit("合并校验失败："), e))
-        .otherwise(F.concat(F.lit("合并处理失败："), e))
+               F.concat(F.lit("codec: "), F.regexp_replace(e, "unsupported_codec:", "")))
+        .when(code == "merge_validation", F.concat(F.lit("validation: "), e))
+        .otherwise(F.concat(F.lit("merge: "), e))
     )
     return F.struct(message.alias("text"), code.alias("code"))
 

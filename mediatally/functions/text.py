@@ -80,7 +80,7 @@ def format_bytes(size: Column) -> Column:
         return F.concat(text, F.lit(f" {unit}"))
 
     return (
-        F.when(size.isNull() | F.isnan(size) | (size < 0) | (size == float("inf")), F.lit("未知"))
+        F.when(size.isNull() | F.isnan(size) | (size < 0) | (size == float("inf")), F.lit("unknown"))
         .when(size < 1024, F.concat(round_half_up(size).cast("string"), F.lit(" B")))
         .when(size < 1024.0**2, scaled(1, "KB"))
         .when(size < 1024.0**3, scaled(2, "MB"))
@@ -167,10 +167,10 @@ def build_filename(template: str, meta: dict[str, Column]) -> Column:
 def validate_template(template: Column) -> Column:
     """struct(ok, reason) for a name template."""
     reason = (
-        F.when(template.isNull() | (F.regexp_replace(template, r"(?U)\s", "") == ""), F.lit("模板不能为空"))
-        .when(F.length(template) > 200, F.lit("模板长度不能超过 200"))
+        F.when(template.isNull() | (F.regexp_replace(template, r"(?U)\s", "") == ""), F.lit("empty"))
+        .when(F.length(template) > 200, F.lit("too_long"))
         .when(~(template.contains("{title}") | template.contains("{index}")),
-              F.lit("模板必须包含 {title} 或 {index}，否则文件名会重复"))
+              F.lit("not_unique"))
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
@@ -188,17 +188,20 @@ def parse_iso_duration(text: Column) -> Column:
 
 def substitute_template(template: Column, *, representation_id: Column, bandwidth: Column,
                         number: Column | None = None, time: Column | None = None) -> Column:
-    """Fill `$RepresentationID$`, `$Bandwidth$`, `$Number$` and `$Time$`, with optional `%0Nd` padding."""
-    out = template
-    for name, value in (("Number", number), ("Time", time), ("Bandwidth", bandwidth)):
-        digits = F.coalesce(value.cast("string"), F.lit("")) if value is not None else F.lit("")
-        padded_form = rf"\${name}%0(\d+)d\$"
-        width = F.coalesce(F.regexp_extract(template, padded_form, 1).try_cast("int"), F.lit(1))
-        padded = F.when(digits == "", F.lit("")).otherwise(
-            F.lpad(digits, F.greatest(width, F.length(digits)), F.lit("0")))
-        plain = F.replace(out, F.lit(f"${name}$"), digits)
-        out = F.when(template.contains(f"${name}%0"), F.regexp_replace(plain, F.lit(padded_form), padded)).otherwise(plain)
-    return F.replace(out, F.lit("$RepresentationID$"), representation_id)
+    """Fill `$RepresentationID$`, `$Bandwidth$`, `$Number$` and `$Time$`, each place with its own optional `%0Nd` padding."""
+    values = {"RepresentationID": representation_id, "Bandwidth": bandwidth, "Number": number, "Time": time}
+    place = rf"\$({'|'.join(values)})(?:%0(\d+)d)?\$"
+    pieces = F.regexp_extract_all(template, F.lit(rf"{place}|\$|[^$]+"), F.lit(0))
+
+    def filled(piece: Column) -> Column:
+        name = F.regexp_extract(piece, place, 1)
+        value = F.when(name == "", piece)
+        for known, given in values.items():
+            value = value.when(name == known, F.coalesce(given.cast("string"), F.lit("")) if given is not None else F.lit(""))
+        width = F.coalesce(F.regexp_extract(piece, place, 2).try_cast("int"), F.lit(1))
+        return F.when((name == "") | (value == ""), value).otherwise(F.lpad(value, F.greatest(width, F.length(value)), F.lit("0")))
+
+    return F.array_join(F.transform(pieces, filled), "")
 
 
 def aes_iv(iv_hex: Column, sequence: Column) -> Column:

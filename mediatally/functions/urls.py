@@ -19,7 +19,7 @@ _HOST = r"^(?i:https?|wss?|ftp)://(?:[^/?#@\s]*@)?(\[[^\]\s]*\]|[^/?#:@\s]+)(?::
 _PATH = r"^(?:(?i:https?|wss?|ftp)://[^/?#\s]+|(?!(?i:https?|wss?|ftp):)[A-Za-z][A-Za-z0-9+.\-]*:)([^?#]*)"
 _ANY_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # https://host/path with nothing left to canonicalise
-_PLAIN = r"^https?://[a-z0-9.\-]+/(?!\.)(?:[^\s/]|/(?!\.))*$"
+_PLAIN = r"^https?://[a-z0-9.\-]+/(?!\.)(?:[!#-.0-;=?-_a-z|~]|/(?!\.))*$"
 _CUT = "\n"
 
 
@@ -78,11 +78,18 @@ def _rebuilt(p: Column) -> Column:
     return F.concat(
         scheme, F.lit("://"), p[1], F.lower(p[2]),
         F.when(default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-        F.when(path == "", F.lit("/")).when(path.contains("/."), _resolve_dots(path)).otherwise(path),
-        p[5], p[6],
+        _escaped(F.when(path == "", F.lit("/")).when(path.contains("/."), _resolve_dots(path)).otherwise(path), "\"<>`{}"),
+        _escaped(p[5], "\"<>'"), _escaped(p[6], "\"<>`"),
     )
 
 
+def _escaped(part: Column, marks: str) -> Column:
+    """Blanks, characters outside of ASCII and the given marks as percent escapes. Hosts are left as they are."""
+    unsafe = rf"[^!-~]|[{marks}]"
+    each = F.transform(F.split(part, ""), lambda c: F.when(c.rlike(unsafe), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(part.rlike(unsafe), F.array_join(each, "")).otherwise(part)
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, default port dropped, empty path as `/`, dot segments resolved."""
     return F.when(url.rlike(_PLAIN), url).otherwise(F.coalesce(let(_web_parts(url), _rebuilt), url))
@@ -203,7 +210,7 @@ def sanitize_url(url: Column) -> Column:
     shown = let(path_of(url), lambda path: F.array_join(
         F.transform(F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, 3), lambda p: F.concat(p, F.lit("/"))), ""))
     masked = F.concat(F.coalesce(host_of(url), F.lit("")), F.lit("/"), shown, F.lit("***"))
-    return F.coalesce(masked, F.lit("(非法地址)"))
+    return F.coalesce(masked, F.lit("(invalid)"))
 
 
 def sanitize_path(path: Column) -> Column:
@@ -214,15 +221,15 @@ def sanitize_path(path: Column) -> Column:
 
 def credentials_note(present: Column) -> Column:
     """Whether credentials were attached, never the credentials themselves."""
-    return F.when(present, F.lit("已附凭证")).otherwise(F.lit("无凭证"))
+    return F.when(present, F.lit("credentials")).otherwise(F.lit("no_credentials"))
 
 
 # Fixed value: shape of a single-file track URL, `/dir/base-n-codec.ext` at the end of the path.
 _TRACK = (
-    r"(?i)^[a-z][a-z0-9+.\-]*+:(?://(?:[^/?#@\s]*+@)?([^/?#:\s]*+)(?::\d*+)?)?(?:/[^/?#]*+)*?/([^/?#]+)/([^/?#]*?)-(\d+)-(\d{1,18})\.(?:m4s|mp4|ts)(?:[?#].*)?$"
+    r"(?i)^[a-z][a-z0-9+.\-]*+:(?://(?:[^/?#@\s]*+@)?([^/?#:\s]*+)(?::\d*+)?)?(?:/[^/?#]*+)*?/([^/?#]+)/([^/?#]*?)-(\d+)-(\d+)\.(?:m4s|mp4|ts)(?:[?#].*)?$"
 )
 # its tail alone, which sorts out nearly all other URLs in one cheap pass
-_TRACK_END = r"(?i)-\d+-\d{1,18}\.(?:m4s|mp4|ts)(?:[?#]|$)"
+_TRACK_END = r"(?i)-\d+-\d+\.(?:m4s|mp4|ts)(?:[?#]|$)"
 
 
 def is_track_url(url: Column) -> Column:
@@ -234,10 +241,11 @@ def parse_track_url(url: Column) -> Column:
     """A single-file track URL as a struct, NULL for any other URL."""
 
     def read(p: Column) -> Column:
-        site, group, codec = F.lower(p[0]), F.concat(p[1], F.lit("/"), p[2]), p[3].cast("bigint")
-        key = F.concat(F.regexp_replace(site, r"^[^.]+\.", ""), F.lit("|"), group, F.lit("|"), codec.cast("string"))
+        site, group, codec = F.lower(p[0]), F.concat(p[1], F.lit("/"), p[2]), p[3].try_cast("decimal(38,0)")
+        digits = F.regexp_replace(p[3], r"^0+(?=\d)", "")
+        key = F.concat(F.regexp_replace(site, r"^[^.]+\.", ""), F.lit("|"), group, F.lit("|"), digits)
         return F.when(F.size(p) == 4, F.struct(
-            key.alias("key"), site.alias("site_key"), group.alias("group_id"), codec.alias("codec_id"),
+            key.alias("key"), site.alias("site_key"), group.alias("group_id"), p[3].try_cast("bigint").alias("codec_id"),
             classify_track(codec).alias("track_type")))
 
     groups = _CUT.join(f"${i}" for i in (1, 2, 3, 5))

@@ -10,8 +10,6 @@ from mediatally.functions import media, urls
 
 # Defaults of the admission and download settings.
 DEFAULT_EXTENSIONS = ["mp4", "webm", "flv", "mkv", "ts", "mp3", "m4a", "aac", "mov", "m4s"]
-# Rule lists up to this size are tested inside the row; longer ones go through a join.
-INLINE_RULES = 500
 
 
 @dataclass(frozen=True)
@@ -33,10 +31,9 @@ def admit_http(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_rules(rules: list[str]) -> list[str]:
-    """Rules in lower case without blanks; wildcard entries are dropped because they match nothing."""
-    tidy = (r.strip().lower() for r in rules)
-    return sorted({r for r in tidy if r and not r.startswith("*.")})
+def tidy_domain(domain: Column) -> Column:
+    """Lower case, white space at both ends cut."""
+    return F.lower(F.regexp_replace(domain, r"(?U)^\s+|\s+$", ""))
 
 
 def host_suffixes(host: Column) -> Column:
@@ -48,19 +45,12 @@ def host_suffixes(host: Column) -> Column:
 def domain_listed(df: DataFrame, rules: list[str] | DataFrame, host: str = "host") -> DataFrame:
     """`df` with a boolean `listed`: the host or a parent domain of it is a rule.
 
-    A short rule list is tested in the row. A long list or a rule table (column `domain`) is matched
-    against the distinct hosts by an equality join on host suffixes, so a busy host costs one row.
+    A rule list becomes a rule table (column `domain`). Rules are matched against the distinct hosts by an
+    equality join on host suffixes, so a busy host costs one row. Wildcard entries match nothing.
     """
     if not isinstance(rules, DataFrame):
-        tidy = clean_rules(rules)
-        if not tidy:
-            return df.withColumn("listed", F.lit(False))
-        if len(tidy) <= INLINE_RULES:
-            listed = F.arrays_overlap(host_suffixes(F.col(host)), F.array(*[F.lit(r) for r in tidy]))
-            return df.withColumn("listed", F.coalesce(listed, F.lit(False)))
-        rules = df.sparkSession.createDataFrame([(r,) for r in tidy], "domain string")
-    rule = F.lower(F.trim("domain"))
-    rules = rules.select(rule.alias("_suffix")).filter((F.col("_suffix") != "") & ~F.col("_suffix").startswith("*.")).distinct()
+        rules = df.sparkSession.createDataFrame([(r,) for r in rules], "domain string")
+    rules = rules.select(tidy_domain(F.col("domain")).alias("_suffix")).filter((F.col("_suffix") != "") & ~F.col("_suffix").startswith("*.")).distinct()
     hosts = df.select(F.col(host).alias("_host")).filter(F.col("_host").isNotNull()).distinct()
     matched = (
         hosts.withColumn("_suffix", F.explode(host_suffixes(F.col("_host"))))
@@ -104,7 +94,7 @@ def apply_filters(df: DataFrame, cfg: Admission) -> DataFrame:
 
 def import_domains(lines: DataFrame, line: str = "value") -> DataFrame:
     """Every line as `domain` and `valid`; white space is cut and case folded first."""
-    domain = F.lower(F.trim(line))
+    domain = tidy_domain(F.col(line))
     return lines.select(domain.alias("domain")).withColumn("valid", F.col("domain").rlike(r"^[a-z0-9][a-z0-9.\-]*\.[a-z]{2,}$"))
 
 

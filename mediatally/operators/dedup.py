@@ -180,10 +180,13 @@ def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: s
     from its possible first kept times to its last one. Chunks are combined per span of chunks in the
     same form, and only one such state per span is chained per key. The way back is parallel again:
     spans hand their entry to their chunks, and every chunk is resolved on its own.
-    Rows with a NULL key or time are left out.
+    NULL is a key like any other. Rows without a time can't be placed and are all kept.
     """
-    # one explicit NULL test, so that every branch below reads the same exchange
-    rows = df.dropna(subset=[*keys, order]).withColumn("_chunk", every(order, chunk_ms))
+    columns, untimed = df.columns, df.filter(F.col(order).isNull())
+    # structs are equal where both have NULL
+    key = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys])
+    rows = df.filter(F.col(order).isNotNull()).withColumns({"_key": key, "_chunk": every(order, chunk_ms)})
+    keys = ["_key"]
     chunks = rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(order)).alias("times"))
     state = F.struct("_chunk", "_first", "_latest", "_fresh", "_end", "steps")
     spans = (
@@ -198,8 +201,8 @@ def dedup_window(df: DataFrame, *, keys: list[str], order: str = "ts_ms", tie: s
         *keys, "_chunk", F.explode(_greedy(F.col("times"), F.col("_entry"), window_ms)).alias(order))
     at_kept = rows.join(kept_times, [*keys, "_chunk", order], "left_semi")
     # of several rows at one kept time the first counts
-    winner = F.min_by(F.struct(*df.columns), F.col(tie)).alias("_row")
-    return at_kept.groupBy(*keys, "_chunk", order).agg(winner).select("_row.*")
+    winner = F.min_by(F.struct(*columns), F.col(tie)).alias("_row")
+    return at_kept.groupBy(*keys, "_chunk", order).agg(winner).select("_row.*").unionByName(untimed)
 
 
 def dedup_requests(df: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:

@@ -30,8 +30,8 @@ def fetch_outcomes(attempts: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame
     decided = within.groupBy("task_id", "segment_index").agg(
         F.min_by(F.struct("attempt", "status_code", "bytes"), F.when(final, F.col("attempt"))).alias("d"),
         F.max("attempt").alias("last_attempt"),
-        # throttled answers per attempt number, to count only those up to the deciding one
-        *[F.count_if((F.col("attempt") == n) & status.isin(429, 503)).alias(f"_th{n}") for n in range(max_retry + 1)],
+        # attempts with throttled answers, at most one more than the retries, to count those up to the deciding one
+        F.collect_list(F.when(status.isin(429, 503), F.col("attempt"))).alias("_throttled"),
     )
     code = F.col("d.status_code")
     outcome = (
@@ -41,7 +41,7 @@ def fetch_outcomes(attempts: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame
         .otherwise(F.lit("failed"))
     )
     upto = F.coalesce(F.col("d.attempt"), F.col("last_attempt"))
-    throttled = sum((F.when(upto >= n, F.col(f"_th{n}")).otherwise(0) for n in range(max_retry + 1)), F.lit(0))
+    throttled = F.size(F.filter("_throttled", lambda n: n <= upto))
     return decided.select(
         "task_id", "segment_index", outcome.alias("outcome"), (upto + 1).cast("bigint").alias("attempts"),
         F.coalesce(code.isin(401, 403), F.lit(False)).alias("credential"), throttled.cast("bigint").alias("throttled"),
@@ -176,7 +176,7 @@ def restore_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks that were under way when the host restarted become paused."""
     hit = F.col("stage").isin(RESTART_STAGES)
     return tasks.withColumns({
-        "error_message": F.when(hit, F.lit("浏览器重启导致任务中断")),
+        "error_message": F.when(hit, F.lit("interrupted")),
         "stage": F.when(hit, F.lit("paused")).otherwise(F.col("stage")),
     })
 

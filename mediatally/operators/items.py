@@ -91,10 +91,11 @@ def segments_per_manifest(attributed: DataFrame, *, session: list[str]) -> DataF
 
 
 def attach_parent_manifest(segments: DataFrame, *, session: list[str]) -> DataFrame:
-    """Items from segments that name their manifest; the manifest's URL is the item's URL."""
+    """Items from segments that name their manifest; the manifest's URL is the item's URL, of several
+    forms of it the earliest."""
     named = segments.filter(F.col("parent_manifest").isNotNull())
     named = named.withColumn("dedup_key", urls.normalize_url(F.col("parent_manifest")))
-    url = F.min_by("parent_manifest", F.col("ts_ms")).alias("master_url")
+    url = F.min_by("parent_manifest", F.struct("ts_ms", "parent_manifest")).alias("master_url")
     out = named.groupBy(*session, "dedup_key").agg(
         F.min("ts_ms").alias("detected_ms"), url, F.count(F.lit(1)).alias("segment_count"))
     return out.select("*", media.manifest_protocol(F.col("master_url"), F.lit(None).cast("string")).alias("protocol"),

@@ -27,16 +27,17 @@ class Running:
 
 def every(column: str, width: int) -> Column:
     """Bucket number for an integer order column; it never decreases along the order."""
-    return F.coalesce(F.expr(f"`{column}` div {width}"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.expr(f"`{column}` div {width}"), F.lit(-(2**63)))  # NULL comes first in a window's order, too
 
 
 def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, **wanted: Running) -> DataFrame:
     """`df` with the wanted running columns. `order` must be unique within a group and `bucket` must not decrease
-    along it. Rows with a NULL key are kept but see their own bucket only: matching NULL keys would cost
-    the wide rows a second shuffle."""
-    b = "_bucket"
-    df = df.withColumn(b, bucket)
-    group = Window.partitionBy(*keys, b).orderBy(*order)
+    along it. NULL is a key like any other, as in a plain window."""
+    b, k = "_bucket", "_key"
+    columns = df.columns
+    # one struct, because structs are equal where both have NULL: windows, sums and the join agree on it
+    df = df.withColumns({b: bucket, k: F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys])})
+    group = Window.partitionBy(k, b).orderBy(*order)
     upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = group.rowsBetween(Window.unboundedPreceding, -1)
     after = group.rowsBetween(1, Window.unboundedFollowing)
@@ -61,7 +62,7 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
         else:
             raise ValueError(f"unknown running value {r.how}")
 
-    carried = Window.partitionBy(*keys).orderBy(b)
+    carried = Window.partitionBy(k).orderBy(b)
     earlier = carried.rowsBetween(Window.unboundedPreceding, -1)
     later = carried.rowsBetween(1, Window.unboundedFollowing)
     carry = {
@@ -74,8 +75,8 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
         }[r.how](F.col(f"_t_{name}"))
         for name, r in wanted.items()
     }
-    carries = df.groupBy(*keys, b).agg(*totals).select(*keys, b, *[c.alias(f"_c_{n}") for n, c in carry.items()])
-    scanned = df.withColumns(local).join(carries, [*keys, b], "left")
+    carries = df.groupBy(k, b).agg(*totals).select(k, b, *[c.alias(f"_c_{n}") for n, c in carry.items()])
+    scanned = df.withColumns(local).join(carries, [k, b], "left")
     combined = {}
     for name, r in wanted.items():
         own, prior = F.col(name), F.col(f"_c_{name}")
@@ -85,7 +86,7 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
             combined[name] = F.greatest(own, prior)
         else:
             combined[name] = F.coalesce(own, prior)
-    return scanned.withColumns(combined).select(*[c for c in df.columns if c != b], *wanted)
+    return scanned.withColumns(combined).select(*[c for c in columns if c not in wanted], *wanted)
 
 
 def numbered(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:

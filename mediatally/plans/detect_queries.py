@@ -223,10 +223,11 @@ SELECT tab_id, epoch, parent AS dedup_key, min(ts_ms) AS detected_ms, parent ||
        CASE WHEN parent LIKE '%.mpd' THEN 'dash' ELSE 'hls' END AS protocol, CASE WHEN parent LIKE '%.mpd' THEN 'manifest' ELSE 'master' END AS title
 FROM named GROUP BY tab_id, epoch, parent""", "requests"))
 def j2(spark, sf):
-    df = _staged_http(spark, sf).filter(F.col("url").contains("/720p/") | F.col("url").contains("/v1/"))
+    df = _staged_http(spark, sf)
+    named = F.col("url").contains("/720p/") | F.col("url").contains("/v1/")
     parent = F.concat(F.regexp_replace("url", r"/720p/[^/]*$|/v1/[^/]*$", "/"),
                       F.when(F.col("url").endswith(".ts"), F.lit("master.m3u8")).otherwise(F.lit("manifest.mpd")), F.lit("?token=x"))
-    return items.attach_parent_manifest(df.withColumn("parent_manifest", parent), session=flagship.SESSION)
+    return items.attach_parent_manifest(df.withColumn("parent_manifest", F.when(named, parent)), session=flagship.SESSION)
 
 
 TRACKS = STAGED_HTTP + f""", tracks AS (
@@ -330,11 +331,6 @@ def s3(spark, sf):
     return pages.scan_pages(table(spark, sf, "media_pages")).select("page_id", "tag", "src", "url", "is_blob", "poster_url", "title")
 
 
-@query("s3_scan_pages_exact", SQL_PAGES)
-def s3_exact(spark, sf):
-    return pages.scan_pages(table(spark, sf, "media_pages"), exact=True).select("page_id", "tag", "src", "url", "is_blob", "poster_url", "title")
-
-
 @query("u1_union_hints", with_ctes(f""", {HTTP}
 SELECT source, media_type, count(*) AS hints FROM (
   SELECT 'network' AS source, {TYPE} AS media_type FROM http WHERE {LOOKS}

@@ -109,20 +109,20 @@ def j8(spark, sf):
 @query("j3_join_live_or_snapshot", with_ctes(f""", {LISTED}
 SELECT t.task_id, t.media_id, t.tab_id, CASE WHEN l.media_id IS NOT NULL THEN 'live' WHEN t.stage = 'paused' THEN 'snapshot' WHEN k.task_id IS NOT NULL THEN 'shell' ELSE 'media_gone' END AS media_source,
   coalesce(l.title, CASE WHEN t.stage = 'paused' THEN 'kept ' || t.task_id END) AS title
-FROM tasks t LEFT JOIN (SELECT * FROM listed WHERE protocol = 'hls') l ON l.media_id = t.media_id AND l.tab_id = t.tab_id LEFT JOIN (SELECT DISTINCT task_id FROM segment_store) k ON k.task_id = t.task_id""", "items", "tasks", "segment_store"))
+FROM tasks t LEFT JOIN listed l ON l.media_id = t.media_id AND l.tab_id = t.tab_id LEFT JOIN (SELECT DISTINCT task_id FROM segment_store) k ON k.task_id = t.task_id""", "items", "tasks", "segment_store"))
 def j3(spark, sf):
-    live = listed_items(spark, sf).filter("protocol = 'hls'")
+    live = listed_items(spark, sf)
     frozen = tasks(spark, sf).filter("stage = 'paused'").select("task_id", F.concat(F.lit("kept "), F.col("task_id").cast("string")).alias("title"))
     return fetch.join_live_or_snapshot(tasks(spark, sf), live, frozen, store(spark, sf))
 
 
-_OLD = "SELECT task_id, segment_index FROM fetch_attempts WHERE status_code = 200 AND attempt = 0"
-_NEW = "SELECT task_id, segment_index FROM fetch_attempts WHERE status_code = 200 AND attempt = 1"
+_OLD = "SELECT task_id, segment_index FROM fetch_attempts WHERE status_code = 200 AND attempt % 2 = 0"
+_NEW = "SELECT task_id, segment_index FROM fetch_attempts WHERE status_code = 200 AND attempt % 2 = 1"
 
 
 def _old_new(spark, sf):
     done = attempts(spark, sf).filter("status_code = 200")
-    pick = lambda n: done.filter(F.col("attempt") == n).select("task_id", "segment_index")
+    pick = lambda n: done.filter(F.col("attempt") % 2 == n).select("task_id", "segment_index")
     return pick(0), pick(1)
 
 
@@ -153,7 +153,7 @@ def t8(spark, sf):
 
 
 @query("r9_restore_tasks", with_ctes("""SELECT task_id, CASE WHEN stage IN ('downloading', 'queued', 'decrypting', 'merging') THEN 'paused' ELSE stage END AS stage,
-  CASE WHEN stage IN ('downloading', 'queued', 'decrypting', 'merging') THEN '浏览器重启导致任务中断' END AS error_message FROM tasks""", "tasks"))
+  CASE WHEN stage IN ('downloading', 'queued', 'decrypting', 'merging') THEN 'interrupted' END AS error_message FROM tasks""", "tasks"))
 def r9(spark, sf):
     return fetch.restore_tasks(tasks(spark, sf)).select("task_id", "stage", "error_message")
 
@@ -229,10 +229,11 @@ def f13(spark, sf):
     return tasks(spark, sf).select("task_id", m.alias("m")).select("task_id", "m.ok", F.round("m.peak_mb", 6).alias("peak_mb"), "m.watermark_mb")
 
 
-@query("f15_input_format", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN starts_with(text, 'G') THEN 'ts' ELSE CASE WHEN text = '' THEN 'ts' ELSE 'fmp4' END END WHEN doc_id % 4 = 1 THEN 'ts' WHEN doc_id % 4 = 2 THEN 'fmp4' ELSE 'ts' END AS input_format FROM documents""")
+@query("f15_input_format", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN starts_with(text, 'G') THEN 'ts' ELSE CASE WHEN text = '' THEN 'ts' ELSE 'fmp4' END END WHEN doc_id % 4 = 1 THEN 'ts' WHEN doc_id % 4 = 2 THEN 'fmp4' ELSE 'ts' END AS input_format, CASE WHEN starts_with(text, 'G') OR text = '' THEN 'ts' ELSE 'fmp4' END AS by_bytes FROM documents""")
 def f15(spark, sf):
     url = F.element_at(F.array(F.lit(""), F.lit("https://c/x.ts?a"), F.lit("https://c/x.m4s"), F.lit("https://c/x")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", media.input_format(url, F.encode("text", "UTF-8")).alias("input_format"))
+    return table(spark, sf, "documents").select("doc_id", media.input_format(url, F.encode("text", "UTF-8")).alias("input_format"),
+                                                      media.input_format(F.lit(""), F.encode("text", "UTF-8")).alias("by_bytes"))
 
 
 @query("j10_decrypt_segments", """SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'decrypt_failed' WHEN doc_id % 5 = 0 THEN 'clear' ELSE 'decrypted' END AS status, CASE WHEN doc_id % 7 <> 3 THEN text END AS plain_text

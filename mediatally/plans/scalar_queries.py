@@ -80,7 +80,7 @@ def x8(spark, sf):
 
 _PX = "CAST(coalesce(try_cast(split_part(resolution, 'x', 1) AS BIGINT) * try_cast(split_part(resolution, 'x', 2) AS BIGINT), 0) AS BIGINT)"
 _H = "coalesce(try_cast(split_part(resolution, 'x', 2) AS BIGINT), 0)"
-_LABEL = f"CASE WHEN resolution IS NULL THEN '' WHEN {_H} >= 4320 THEN '4320p' WHEN {_H} >= 2160 THEN '4K' WHEN {_H} >= 1440 THEN '2K' WHEN {_H} >= 1080 THEN '1080p' WHEN {_H} >= 720 THEN '720p' WHEN {_H} >= 480 THEN '480p' WHEN {_H} >= 360 THEN '360p' ELSE '低清' END"
+_LABEL = f"CASE WHEN resolution IS NULL THEN '' WHEN {_H} >= 4320 THEN '4320p' WHEN {_H} >= 2160 THEN '4K' WHEN {_H} >= 1440 THEN '2K' WHEN {_H} >= 1080 THEN '1080p' WHEN {_H} >= 720 THEN '720p' WHEN {_H} >= 480 THEN '480p' WHEN {_H} >= 360 THEN '360p' ELSE 'low' END"
 _DASH = f"CASE WHEN resolution IS NULL THEN '' WHEN {_H} >= 2160 THEN '4K' WHEN {_H} >= 1080 THEN '1080p' WHEN {_H} >= 720 THEN '720p' WHEN {_H} >= 480 THEN '480p' ELSE {_H} || 'p' END"
 
 
@@ -95,7 +95,7 @@ def sql_bytes(c: str) -> str:
     def part(p, unit):
         v = f"({c}::DOUBLE / {1024 ** p})"
         return f"CASE WHEN {v} >= 100 THEN CAST(floor({v} + 0.5)::BIGINT AS STRING) ELSE CAST(floor({v} * 10 + 0.5)::BIGINT // 10 AS STRING) || '.' || CAST(floor({v} * 10 + 0.5)::BIGINT % 10 AS STRING) END || ' {unit}'"
-    return (f"CASE WHEN {c} IS NULL OR {c} < 0 THEN '未知' WHEN {c} < 1024 THEN CAST({c} AS STRING) || ' B' WHEN {c} < {1024 ** 2} THEN {part(1, 'KB')} "
+    return (f"CASE WHEN {c} IS NULL OR {c} < 0 THEN 'unknown' WHEN {c} < 1024 THEN CAST({c} AS STRING) || ' B' WHEN {c} < {1024 ** 2} THEN {part(1, 'KB')} "
             f"WHEN {c} < {1024 ** 3} THEN {part(2, 'MB')} WHEN {c} < {1024 ** 4} THEN {part(3, 'GB')} ELSE {part(4, 'TB')} END")
 
 
@@ -150,12 +150,12 @@ def x14(spark, sf):
         text.build_filename("{index}-{title}_{duration}.{site} {nope} {bitrate}", meta).alias("full_name"))
 
 
-_TPL = "CASE doc_id % 4 WHEN 0 THEN concat('{{title}}-', left(text, 50)) WHEN 1 THEN concat('{{index}}', text) WHEN 2 THEN left(text, 20) ELSE ' ' END"
+_TPL = "CASE doc_id % 4 WHEN 0 THEN concat('{{title}}-', text) WHEN 1 THEN concat('{{index}}', text) WHEN 2 THEN text ELSE ' ' END"
 
 
 @query("x15_validate_template", f"""
-SELECT doc_id, reason IS NULL AS ok, reason FROM (SELECT doc_id, CASE WHEN trim(t) = '' THEN '模板不能为空' WHEN length(t) > 200 THEN '模板长度不能超过 200'
-  WHEN NOT (contains(t, '{{title}}') OR contains(t, '{{index}}')) THEN '模板必须包含 {{title}} 或 {{index}}，否则文件名会重复' END AS reason
+SELECT doc_id, reason IS NULL AS ok, reason FROM (SELECT doc_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 200 THEN 'too_long'
+  WHEN NOT (contains(t, '{{title}}') OR contains(t, '{{index}}')) THEN 'not_unique' END AS reason
   FROM (SELECT doc_id, {_TPL.replace('{{', '{').replace('}}', '}')} AS t FROM documents) d) e""")
 def x15(spark, sf):
     tpl = F.expr(_TPL.replace("{{", "{").replace("}}", "}"))
@@ -193,12 +193,12 @@ def x19(spark, sf):
 
 def sql_masked(u: str) -> str:
     parts = f"list_filter(string_split(regexp_replace(split_part({u}, '?', 1), '^[a-z]+://[^/]*', ''), '/'), lambda p: p <> '')[1:3]"
-    return f"CASE WHEN {u} NOT LIKE '%://%' THEN '(非法地址)' ELSE {sql_host(u)} || '/' || array_to_string({parts}, '/') || CASE WHEN len({parts}) > 0 THEN '/' ELSE '' END || '***' END"
+    return f"CASE WHEN {u} NOT LIKE '%://%' THEN '(invalid)' ELSE {sql_host(u)} || '/' || array_to_string({parts}, '/') || CASE WHEN len({parts}) > 0 THEN '/' ELSE '' END || '***' END"
 
 
 @query("x20_sanitize_url", with_ctes(f"""
 SELECT request_id, {sql_masked('url')} AS masked, CASE WHEN request_id % 3 = 0 THEN '/**' ELSE 'f' || request_id || '.mp4/**' END AS masked_path,
-  CASE WHEN status_code = 206 THEN '已附凭证' ELSE '无凭证' END AS note FROM requests""", "requests"))
+  CASE WHEN status_code = 206 THEN 'credentials' ELSE 'no_credentials' END AS note FROM requests""", "requests"))
 def x20(spark, sf):
     name = F.concat(F.lit("f"), F.col("request_id").cast("string"), F.lit(".mp4"))
     path = F.when(F.col("request_id") % 3 == 0, name).otherwise(F.concat(F.lit("/home/user/"), name))
@@ -282,10 +282,10 @@ def x26(spark, sf):
 
 @query("x27_item_tags", with_ctes(f""", {LISTED}
 SELECT media_id, array_to_string(list_filter([
-  CASE WHEN {_LABEL} <> '' THEN {_LABEL} || CASE WHEN media_id % 4 > 1 THEN ' · ' || media_id % 4 || ' 变体' ELSE '' END END,
-  CASE WHEN protocol = 'dash' AND track_count > 1 THEN 'DASH 双轨' END, CASE WHEN protocol = 'dash' AND track_count = 1 THEN '仅视频轨（无声音）' END,
-  CASE WHEN encryption = 'aes128' THEN 'AES-128' END, CASE WHEN blocked_reason = 'drm' THEN '🔒 受保护' END, CASE WHEN blocked_reason = 'sampleaes' THEN '🔒 SAMPLE-AES' END,
-  CASE WHEN blocked_reason = 'live' THEN '直播 · 本期不支持' END, CASE WHEN status = 'parse_failed' THEN '解析失败' END, CASE WHEN status = 'parsing' THEN '解析中' END
+  CASE WHEN {_LABEL} <> '' THEN {_LABEL} || CASE WHEN media_id % 4 > 1 THEN ' · ' || media_id % 4 || ' variants' ELSE '' END END,
+  CASE WHEN protocol = 'dash' AND track_count > 1 THEN 'dash_two_tracks' END, CASE WHEN protocol = 'dash' AND track_count = 1 THEN 'video_only' END,
+  CASE WHEN encryption = 'aes128' THEN 'AES-128' END, CASE WHEN blocked_reason = 'drm' THEN 'protected' END, CASE WHEN blocked_reason = 'sampleaes' THEN 'sample_aes' END,
+  CASE WHEN blocked_reason = 'live' THEN 'live' END, CASE WHEN status = 'parse_failed' THEN 'parse_failed' END, CASE WHEN status = 'parsing' THEN 'parsing' END
   ], lambda t: t IS NOT NULL), '|') AS tags,
   concat_ws(' · ', resolution, CASE WHEN size_bytes IS NOT NULL THEN {sql_bytes('size_bytes')} END, upper(split_part(split_part(master_url, '?', 1), '.', -1))) AS spec
 FROM listed""", "items"))
@@ -299,7 +299,7 @@ def x27(spark, sf):
 @query("x28_task_progress", with_ctes("""
 , t AS (SELECT *, task_id % 12 AS total, task_id % 7 AS done, total_bytes // (task_id % 5 + 1) AS got, (task_id % 600) / 2.0::DOUBLE AS el FROM tasks)
 SELECT task_id, CASE WHEN stage = 'merging' THEN NULL WHEN total > 0 THEN round(least(100.0, done::DOUBLE / total * 100), 6) WHEN total_bytes > 0 AND got > 0 THEN round(least(100.0, got::DOUBLE / total_bytes * 100), 6) WHEN stage = 'done' THEN 100.0 ELSE 0.0 END AS pct,
-  CASE stage WHEN 'downloading' THEN '下载中' WHEN 'merging' THEN '合并中' ELSE stage END AS label,
+  CASE stage WHEN 'downloading' THEN 'fetching' WHEN 'merging' THEN 'joining' ELSE stage END AS label,
   CASE WHEN el > 1 AND got > 0 THEN round(got::DOUBLE / el, 3) ELSE 0.0 END AS speed_bps,
   CASE WHEN el > 1 AND got > 0 AND total_bytes > 0 THEN round(greatest(0.0, (total_bytes - got) / greatest(got::DOUBLE / el, 1.0)), 6) END AS eta_sec FROM t""", "tasks"))
 def x28(spark, sf):
@@ -313,11 +313,11 @@ _MERGE_ERRORS = ["unsupported_codec:HEVC", "merge_validation_failed:no_ftyp", "b
 
 
 @query("x29_error_text", with_ctes(f"""
-SELECT shown, count(*) AS n FROM (SELECT CASE WHEN status_code IN (401, 403) THEN '访问凭证已失效（401），请刷新页面后重试' WHEN status_code = 404 THEN '源文件不存在（404）'
-  WHEN status_code IN (429, 503) THEN '站点限流，已多次自动降速仍失败' WHEN segment_index % 3 = 0 THEN '连接超时' WHEN segment_index % 3 = 1 THEN '内存水位不足，建议安装本地处理引擎' ELSE '未知错误' END AS shown
+SELECT shown, count(*) AS n FROM (SELECT CASE WHEN status_code IN (401, 403) THEN 'credential_expired' WHEN status_code = 404 THEN 'not_found'
+  WHEN status_code IN (429, 503) THEN 'rate_limited' WHEN segment_index % 3 = 0 THEN 'timed_out' WHEN segment_index % 3 = 1 THEN 'out_of_memory' ELSE 'unknown_error' END AS shown
   FROM fetch_attempts WHERE status_code <> 200) e GROUP BY shown
 UNION ALL SELECT code || ' ' || t, count(*) FROM (SELECT CASE task_id % 3 WHEN 0 THEN 'unsupported_codec' WHEN 1 THEN 'merge_validation' ELSE 'merge_failed' END AS code,
-  CASE task_id % 3 WHEN 0 THEN '视频编码不受浏览器内引擎支持：HEVC' WHEN 1 THEN '合并校验失败：merge_validation_failed:no_ftyp' ELSE '合并处理失败：boom' END AS t FROM tasks) m GROUP BY ALL""", "fetch_attempts", "tasks"))
+  CASE task_id % 3 WHEN 0 THEN 'codec: HEVC' WHEN 1 THEN 'validation: merge_validation_failed:no_ftyp' ELSE 'merge: boom' END AS t FROM tasks) m GROUP BY ALL""", "fetch_attempts", "tasks"))
 def x29(spark, sf):
     message = F.element_at(F.array(F.lit("timeout"), F.lit("out of memory"), F.lit("")), (F.col("segment_index") % 3 + 1).cast("int"))
     a = table(spark, sf, "fetch_attempts").filter("status_code <> 200").select(media.error_text(F.col("status_code"), message).alias("shown"))
@@ -384,7 +384,7 @@ def f10(spark, sf):
     return item_ops.downloadable_only(listed_items(spark, sf)).select("media_id")
 
 
-@query("f10_explain_blocked", with_ctes(f""", {LISTED} SELECT media_id, CASE WHEN blocked_reason = 'live' THEN '直播流暂不支持下载' ELSE '该内容受数字版权保护（DRM），平台限制下载，本扩展不提供绕过' END AS why
+@query("f10_explain_blocked", with_ctes(f""", {LISTED} SELECT media_id, CASE WHEN blocked_reason = 'live' THEN 'live' ELSE 'protected' END AS why
 FROM listed WHERE NOT downloadable""", "items"))
 def f10b(spark, sf):
     return item_ops.explain_blocked(listed_items(spark, sf)).select("media_id", "why")

@@ -89,7 +89,7 @@ def r6(spark, sf):
 
 
 _NOTICES = """, w AS (SELECT ts_ms // 2000 * 2000 AS window_ms, count(*) AS completions, min('task-' || task_id) AS a, max('task-' || task_id) AS b FROM task_events WHERE stage = 'done' GROUP BY 1)
-SELECT window_ms, completions, unnest(CASE WHEN completions >= 3 THEN [completions || ' 个下载已完成'] WHEN completions = 2 THEN [a, b] ELSE [a] END) AS notice FROM w"""
+SELECT window_ms, completions, unnest(CASE WHEN completions >= 3 THEN [completions || ' completed'] WHEN completions = 2 THEN [a, b] ELSE [a] END) AS notice FROM w"""
 
 
 @query("r8_coalesce_completions", with_ctes(_NOTICES, "task_events"))

@@ -82,8 +82,8 @@ _CENSUS = """census AS (SELECT segment_id, CASE WHEN bool_or(stream_type = 27) T
   CASE WHEN bool_or(stream_type IN (15, 17)) THEN 'aac' WHEN bool_or(stream_type = 129) THEN 'ac3' WHEN bool_or(stream_type = 3) THEN 'mp3' ELSE 'unknown' END AS audio FROM stream_types GROUP BY segment_id)"""
 
 
-@query("a10_codec_census", with_ctes(f""", {_CENSUS} SELECT segment_id, video, audio, CASE video WHEN 'h264' THEN 'H.264' WHEN 'hevc' THEN 'HEVC (H.265)' WHEN 'mpeg2' THEN 'MPEG-2' ELSE '未知' END || ' + ' ||
-  CASE audio WHEN 'aac' THEN 'AAC' WHEN 'ac3' THEN 'AC3' WHEN 'mp3' THEN 'MP3' ELSE '未知' END AS label FROM census""", "stream_types"))
+@query("a10_codec_census", with_ctes(f""", {_CENSUS} SELECT segment_id, video, audio, CASE video WHEN 'h264' THEN 'H.264' WHEN 'hevc' THEN 'HEVC (H.265)' WHEN 'mpeg2' THEN 'MPEG-2' ELSE 'unknown' END || ' + ' ||
+  CASE audio WHEN 'aac' THEN 'AAC' WHEN 'ac3' THEN 'AC3' WHEN 'mp3' THEN 'MP3' ELSE 'unknown' END AS label FROM census""", "stream_types"))
 def a10(spark, sf):
     return timeline.codec_census(table(spark, sf, "stream_types"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import media, urls
@@ -12,7 +9,6 @@ from mediatally.functions import media, urls
 _TAG = r"""(?i)</?(?:video|audio|source)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style|textarea|title|noscript)\b[^>]*>.*?</\1\s*>"
 _ATTR = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
-_FOUND = "array<struct<rank:int,tag:string,src:string,poster:string,title:string>>"
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -23,7 +19,20 @@ def _attr(tag: Column, name: str) -> Column:
         lambda v: F.concat(v["g2"], v["g3"], v["g4"]))
     at = F.array_position(F.transform(names, lambda n: F.lower(n)), name).cast("int")
     raw = F.when(at > 0, F.get(values, at - 1))
-    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    return _unescaped(raw)
+
+
+def _unescaped(raw: Column) -> Column:
+    """Numeric character references and the five named ones of XML as characters."""
+    def char_of(ref: Column) -> Column:
+        code = F.when(F.lower(ref).startswith("&#x"), F.conv(F.regexp_extract(ref, r"([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(
+            F.regexp_extract(ref, r"(\d+)", 1)).try_cast("bigint")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+    refs = F.array_distinct(F.regexp_extract_all(raw, F.lit(r"&#(?:[xX][0-9A-Fa-f]+|\d+);"), F.lit(0)))
+    raw = F.when(raw.contains("&#"), F.aggregate(refs, raw, lambda acc, ref: F.replace(acc, ref, char_of(ref)))).otherwise(raw)
+    for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         raw = F.replace(raw, F.lit(entity), F.lit(char))
     return raw
 
@@ -43,52 +52,13 @@ def _elements_by_pattern(html: Column) -> Column:
         F.coalesce(_attr(m["t"], "title"), _attr(m["t"], "aria-label")).alias("title"))))
 
 
-class _Scan(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.found = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in ("video", "audio", "source") or (tag == "source" and not self.depth):
-            return
-        self.depth += tag != "source"
-        first = {}
-        for k, v in attrs:
-            first.setdefault(k, v or "")
-        self.found.append({
-            "rank": len(self.found) + (1_000_000_000 if tag == "source" else 0), "tag": tag, "src": first.get("src"),
-            "poster": first.get("poster"), "title": first.get("title", first.get("aria-label"))})
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag in ("video", "audio"):
-            self.depth = max(0, self.depth - 1)
-
-
-def _elements_by_parser(batches):
-    for pdf in batches:
-        found = []
-        for html in pdf["html"]:
-            scan = _Scan()
-            scan.feed(html)
-            scan.close()
-            found.append(sorted(scan.found, key=lambda e: e["rank"]))
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "found": found})
-
-
-def scan_pages(pages: DataFrame, exact: bool = False) -> DataFrame:
+def scan_pages(pages: DataFrame) -> DataFrame:
     """S3: page hints from `video`, `audio` and their `source` elements, one per page, src and tag.
 
-    Pages without such a tag are dropped by a JVM-side test first. The default finds tags by pattern and
-    stays in the JVM; `exact` runs an HTML parser over Arrow batches of the pages that are left.
+    Pages without such a tag are dropped first; tags are found by pattern.
     """
     candidates = pages.select("page_id", "url", "html").filter(F.col("html").rlike(r"(?i)<(?:video|audio)[\s/>]"))
-    if exact:
-        rows = candidates.mapInPandas(_elements_by_parser, f"page_id bigint, url string, found {_FOUND}")
-    else:
-        rows = candidates.select("page_id", "url", _elements_by_pattern(F.col("html")).alias("found"))
+    rows = candidates.select("page_id", "url", _elements_by_pattern(F.col("html")).alias("found"))
     usable = F.filter("found", lambda e: F.coalesce(
         e["src"].startswith("blob:") | e["src"].rlike(media.PAGE_MEDIA_EXT), F.lit(False)))
     rows = rows.withColumn("_usable", usable)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from mediatally.plans.tables import BASE_TABLES, deps, derived, table
 from mediatally.session import scratch_dir
 
-_PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -25,11 +24,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @contextmanager
 def _stream_settings(spark: SparkSession) -> Iterator[None]:
-    """Settings a stream takes over when it starts: RocksDB state, and in local mode one state partition per core."""
+    """Settings a stream takes over when it starts: RocksDB state. It has the session's number of partitions."""
     wanted = {_PROVIDER: ROCKSDB}
-    context = spark.sparkContext
-    if context.master.startswith("local") and int(spark.conf.get(_PARTITIONS)) > context.defaultParallelism:
-        wanted[_PARTITIONS] = str(context.defaultParallelism)
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)

@@ -17,7 +17,7 @@ def completion_windows(completions: DataFrame, *, span: str = "2 seconds") -> Da
 
 def completion_notices(windows: DataFrame) -> DataFrame:
     """Three or more completions of a window give one summary, fewer give one notice each."""
-    summary = F.array(F.concat(F.col("completions").cast("string"), F.lit(" 个下载已完成")))
+    summary = F.array(F.concat(F.col("completions").cast("string"), F.lit(" completed")))
     notices = (
         F.when(F.col("completions") >= 3, summary)
         .when(F.col("completions") == 2, F.array("first_title", "last_title")).otherwise(F.array("first_title")))

@@ -74,21 +74,21 @@ def test_host_ext_and_masks(value):
     assert value(urls.ext_from_url(L("https://a/b/MOV.MP4"))) == "mp4"
     assert value(urls.sanitize_url(L("https://c.com/a/b/c/d.ts?token=1"))) == "c.com/a/b/c/***"
     assert value(urls.sanitize_url(L("https://c.com"))) == "c.com/***"
-    assert value(urls.sanitize_url(L("?"))) == "(非法地址)"
+    assert value(urls.sanitize_url(L("?"))) == "(invalid)"
     assert value(urls.sanitize_path(L("/home/u/file.mp4"))) == "file.mp4/**"
     assert value(urls.sanitize_path(L("/file"))) == "/**"
-    assert value(urls.credentials_note(L(True))) == "已附凭证"
+    assert value(urls.credentials_note(L(True))) == "credentials"
 
 
 @pytest.mark.parametrize("size,want", [
-    (428 * 1024 * 1024, "428 MB"), (1.2 * 1024 ** 3, "1.2 GB"), (7.4 * 1024 ** 2, "7.4 MB"), (512, "512 B"), (None, "未知"), (-1, "未知"),
+    (311 * 1024 * 1024, "311 MB"), (3.7 * 1024 ** 3, "3.7 GB"), (2.6 * 1024 ** 2, "2.6 MB"), (77, "77 B"), (None, "unknown"), (-1, "unknown"),
     (1024, "1.0 KB"), (99.96 * 1024, "100.0 KB"), (5 * 1024 ** 5, "5120 TB"),
 ])
 def test_format_bytes(value, size, want):
     assert value(text.format_bytes(L(size).cast("double"))) == want
 
 
-@pytest.mark.parametrize("sec,want", [(5025, "01:23:45"), (192, "00:03:12"), (0, "--:--"), (None, "--:--"), (-5, "--:--"), (360000, "100:00:00"), (59.5, "00:01:00")])
+@pytest.mark.parametrize("sec,want", [(7384, "02:03:04"), (61, "00:01:01"), (0, "--:--"), (None, "--:--"), (-5, "--:--"), (360000, "100:00:00"), (59.5, "00:01:00")])
 def test_format_duration(value, sec, want):
     assert value(text.format_duration(L(sec).cast("double"))) == want
 
@@ -106,28 +106,28 @@ def test_resolution(value):
     assert value(media.resolution_of(L("1920x1080"))["label"]) == "1080p"
     assert value(media.resolution_of(L("1280x720"))["pixels"]) == 1280 * 720
     assert value(media.resolution_of(L(None).cast("string"))["label"]) == ""
-    assert value(media.resolution_of(L("320x200"))["label"]) == "低清"
+    assert value(media.resolution_of(L("320x200"))["label"]) == "low"
     assert value(media.quality_label_dash(L("640x360"))) == "360p"
 
 
-META = dict(title="第一讲-环境搭建", site="example.com", resolution="1920x1080", quality="1080p", bitrate=4500.0, duration_sec=5025.0,
-            date="20260918", time="162330", index=3, ext="mp4")
+META = dict(title="Kuusi ja tähti", site="tube.test", resolution="1440x1080", quality="1080p", bitrate=731.0, duration_sec=7384.0,
+            date="19991231", time="235958", index=8, ext="mkv")
 
 
 @pytest.mark.parametrize("template,change,want", [
-    ("{title}-{resolution}", {}, "第一讲-环境搭建-1920x1080.mp4"),
-    ("{title}.flv", {}, "第一讲-环境搭建.mp4"),
-    ("{title}-{resolution}", {"resolution": None}, "第一讲-环境搭建.mp4"),
-    ("{index}-{title}", {"index": None}, "第一讲-环境搭建.mp4"),
-    ("{index}-{title}", {}, "03-第一讲-环境搭建.mp4"),
-    ("{title}-{duration}", {}, "第一讲-环境搭建-01h23m45s.mp4"),
-    ("{title}", {"title": 'a/b\\c:d*e?f"g<h>i|j'}, "abcdefghij.mp4"),
-    ("{title}", {"title": "x" * 200}, "x" * 150 + ".mp4"),
-    ("{quality}", {"quality": None}, "第一讲-环境搭建.mp4"),
-    ("{title}-{nope}", {}, "第一讲-环境搭建-{nope}.mp4"),
-    ("{title}_{bitrate}", {}, "第一讲-环境搭建_4500kbps.mp4"),
-    ("{title}", {"title": "a {site} b"}, "a {site} b.mp4"),
-    ("{title}", {"title": None}, "未命名媒体.mp4"),
+    ("{title}-{resolution}", {}, "Kuusi ja tähti-1440x1080.mkv"),
+    ("{title}.flv", {}, "Kuusi ja tähti.mkv"),
+    ("{title}-{resolution}", {"resolution": None}, "Kuusi ja tähti.mkv"),
+    ("{index}-{title}", {"index": None}, "Kuusi ja tähti.mkv"),
+    ("{index}-{title}", {}, "08-Kuusi ja tähti.mkv"),
+    ("{title}-{duration}", {}, "Kuusi ja tähti-02h03m04s.mkv"),
+    ("{title}", {"title": 'a/b\\c:d*e?f"g<h>i|j'}, "abcdefghij.mkv"),
+    ("{title}", {"title": "x" * 200}, "x" * 150 + ".mkv"),
+    ("{quality}", {"quality": None}, "Kuusi ja tähti.mkv"),
+    ("{title}-{nope}", {}, "Kuusi ja tähti-{nope}.mkv"),
+    ("{title}_{bitrate}", {}, "Kuusi ja tähti_731kbps.mkv"),
+    ("{title}", {"title": "a {site} b"}, "a {site} b.mkv"),
+    ("{title}", {"title": None}, "未命名媒体.mkv"),
 ])
 def test_build_filename(value, template, change, want):
     types = {"bitrate": "double", "duration_sec": "double", "index": "bigint"}
@@ -142,16 +142,16 @@ def test_validate_template(value):
 
 
 PROFILE = [
-    ("audio", "https://i.example.com/C4.m4a?guid=1", "progressive", None, "original", ("audio", "m4a", "m4a", "audio/mp4")),
-    ("audio", "https://cdn.example.com/song.mp3?token=x", "progressive", None, "original", ("audio", "mp3", "mp3", "audio/mpeg")),
-    ("audio", "https://cdn.example.com/stream?id=9", "progressive", "audio/mpeg", "original", ("audio", "mp3", "mp3", "audio/mpeg")),
-    ("audio", "https://cdn.example.com/song.txt", "progressive", "audio/mp4", "original", ("audio", "m4a", "m4a", "audio/mp4")),
-    ("video", "https://cdn.example.com/track.flac", "progressive", None, "original", ("audio", "flac", "flac", "audio/flac")),
-    ("audio", "https://cdn.example.com/song.m4a", "progressive", None, "mp3", ("audio", "mp3", "mp3", "audio/mpeg")),
-    ("video", "https://h/index.m3u8", "hls", None, "mp3", ("video", "mp4", "mp4", "video/mp4")),
-    ("video", "https://h/a.webm", "progressive", None, "original", ("video", "mp4", "webm", "video/mp4")),
-    ("video", "https://h/video.jpg", "progressive", None, "original", ("video", "mp4", "mp4", "video/mp4")),
-    ("video", "https://h/seg.m4s", "progressive", None, "original", ("video", "mp4", "m4s", "video/mp4")),
+    ("audio", "https://radio.test/take.m4a?v=2", "progressive", None, "original", ("audio", "m4a", "m4a", "audio/mp4")),
+    ("audio", "https://radio.test/take.mp3#x", "progressive", None, "original", ("audio", "mp3", "mp3", "audio/mpeg")),
+    ("audio", "https://radio.test/play", "progressive", "audio/mpeg", "original", ("audio", "mp3", "mp3", "audio/mpeg")),
+    ("audio", "https://radio.test/notes.doc", "progressive", "audio/mp4", "original", ("audio", "m4a", "m4a", "audio/mp4")),
+    ("video", "https://radio.test/long.flac?a=1", "progressive", None, "original", ("audio", "flac", "flac", "audio/flac")),
+    ("audio", "https://radio.test/b/c.m4a", "progressive", None, "mp3", ("audio", "mp3", "mp3", "audio/mpeg")),
+    ("video", "https://film.test/all.m3u8", "hls", None, "mp3", ("video", "mp4", "mp4", "video/mp4")),
+    ("video", "https://film.test/x/y.webm", "progressive", None, "original", ("video", "mp4", "webm", "video/mp4")),
+    ("video", "https://film.test/still.png", "progressive", None, "original", ("video", "mp4", "mp4", "video/mp4")),
+    ("video", "https://film.test/9.m4s", "progressive", None, "original", ("video", "mp4", "m4s", "video/mp4")),
 ]
 
 
@@ -161,13 +161,15 @@ def test_output_profile(value, kind, url, protocol, mime, pref, want):
 
 
 def test_iso_duration_and_templates(value):
-    assert value(text.parse_iso_duration(L("PT1H2M3S"))) == 3723
+    assert value(text.parse_iso_duration(L("PT3H1M7S"))) == 10867
     assert value(text.parse_iso_duration(L("P0DT0H30M10.5S"))) == 1810.5
     assert value(text.parse_iso_duration(L("1h"))) is None
     ids = dict(representation_id=L("v1"), bandwidth=L(9))
     assert value(text.substitute_template(L("$RepresentationID$/s-$Number%03d$.m4s"), number=L(7), **ids)) == "v1/s-007.m4s"
     assert value(text.substitute_template(L("$Number%02d$-$Number$-$Bandwidth$"), number=L(1234), **ids)) == "1234-1234-9"
     assert value(text.substitute_template(L("a/$Time$.m4s"), number=L(1), **ids)) == "a/.m4s"
+    assert value(text.substitute_template(L("$Number%03d$/$Number%05d$/$$x$"), number=L(7), **ids)) == "007/00007/$$x$"
+    assert value(text.substitute_template(L("$RepresentationID%04d$-$Bandwidth%03d$"), number=L(7), **ids)) == "00v1-009"
 
 
 def test_icons(value):
@@ -200,7 +202,7 @@ def test_brand_and_format(value):
 
 def test_iv(value):
     assert value(text.aes_iv(L(None).cast("string"), L(258))).hex() == "0" * 29 + "102"
-    assert value(text.aes_iv(L("9c7db8778570d05c3177c349fd9236aa"), L(1))).hex() == "9c7db8778570d05c3177c349fd9236aa"
+    assert value(text.aes_iv(L("0123456789abcdef0f1e2d3c4b5a6978"), L(1))).hex() == "0123456789abcdef0f1e2d3c4b5a6978"
 
 
 def test_classify(value):
@@ -222,3 +224,17 @@ def test_titles(value):
     assert value(text.derive_title(L(""), L("https://c.com/a/b-1.mp4"), L(0))) == "b-1"
     assert value(text.derive_title(L(None).cast("string"), L("https://c.com/"), L(1704067200000))) == "c.com-2024-01-01"
     assert value(text.clean_title(L("  a　b\n/c  "))) == "a bc"
+
+
+def test_urls_are_escaped(value):
+    norm = lambda u: value(urls.normalize_url(L(u)))
+    assert norm("https://Film.test/a b/ä你.mp4?q=x y&z=\"<é#f g") == "https://film.test/a%20b/%C3%A4%E4%BD%A0.mp4?q=x%20y&z=%22%3C%C3%A9#f%20g"
+    assert norm("https://film.test/a%20b") == "https://film.test/a%20b"
+    assert norm("https://film.test/{x}?y={z}") == "https://film.test/%7Bx%7D?y={z}"
+
+
+def test_tracks_with_long_numbers(value):
+    track = value(urls.parse_track_url(L("https://a.film.test/d/base-1-1234567890123456789012.m4s")))
+    assert (track.codec_id, track.track_type, track.key) == (None, "video", "film.test|d/base|1234567890123456789012")
+    track = value(urls.parse_track_url(L("https://a.film.test/d/base-1-0030123.m4s")))
+    assert (track.codec_id, track.track_type, track.key) == (30123, "audio", "film.test|d/base|30123")

@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from mediatally.operators import dedup, items, timeline
 from mediatally.operators.scan import Running, every, numbered, running
@@ -177,3 +177,18 @@ def test_numbered_splits_a_hot_group(spark):
     shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(got))
     assert any("_bucket" in x for x in shuffles)
     assert all("_bucket" in x or "_t_rank" not in x for x in shuffles)
+
+
+def test_running_values_of_null_keys_and_orders_equal_a_plain_window(spark):
+    rows = [(k, None if i % 11 == 0 else i * 400_000, i, i) for i in range(300) for k in (None, "a")]
+    df = spark.createDataFrame(rows, "k string, t bigint, id bigint, v bigint")
+    got = running(df, keys=["k"], order=["t", "id"], bucket=every("t", 3_600_000), s=Running("sum", F.col("v")))
+    plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_dedup_keeps_null_keys_and_rows_without_time(spark):
+    rows = [(None, "u", 0, 1), (None, "u", 30_000, 2), (None, "u", 60_000, 3), (1, None, 5, 4), (1, None, 6, 5), (1, "u", None, 6), (1, "u", None, 7)]
+    df = spark.createDataFrame(rows, "tab bigint, url string, ts_ms bigint, request_id bigint")
+    got = dedup.dedup_window(df, keys=["tab", "url"])
+    assert sorted(r.request_id for r in got.collect()) == [1, 3, 4, 6, 7]
