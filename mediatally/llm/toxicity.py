@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from mediatally.llm.words import LOWER, NO_LETTER, Words, slices, span_hashes, words_of
+from mediatally.session import stage
 
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -77,11 +78,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["features", "toxic"])
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of a logistic regression on the given rows' feature sets.
+def telling(titles, toxic_titles, n, pos):
+    """Whether a feature goes with the label: by a chi-squared test, for numpy arrays and columns alike. A feature is in
+    `titles` of `n` titles and in `toxic_titles` of the `pos` toxic ones."""
+    a, b = toxic_titles, titles - toxic_titles
+    across = a * (n - pos - b) - b * (pos - a)
+    return (titles >= LEAST_TITLES) & (n * across * across >= LEAST_CHI2 * titles * (n - titles) * pos * (n - pos))
 
-    Features that go with the label are chosen by a chi-squared test. The loss has a ridge term and the mean squared
-    change of the score when an identity term in a row is swapped for another one.
+
+def fit(features: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of a logistic regression on the `chosen` ones of the given rows' feature sets.
+
+    The loss has a ridge term and the mean squared change of the score when an identity term in a row is swapped for
+    another one.
     """
     weights = np.zeros(FEATURES, np.float32)
     n, pos = len(toxic), float(toxic.sum())
@@ -89,12 +98,6 @@ def fit(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, floa
         return weights, 0.0 if n == 0 else (6.0 if pos else -6.0)
     row = np.repeat(np.arange(n), [len(f) for f in features])
     flat = np.concatenate(features).astype(np.int64)
-    df = np.bincount(flat, minlength=FEATURES).astype(float)
-    a = np.bincount(flat, weights=toxic[row], minlength=FEATURES)
-    b, c = df - a, pos - a
-    d = n - pos - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1)
-    chosen = np.flatnonzero((df >= LEAST_TITLES) & (chi2 >= LEAST_CHI2))
     number = np.full(FEATURES, -1)
     number[chosen] = np.arange(len(chosen))
     # swaps: row by row the change of the feature counts
@@ -134,12 +137,28 @@ def fit(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, floa
 def learn_toxicity(labelled: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and intercept from rows with `item_id`, `title` and `toxic` (0 or 1; NULL rows are left out).
 
-    Fits on at most `sample` rows, those with the smallest hash of id and label; their feature numbers are what
-    reaches the driver.
+    Fits on the rows given, at most `sample` of them. Features are counted by Spark; the chosen ones, and which of
+    them and of the identity terms each row has, are what reaches the driver.
     """
-    rows = labelled.select("title", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-        _features, "features array<int>, toxic int").toPandas()
-    return fit([np.asarray(f) for f in rows["features"]], rows["toxic"].to_numpy(dtype=float))
+    rows = stage(labelled.select("title", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
+        _features, "features array<int>, toxic int"), "title-features")
+    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = rows.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg(
+        F.count(F.lit(1)).cast("double").alias("titles"), F.sum("toxic").cast("double").alias("toxic_titles"))
+    picked = counts.filter(telling(F.col("titles"), F.col("toxic_titles"), float(n), float(pos))).select("feature").toPandas()
+    chosen = np.sort(picked["feature"].to_numpy(dtype=np.int64))
+    wanted = np.zeros(FEATURES, bool)
+    wanted[chosen] = True
+    wanted[[f for pair in _swaps().values() for side in pair for f in side]] = True
+    given = labelled.sparkSession.sparkContext.broadcast(wanted)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[f for f in own if given.value[f]] for own in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["features", "toxic"])
+
+    table = rows.mapInArrow(reduced, "features array<int>, toxic int").limit(sample).toPandas()  # more only where items repeat
+    return fit([np.asarray(f, dtype=np.int64) for f in table["features"]], table["toxic"].to_numpy(dtype=float), chosen)
 
 
 def sampled_labels(labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:

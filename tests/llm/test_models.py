@@ -103,7 +103,8 @@ def test_swapping_terms_moves_the_score_less_with_the_penalty(monkeypatch):
     moved = {}
     for weight in (0.0, toxicity.FAIRNESS):
         monkeypatch.setattr(toxicity, "FAIRNESS", weight)
-        w, _ = toxicity.fit(sets(texts), np.array(toxic))
+        rows = sets(texts)
+        w, _ = toxicity.fit(rows, np.array(toxic), np.unique(np.concatenate(rows)))
         a, b = sets(["women kalo", "men kalo"])
         moved[weight] = abs(w[a].sum() - w[b].sum())
     assert moved[toxicity.FAIRNESS] < 0.5 * moved[0.0]
