@@ -156,33 +156,49 @@ def hls_encryption(manifests: DataFrame) -> DataFrame:
     return df.select("manifest_id", F.col("_e.method").alias("method"), F.col("_e.key_url").alias("key_url"), F.col("_e.iv_hex").alias("iv_hex"))
 
 
-def playlist_totals(manifests: DataFrame) -> DataFrame:
-    """A3: per media playlist segment count, total and mean duration, target duration, live flag and encryption."""
-    df = _parsed(manifests).filter("playlist_type = 'media' AND size(blocks) > 0")
-    durations = F.transform("blocks", lambda b: _segment(b)["duration"])
-    total = F.aggregate(durations, F.lit(0.0), lambda a, d: a + d)
-    df = df.withColumns({"duration_sec": total, "_e": _encryption()})
-    live = ~F.exists("lines", lambda s: s.startswith("#EXT-X-ENDLIST"))
+def totals_with_url(manifests: DataFrame) -> DataFrame:
+    """`playlist_totals` with the playlist's URL."""
+    df = _parsed(manifests).filter("playlist_type = 'media' AND size(blocks) > 0").withColumns(
+        {"duration_sec": _duration(), "_e": _encryption()})
     return df.select(
-        "manifest_id", F.size("blocks").cast("bigint").alias("segment_count"), "duration_sec",
+        "manifest_id", "url", F.size("blocks").cast("bigint").alias("segment_count"), "duration_sec",
         (F.col("duration_sec") / F.size("blocks")).alias("avg_segment_sec"),
         _tag_number(F.col("lines"), "#EXT-X-TARGETDURATION:", "double").alias("target_sec"),
         _tag_number(F.col("lines"), "#EXT-X-MEDIA-SEQUENCE:", "bigint").alias("media_sequence"),
-        live.alias("live"), F.col("_e.method").alias("encryption"))
+        _live().alias("live"), F.col("_e.method").alias("encryption"))
+
+
+def _duration() -> Column:
+    return F.aggregate(F.transform("blocks", lambda b: _segment(b)["duration"]), F.lit(0.0), lambda a, d: a + d)
+
+
+def _live() -> Column:
+    return ~F.exists("lines", lambda s: s.startswith("#EXT-X-ENDLIST"))
+
+
+def playlist_totals(manifests: DataFrame) -> DataFrame:
+    """A3: per media playlist segment count, total and mean duration, target duration, live flag and encryption."""
+    return totals_with_url(manifests).drop("url")
+
+
+def hls_states(manifests: DataFrame) -> DataFrame:
+    """X24 on playlists: state of every playlist from one reading of it; one that is not valid is listed as failed."""
+    df = _parsed(manifests).withColumns({"_e": _encryption(), "_live": _live()})
+    listed = (F.col("playlist_type") == "media") & (F.size("blocks") > 0)
+    master = (F.col("playlist_type") == "master") & F.exists("blocks", lambda b: F.exists(b["tags"], lambda s: s.startswith("#EXT-X-STREAM-INF:")))
+    state = media.derive_downloadable(F.col("_e.method"), F.col("_live"))
+    return df.select(
+        "manifest_id", "playlist_type",
+        F.when(listed, state["status"]).when(master, F.lit("ready")).otherwise(F.lit("parse_failed")).alias("status"),
+        F.when(listed, state["downloadable"]).otherwise(F.lit(True)).alias("downloadable"),
+        F.when(listed, state["blocked_reason"]).alias("blocked_reason"),
+        F.when(listed, F.col("_e.method")).otherwise(F.lit("none")).alias("encryption"),
+        F.when(listed, F.col("_live")).alias("live"), F.when(listed, _duration()).alias("duration_sec"))
 
 
 def hls_items(manifests: DataFrame) -> DataFrame:
     """X24 on playlists: status of every item; a playlist that is not valid is listed as failed."""
-    totals = playlist_totals(manifests)
-    state = media.derive_downloadable(F.col("encryption"), F.col("live"))
-    media_rows = totals.select("manifest_id", state.alias("s")).select("manifest_id", "s.*")
-    df = _parsed(manifests)
-    ok = (F.col("playlist_type") == "master") & F.exists("blocks", lambda b: F.exists(b["tags"], lambda s: s.startswith("#EXT-X-STREAM-INF:")))
-    failed = (F.col("playlist_type") == "error") | (F.size("blocks") == 0) | ((F.col("playlist_type") == "master") & ~ok)
-    others = df.filter(ok | failed).select(
-        "manifest_id", F.when(ok, F.lit("ready")).otherwise(F.lit("parse_failed")).alias("status"),
-        F.lit(True).alias("downloadable"), F.lit(None).cast("string").alias("blocked_reason"))
-    return media_rows.unionByName(others)
+    return hls_states(manifests).select("manifest_id", "status", "downloadable", "blocked_reason")
 
 
 def cumulative_start(segments: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mediatally.functions import media, urls
-from mediatally.operators import admission, dedup, items
+from mediatally.operators import admission, analysis, dedup, items
 from mediatally.session import stage
 from mediatally.sources.requests import normalize_request
 
@@ -40,14 +40,20 @@ def network_hints(requests: DataFrame, cfg: admission.Admission) -> DataFrame:
     return admission.apply_filters(admitted, cfg).unionByName(tracks, allowMissingColumns=True)
 
 
-def session_media_summary(requests: DataFrame, cfg: admission.Admission = admission.Admission()) -> DataFrame:
+def session_media_summary(requests: DataFrame, cfg: admission.Admission = admission.Admission(),
+                          stored: DataFrame | None = None) -> DataFrame:
     """The chain from a request log to session counts by protocol.
 
+    `stored` are the manifests collected for the log (manifest_id, url, body); with them HLS and DASH items reach
+    their final state, without them they count as not read yet.
+
     The deduplicated hints are staged: merging, attribution and the filter counts all read them.
     """
     hints = stage(network_hints(requests, cfg), "hints")
     accepted = hints.filter("NOT is_track AND reject_reason IS NULL")
     merged = items.merge_items(accepted, session=SESSION)
+    if stored is not None:
+        merged = analysis.apply_manifests(merged, stored)
     manifests = merged.filter("protocol <> 'progressive'")
     segments = accepted.filter("hint_kind = 'segment'")
     owned = items.segments_per_manifest(items.attribute_segments(segments, manifests, session=SESSION), session=SESSION)

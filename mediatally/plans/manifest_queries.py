@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediatally.operators import dash, hls, items
+from mediatally.operators import analysis, dash, hls, items
 from mediatally.plans.registry import query
 from mediatally.plans.tables import table, with_ctes
 
@@ -103,6 +103,52 @@ def x24_hls(spark, sf):
     return hls.hls_items(_hls(spark, sf))
 
 
+# playlists of the masters' variants: of three manifests in a row the first is a master, the others are its variants' playlists
+_VARIANT_URL = ("concat('https://cdn', CAST((manifest_id - manifest_id % 3) % 7 AS STRING), '.example.com/vod/', CAST(manifest_id - manifest_id % 3 AS STRING), "
+                "CASE WHEN manifest_id % 3 = 1 THEN '/480p/index.m3u8' ELSE '/1080p/index.m3u8' END)")
+
+
+def _playlists(spark, sf) -> DataFrame:
+    return _hls(spark, sf).withColumn("url", F.when(F.col("manifest_id") % 3 == 0, F.col("url")).otherwise(F.expr(_VARIANT_URL)))
+
+
+_PROBED = _VARS + f""", totals AS (SELECT manifest_id, sum(duration_sec) AS duration_sec, count(*) AS segment_count, any_value({_ENC}) AS encryption, any_value(live) AS live
+  FROM segs JOIN kinds k USING (manifest_id) GROUP BY manifest_id),
+probed AS (SELECT v.manifest_id, v.rank, v.variant_id, t.duration_sec, t.segment_count, t.encryption, t.live FROM variants v
+  LEFT JOIN totals t ON t.manifest_id = v.manifest_id + CASE WHEN v.playlist_url LIKE '%/480p/%' THEN 1 ELSE 2 END)"""
+
+
+@query("a12_variant_probe", with_ctes(f", {_PROBED} SELECT * FROM probed", "manifests"))
+def a12_probe(spark, sf):
+    variants = hls.hls_variants(_hls(spark, sf)).filter("parse_error IS NULL")
+    return analysis.probe_variants(variants, _playlists(spark, sf)).select(
+        "manifest_id", "rank", "variant_id", "duration_sec", "segment_count", "encryption", "live")
+
+
+@query("x24_items_with_manifests", with_ctes(f""", {_PROBED}, worst AS (
+  SELECT manifest_id, count(*) AS n, max(CASE encryption WHEN 'sampleaes' THEN 2 WHEN 'aes128' THEN 1 ELSE 0 END) AS severity FROM probed GROUP BY manifest_id),
+own AS (SELECT k.manifest_id, k.kind, k.live, {_ENC} AS enc, coalesce(w.severity, 0) AS severity, w.n FROM kinds k LEFT JOIN worst w USING (manifest_id)),
+total AS (SELECT manifest_id, sum(duration_sec) AS duration_sec FROM segs GROUP BY manifest_id)
+SELECT o.manifest_id, CASE WHEN kind = 'error' THEN 'parse_failed' WHEN kind = 'media' AND o.live THEN 'unsupported'
+    WHEN kind = 'media' AND enc = 'sampleaes' OR kind = 'master' AND severity = 2 THEN 'protected'
+    WHEN kind = 'media' AND enc = 'aes128' OR kind = 'master' AND severity = 1 THEN 'ready_encrypted' ELSE 'ready' END AS status,
+  NOT (kind = 'media' AND (o.live OR enc = 'sampleaes') OR kind = 'master' AND severity = 2) AS downloadable,
+  CASE WHEN kind = 'media' AND o.live THEN 'live' WHEN kind = 'media' AND enc = 'sampleaes' OR kind = 'master' AND severity = 2 THEN 'sampleaes' END AS blocked_reason,
+  CASE WHEN kind = 'media' THEN enc WHEN kind = 'master' THEN CASE severity WHEN 2 THEN 'sampleaes' WHEN 1 THEN 'aes128' ELSE 'none' END ELSE 'none' END AS encryption,
+  CASE WHEN kind = 'media' THEN t.duration_sec END AS duration_sec,
+  CASE kind WHEN 'media' THEN 1 WHEN 'master' THEN coalesce(n, 0) ELSE 0 END::BIGINT AS variant_count
+FROM own o LEFT JOIN total t USING (manifest_id)""", "manifests"))
+def x24_items(spark, sf):
+    stored = _hls(spark, sf)
+    hints = stored.select(
+        F.col("manifest_id").alias("request_id"), (F.col("manifest_id") % 50).alias("tab_id"), (F.col("manifest_id") * 1000).alias("ts_ms"),
+        "url", F.lit("application/vnd.apple.mpegurl").alias("mime"), F.lit(None).cast("bigint").alias("size"))
+    merged = items.merge_items(hints, session=["tab_id"])
+    out = analysis.apply_manifests(merged, stored, _playlists(spark, sf))
+    number = F.regexp_extract("master_url", r"/vod/(\d+)/", 1).cast("bigint")
+    return out.select(number.alias("manifest_id"), "status", "downloadable", "blocked_reason", "encryption", "duration_sec", "variant_count")
+
+
 @query("w14_cumulative_start", with_ctes(f", {LINES} SELECT manifest_id, CAST(pos AS INTEGER) AS pos, coalesce(sum(duration_sec) OVER (PARTITION BY manifest_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_sec FROM segs", "manifests"))
 def w14(spark, sf):
     segments = hls.hls_segments(_hls(spark, sf)).filter("parse_error IS NULL")
@@ -156,9 +202,9 @@ def s5(spark, sf):
 
 @query("n5_mpd_representations", f"""
 SELECT doc_id AS manifest_id, NULL AS rep_id, NULL AS track_type, NULL::BIGINT AS bandwidth, NULL AS resolution, NULL AS codecs, NULL AS lang, NULL::BOOLEAN AS live, NULL::DOUBLE AS duration_sec, NULL::DOUBLE AS timescale, 'no MPD element' AS parse_error FROM documents WHERE doc_id % 11 = 10
-UNION ALL SELECT doc_id, 'v720', 'video', 2500000, '1280x720', 'avc1.64001f', NULL, doc_id % 6 = 5, {_DUR}, 1000, NULL FROM documents WHERE doc_id % 11 <> 10
+UNION ALL SELECT doc_id, 'v720', 'video', 2500000, '1280x720', 'hvc1.1.6.L60', NULL, doc_id % 6 = 5, {_DUR}, 1000, NULL FROM documents WHERE doc_id % 11 <> 10
 UNION ALL SELECT doc_id, 'v1080', 'video', 4000000 + n_chars, '1920x1080', NULL, NULL, doc_id % 6 = 5, {_DUR}, 1000, NULL FROM documents WHERE doc_id % 11 <> 10
-UNION ALL SELECT doc_id, 'a128', 'audio', 128000, NULL, 'mp4a.40.2', lang, doc_id % 6 = 5, {_DUR}, 48000, NULL FROM documents WHERE doc_id % 11 <> 10""")
+UNION ALL SELECT doc_id, 'a128', 'audio', 128000, NULL, 'opus', lang, doc_id % 6 = 5, {_DUR}, 48000, NULL FROM documents WHERE doc_id % 11 <> 10""")
 def n5(spark, sf):
     reps = dash.mpd_representations(_mpd(spark, sf))
     live = F.when(F.col("parse_error").isNull(), F.col("live"))

@@ -327,9 +327,9 @@ def x29(spark, sf):
 
 
 @query("x30_aes_iv", with_ctes("""
-SELECT task_id, segment_index, CASE WHEN segment_index % 2 = 0 THEN '9c7db8778570d05c3177c349fd9236aa' ELSE printf('%032x', segment_index) END AS iv FROM segment_store""", "segment_store"))
+SELECT task_id, segment_index, CASE WHEN segment_index % 2 = 0 THEN '00112233445566778899aabbccddeeff' ELSE printf('%032x', segment_index) END AS iv FROM segment_store""", "segment_store"))
 def x30(spark, sf):
-    iv = text.aes_iv(F.when(F.col("segment_index") % 2 == 0, F.lit("9c7db8778570d05c3177c349fd9236aa")), F.col("segment_index"))
+    iv = text.aes_iv(F.when(F.col("segment_index") % 2 == 0, F.lit("00112233445566778899aabbccddeeff")), F.col("segment_index"))
     return table(spark, sf, "segment_store").select("task_id", "segment_index", F.lower(F.hex(iv)).alias("iv"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mediatally.operators import dash, hls
+from mediatally.operators import analysis, dash, hls
 
 MASTER = """#EXTM3U
 #EXT-X-STREAM-INF:BANDWIDTH=777000,RESOLUTION=640x360
@@ -131,3 +131,34 @@ def test_recommended(spark):
     df = spark.createDataFrame([(1, 1, 400), (1, 2, 100), (2, 1, 100), (2, 2, 90)], "item bigint, rank int, size_bytes bigint")
     got = {(r.item, r.rank): (r.recommended, r.preselected) for r in hls.recommended_variant(df, item="item").collect()}
     assert got == {(1, 1): (True, False), (1, 2): (False, True), (2, 1): (True, True), (2, 2): (False, False)}
+
+
+def test_items_take_over_what_their_manifests_say(spark):
+    host = "https://media.test/show/"
+    stored = spark.createDataFrame([
+        (1, host + "all.m3u8?token=a", MASTER), (2, host + "small/list.m3u8", AES + "\n#EXT-X-ENDLIST"), (3, host + "large/list.m3u8", MEDIA),
+        (4, host + "live.m3u8", AES), (5, host + "bad.m3u8", "nothing"), (6, host + "one.mpd", TEMPLATE), (7, host + "drm.mpd", MPD), (8, host + "live.m3u8", MEDIA)],
+        "manifest_id bigint, url string, body string")
+    rows = [(k, host + k, p, "parsing" if p != "progressive" else "ready", True, None) for k, p in (
+        ("all.m3u8", "hls"), ("live.m3u8", "hls"), ("bad.m3u8", "hls"), ("gone.m3u8", "hls"), ("one.mpd", "dash"), ("drm.mpd", "dash"), ("large/list.m3u8", "progressive"))]
+    found = spark.createDataFrame(rows, "name string, dedup_key string, protocol string, status string, downloadable boolean, blocked_reason string")
+    got = {r.name: tuple(r)[3:] for r in analysis.apply_manifests(found, stored).collect()}
+    assert got == {
+        "all.m3u8": ("ready_encrypted", True, None, "aes128", None, None, 4), "live.m3u8": ("unsupported", False, "live", "aes128", True, 3.0, 1),
+        "bad.m3u8": ("parse_failed", True, None, "none", None, None, 0), "gone.m3u8": ("parsing", True, None, None, None, None, None),
+        "one.mpd": ("ready", True, None, "none", False, 21.0, 1), "drm.mpd": ("protected", False, "drm", "drm", False, 7209.0, 0),
+        "large/list.m3u8": ("ready", True, None, None, None, None, None)}
+    probed = {r.playlist_url.rsplit("show/", 1)[1]: (r.duration_sec, r.segment_count, r.encryption, r.live)
+              for r in analysis.probe_variants(hls.hls_variants(stored.filter("manifest_id = 1")), stored).collect()}
+    assert probed == {"small/list.m3u8": (3.0, 1, "aes128", False), "large/list.m3u8": (13.875, 4, "none", False),
+                      "middle/list.m3u8": (None,) * 4, "voice.m3u8": (None,) * 4}
+
+
+def test_summary_with_stored_manifests(spark):
+    from mediatally.plans.flagship import session_media_summary
+
+    log = spark.createDataFrame([(1, 1, 1000, "GET", 200, "http", "https://media.test/show/live.m3u8", "application/vnd.apple.mpegurl", 10)],
+                                "request_id bigint, tab_id bigint, ts_ms bigint, method string, status_code int, kind string, url string, content_type string, content_length bigint")
+    stored = spark.createDataFrame([(4, "https://media.test/show/live.m3u8", AES)], "manifest_id bigint, url string, body string")
+    plain, read = session_media_summary(log).first().asDict(), session_media_summary(log, stored=stored).first().asDict()
+    assert {k for k in plain if plain[k] != read[k]} >= {"parsing_count"} and plain["parsing_count"] == 1 and read["parsing_count"] == 0
