@@ -20,8 +20,20 @@ STAGE_CHANGES = [
 ]
 
 
+def failures_by_code(attempts: DataFrame, tasks: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame:
+    """Failed segments by status code, protocol and number of retries. A task that is not listed has no protocol."""
+    failed = _decided(attempts, max_retry).filter("outcome = 'failed'").select("task_id", "status_code", (F.col("attempts") - 1).alias("retries"))
+    known = tasks.groupBy("task_id").agg(F.max("protocol").alias("protocol"))
+    return failed.join(known, "task_id", "left").groupBy("status_code", "protocol", "retries").agg(F.count(F.lit(1)).alias("failures"))
+
+
 def fetch_outcomes(attempts: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame:
-    """A5: per segment the first deciding attempt: 200 completes, 404 is missing, 401/403 fails on credentials,
+    """A5: per segment its outcome, see `_decided`."""
+    return _decided(attempts, max_retry).drop("status_code")
+
+
+def _decided(attempts: DataFrame, max_retry: int) -> DataFrame:
+    """Per segment the first deciding attempt: 200 completes, 404 is missing, 401/403 fails on credentials,
     any other answer is retried until more than `max_retry` attempts failed. Attempts after it do not count.
     """
     status = F.col("status_code")
@@ -45,7 +57,7 @@ def fetch_outcomes(attempts: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame
     return decided.select(
         "task_id", "segment_index", outcome.alias("outcome"), (upto + 1).cast("bigint").alias("attempts"),
         F.coalesce(code.isin(401, 403), F.lit(False)).alias("credential"), throttled.cast("bigint").alias("throttled"),
-        F.when(outcome == "completed", F.col("d.bytes")).alias("bytes"),
+        F.when(outcome == "completed", F.col("d.bytes")).alias("bytes"), code.alias("status_code"),
     )
 
 

@@ -9,6 +9,7 @@ from mediatally.operators import admission, dedup, items, logs
 from mediatally.plans import flagship
 from mediatally.plans.registry import query
 from mediatally.plans.tables import table, with_ctes
+from mediatally.session import scratch_dir
 from mediatally.sources import pages, requests as req
 
 RULES = ["ads.example.org", "Example.NET ", "", "*.example.com"]
@@ -74,7 +75,10 @@ HINTS = STAGED_HTTP + f", hints AS (SELECT * FROM shttp WHERE NOT {IS_TRACK} AND
 
 @query("s1_read_requests", with_ctes("SELECT request_id, tab_id, frame_id, ts_ms, method, status_code, kind, url FROM requests", "requests"))
 def s1(spark, sf):
-    return table(spark, sf, "requests").select("request_id", "tab_id", "frame_id", "ts_ms", "method", "status_code", "kind", "url")
+    names = ["request_id", "tab_id", "frame_id", "ts_ms", "method", "status_code", "kind", "url"]
+    folder = scratch_dir(spark, "request-log")
+    table(spark, sf, "requests").select(*names).write.json(folder)
+    return req.read_requests(spark, folder, "json").select(*names)
 
 
 @query("s2_normalize_request", with_ctes(f", {NORMALIZED} SELECT request_id, mime, size, has_range FROM normalized", "requests"))

@@ -216,6 +216,15 @@ def s11s(spark, sf):
     return fetch.plan_outputs(_files(spark, sf), "skip", existing=_existing(spark, sf), **_POLICY).select("task_id", "path")
 
 
+@query("a14_failures_by_code", with_ctes(""", f AS (SELECT task_id, segment_index, min(attempt) AS a FROM fetch_attempts
+  WHERE attempt <= 3 AND (status_code BETWEEN 200 AND 399 OR status_code IN (401, 403, 404) OR attempt = 3) GROUP BY ALL)
+SELECT x.status_code, t.protocol, f.a::BIGINT AS retries, count(*) AS failures FROM f JOIN fetch_attempts x ON x.task_id = f.task_id AND x.segment_index = f.segment_index AND x.attempt = f.a
+  LEFT JOIN (SELECT task_id, max(protocol) AS protocol FROM tasks GROUP BY task_id) t ON t.task_id = x.task_id
+WHERE NOT x.status_code BETWEEN 200 AND 399 AND x.status_code <> 404 GROUP BY ALL""", "fetch_attempts", "tasks"))
+def a14_failures(spark, sf):
+    return fetch.failures_by_code(attempts(spark, sf), tasks(spark, sf))
+
+
 @query("s12_scan_segments", with_ctes("SELECT CAST(task_id AS STRING) AS task_id, segment_index, task_id || '#' || printf('%08d', segment_index) AS segment_key FROM segment_store", "segment_store"))
 def s12(spark, sf):
     key = segments.segment_key(F.col("task_id"), F.col("segment_index"))
