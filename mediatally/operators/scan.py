@@ -92,3 +92,29 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
 def numbered(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
     """1-based row number within each group."""
     return running(df, keys=keys, order=order, bucket=bucket, **{name: Running("count", F.lit(1))})
+
+
+def numbered_runs(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, value: Column, link: Column, name: str) -> DataFrame:
+    """`df` with the 1-based number of the run each row lies in. A row starts a run if its `value` is not the `link` of
+    the row before it (NULLs are equal), so `value` and `link` are the same column for runs of equal values.
+
+    One pass: per bucket its first value, last link and inner starts are enough to number the runs of the next ones.
+    """
+    b, k = "_bucket", "_key"
+    columns = df.columns
+    rows = df.withColumns({
+        b: bucket, k: F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys]), "_v": F.struct(value.alias("x")), "_l": F.struct(link.alias("x"))})
+    group = Window.partitionBy(k, b).orderBy(*order)
+    before = F.lag("_l").over(group)
+    rows = rows.withColumn("_inner", (before.isNotNull() & (before["x"].eqNullSafe(F.col("_v.x")) == F.lit(False))).cast("bigint"))
+    scanned = rows.withColumn("_upto", F.sum("_inner").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    position = F.struct(*[F.col(c) for c in order])
+    cut = scanned.groupBy(k, b).agg(
+        F.min_by("_v", position).alias("head"), F.max_by("_l", position).alias("tail"), F.sum("_inner").alias("inner"))
+    carried = Window.partitionBy(k).orderBy(b)
+    last = F.lag("tail").over(carried)
+    cut = cut.withColumn("starts", (last.isNull() | (last["x"].eqNullSafe(F.col("head.x")) == F.lit(False))).cast("bigint"))
+    prior = F.coalesce(F.sum(F.col("starts") + F.col("inner")).over(carried.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.select(k, b, (prior + F.col("starts")).alias("_start"))
+    joined = scanned.join(cut, [k, b])
+    return joined.select(*[c for c in columns if c != name], (F.col("_start") + F.col("_upto")).alias(name))

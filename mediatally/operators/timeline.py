@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediatally.operators.scan import Running, every, numbered, running
+from mediatally.operators.scan import Running, every, numbered, numbered_runs, running
 
 SEQ_WIDTH = 4096
 BYTE_WIDTH = 64 * 1024 * 1024
@@ -54,11 +54,8 @@ def repair_timeline(fragments: DataFrame) -> DataFrame:
 def run_length(samples: DataFrame, value: str, *, keys: list[str] | None = None, order: str = "seq", width: int = SEQ_WIDTH) -> DataFrame:
     """Runs of equal values in order: keys, run_no, first position, value and length."""
     keys = keys or TRACK
-    cut = every(order, width)
-    item = F.struct(F.col(value).alias("v"))
-    seen = running(samples.select(*keys, order, value), keys=keys, order=[order], bucket=cut, _p=Running("last", item, exclusive=True))
-    change = F.when(F.col("_p").isNull() | ~F.col("_p.v").eqNullSafe(F.col(value)), 1)
-    runs = running(seen, keys=keys, order=[order], bucket=cut, run_no=Running("count", change))
+    runs = numbered_runs(samples.select(*keys, order, value), keys=keys, order=[order], bucket=every(order, width),
+                         value=F.col(value), link=F.col(value), name="run_no")
     return runs.groupBy(*keys, "run_no").agg(
         F.min(order).alias("first_pos"), F.min(value).alias("run_value"), F.count(F.lit(1)).alias("run_length"))
 
@@ -71,12 +68,9 @@ def assign_offsets(samples: DataFrame) -> DataFrame:
 
 def contiguous_chunks(placed: DataFrame) -> DataFrame:
     """Chunks of samples that follow each other without a gap in the new layout, per track."""
-    cut = every("seq", SEQ_WIDTH)
-    end = F.col("new_offset") + F.col("sample_size")
-    seen = running(placed, keys=TRACK, order=["seq"], bucket=cut, _end=Running("last", end, exclusive=True))
-    fresh = F.when(F.col("_end").isNull() | (F.col("_end") != F.col("new_offset")), 1)
-    numbered_ = running(seen, keys=TRACK, order=["seq"], bucket=cut, chunk_no=Running("count", fresh))
-    return numbered_.groupBy(*TRACK, "chunk_no").agg(
+    chunks = numbered_runs(placed, keys=TRACK, order=["seq"], bucket=every("seq", SEQ_WIDTH), value=F.col("new_offset"),
+                           link=F.col("new_offset") + F.col("sample_size"), name="chunk_no")
+    return chunks.groupBy(*TRACK, "chunk_no").agg(
         F.min("new_offset").alias("chunk_offset"), F.count(F.lit(1)).alias("sample_count"), F.sum("sample_size").alias("chunk_bytes"))
 
 
