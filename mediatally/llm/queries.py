@@ -138,7 +138,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSAGES_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, i AS start, array_to_string(words[i + 1:i + 35], ' ') AS win
       FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 34, 0))) AS i FROM d)),
 twice AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
