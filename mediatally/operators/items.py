@@ -29,8 +29,8 @@ def merge_items(hints: DataFrame, *, session: list[str], tie: str = "request_id"
     page_title = F.col("page_title") if "page_title" in hints.columns else F.lit(None).cast("string")
     merged = df.groupBy(*session, "dedup_key").agg(
         F.min("ts_ms").alias("detected_ms"),
-        F.min_by(F.struct("url", "mime", F.col("hint_kind").alias("kind"), page_title.alias("page_title")), first).alias("_f"),
-        F.min_by("size", F.when(F.col("size") > 0, first)).alias("size_estimate"),
+        F.min_by(F.struct("url", "mime", "size", F.col("hint_kind").alias("kind"), page_title.alias("page_title")), first).alias("_f"),
+        F.min_by("size", F.when(F.col("size") > 0, first)).alias("_size"),
         F.count(F.lit(1)).alias("hint_count"),
     )
     kind = F.col("_f.kind")
@@ -45,7 +45,8 @@ def merge_items(hints: DataFrame, *, session: list[str], tie: str = "request_id"
         F.when(kind == "manifest", F.lit("parsing")).otherwise(F.lit("ready")).alias("status"),
         (kind != "blob").alias("downloadable"),
         F.when(kind == "blob", F.lit("blob")).alias("blocked_reason"),
-        "size_estimate", "hint_count",
+        # a size that a later hint tells is the media's own only for progressive items
+        F.when(kind == "progressive", F.col("_size")).when(F.col("_f.size") > 0, F.col("_f.size")).alias("size_estimate"), "hint_count",
     )
 
 

@@ -176,11 +176,11 @@ def j11(spark, sf):
 
 MERGED = HINTS + f""", keyed AS (SELECT *, {sql_norm('url')} AS dedup_key, {KIND} AS k FROM hints),
 merged AS (
-  SELECT tab_id, epoch, dedup_key, min(ts_ms) AS detected_ms, arg_min(struct_pack(url := url, mime := mime, k := k), request_id) AS f,
-         arg_min(size, request_id) FILTER (WHERE size > 0) AS size_estimate, count(*) AS hint_count
+  SELECT tab_id, epoch, dedup_key, min(ts_ms) AS detected_ms, arg_min(struct_pack(url := url, mime := mime, k := k, size := size), request_id) AS f,
+         arg_min(size, request_id) FILTER (WHERE size > 0) AS later_size, count(*) AS hint_count
   FROM keyed WHERE k <> 'segment' GROUP BY tab_id, epoch, dedup_key),
 merged_items AS (
-  SELECT tab_id, epoch, dedup_key, detected_ms, f.url AS master_url, f.k AS k, f.mime AS mime, size_estimate, hint_count,
+  SELECT tab_id, epoch, dedup_key, detected_ms, f.url AS master_url, f.k AS k, f.mime AS mime, CASE WHEN f.k = 'progressive' THEN later_size WHEN f.size > 0 THEN f.size END AS size_estimate, hint_count,
          CASE WHEN f.k <> 'manifest' THEN 'progressive' WHEN regexp_matches(f.url, '\\.mpd(\\?|$)') THEN 'dash' ELSE 'hls' END AS protocol,
          CASE WHEN f.k = 'manifest' THEN 'parsing' ELSE 'ready' END AS status
   FROM merged)"""
