@@ -10,7 +10,7 @@ File format. A file is a sequence of blocks; a block holds whole titles:
     data         | the ranks, little-endian, 1 to 4 bytes each
     line feed
 
-All numbers are little-endian. Titles of all blocks of all files, in file name order, are in ascending id order.
+All numbers are little-endian. Titles of all blocks of all files, by part number, are in ascending id order.
 """
 
 from __future__ import annotations
@@ -264,7 +264,9 @@ def read_titles(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     rows = stage(files.mapInArrow(_titles_of, "file string, item_id string, begin bigint, n_tokens bigint, ids_crc32 bigint"), "read-titles")
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    before = F.expr("sum(ids) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")  # one row per file
+    # one row per file; the number, because names of more than 100,000 files are not in its order
+    number = "CAST(regexp_extract(file, 'part-([0-9]+)', 1) AS BIGINT)"
+    before = F.expr(f"sum(ids) OVER (ORDER BY {number}, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     offsets = sizes.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     return rows.join(offsets, "file").select("item_id", "file", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
