@@ -17,6 +17,23 @@ WINDOW = 35
 ANCHOR = 6  # words of the run that names a window's shard
 MOST = 28  # windows in a segment, at most
 SHARD_BYTES = 4 << 20  # message text per shard, on average
+SAMPLE = 20_000  # messages that frequent anchors and segments are looked for in, at most about so many
+FREQUENT = 10  # messages of the sample
+KNOWN = 2**32 - 1  # place of a segment that is in the index for others' sake only
+
+
+@dataclass
+class Frequent:
+    """What a sample shows to be frequent: sorted `anchors`, and sorted `names` of segments (one 64-bit hash each, and
+    a second one in `checks`). Sorting out frequent segments early changes no result: they stand twice in the sample."""
+
+    anchors: np.ndarray
+    names: np.ndarray
+    checks: np.ndarray
+
+    @staticmethod
+    def none() -> Frequent:
+        return Frequent(*[np.zeros(0, U64)] * 3)
 
 
 @dataclass
@@ -43,14 +60,30 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(held[: len(held) - rest], held[rest:]) if rest else held
 
 
-def segments_of(messages: pa.Array) -> Segments:
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of the values in the sorted `known`, -1 for others; a bitmap of low bits spares most the search."""
+    out = np.full(len(values), -1)
+    if len(known):
+        low = np.zeros(1 << 20, bool)
+        low[(known & U64((1 << 20) - 1)).astype(np.int64)] = True
+        maybe = np.flatnonzero(low[(values & U64((1 << 20) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(known, values[maybe]), len(known) - 1)
+        out[maybe] = np.where(known[at] == values[maybe], at, -1)
+    return out
+
+
+def segments_of(messages: pa.Array, frequent: np.ndarray = np.zeros(0, U64)) -> Segments:
+    """All windows in segments. Anchors among `frequent` come after all others, so that only windows without any
+    other run of words have them."""
     words = words_of(messages)
     hashes, row = word_hashes(words), words.row
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none, none.astype(U64), none.astype(np.uint8), none.astype(np.uint32))
-    anchors = _least(run_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
+    runs = run_hashes(hashes, ANCHOR) >> U64(1)
+    runs |= (_among(runs, frequent) >= 0).astype(U64) << U64(63)
+    anchors = _least(runs, WINDOW - ANCHOR + 1)
     at = np.flatnonzero(row[:n] == row[WINDOW - 1:])
     anchor, own = anchors[at], row[at]
     begins = np.ones(len(at), bool)
@@ -69,6 +102,19 @@ def segments_of(messages: pa.Array) -> Segments:
                     symbols[np.repeat(first, width) + spread(width)], checks[np.repeat(first, windows) + spread(windows)])
 
 
+def _edges(segments: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, first symbol, first check) of every segment."""
+    width = segments.windows + WINDOW - 1
+    return width, np.cumsum(width) - width, np.cumsum(segments.windows) - segments.windows
+
+
+def names_of(segments: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every segment's symbols and checks."""
+    width, s_head, c_head = _edges(segments)
+    return (span_hashes(segments.symbols, s_head, width),
+            span_hashes(segments.checks.view(np.uint8), 4 * c_head, 4 * segments.windows, 5))
+
+
 class FmIndex:
     """Counts of byte runs of up to 64 symbols in a text, by backward search.
 
@@ -191,8 +237,7 @@ def confirmed(segments: Segments) -> np.ndarray:
     k = len(segments.windows)
     out = np.zeros(k, U64)
     _, back, times = np.unique(segments.anchor, return_inverse=True, return_counts=True)
-    width = segments.windows + WINDOW - 1
-    s_head, c_head = np.cumsum(width) - width, np.cumsum(segments.windows) - segments.windows
+    width, s_head, c_head = _edges(segments)
     shared = times[back] > 1
     # a segment whose anchor is its own can hold equal windows itself
     own = np.sort((np.repeat(np.arange(k), segments.windows) << 32 | segments.checks)[np.repeat(~shared, segments.windows)])
@@ -200,8 +245,7 @@ def confirmed(segments: Segments) -> np.ndarray:
     keep = np.flatnonzero(shared)
     if not len(keep):
         return out
-    names = np.stack([span_hashes(segments.symbols, s_head[keep], width[keep]),
-                      span_hashes(segments.checks.view(np.uint8), 4 * c_head[keep], 4 * segments.windows[keep], 5)], 1)
+    names = np.stack(names_of(segments), 1)[keep]
     _, one, back, times = np.unique(names, axis=0, return_index=True, return_inverse=True, return_counts=True)
     back = back.reshape(-1)
     first = keep[one]
@@ -223,32 +267,90 @@ def confirmed(segments: Segments) -> np.ndarray:
     return out
 
 
-def _emit(shards: int):
+def _packed(key: np.ndarray, first: np.ndarray, s: Segments, own: np.ndarray) -> bytes:
+    """The segments `own` as one value."""
+    width, s_head, c_head = _edges(s)
+    wide, many = width[own], s.windows[own]
+    return b"".join([
+        key.astype("<i8").tobytes(), s.anchor[own].astype("<u8").tobytes(), first.astype("<u4").tobytes(), many.astype("u1").tobytes(),
+        s.symbols[np.repeat(s_head[own], wide) + spread(wide)].tobytes(), s.checks[np.repeat(c_head[own], many) + spread(many)].astype("<u4").tobytes()])
+
+
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    cuts = np.append(np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]), len(order)) if len(order) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[order[a]]), order[a:b]
+
+
+def _emit(shards: int, given):
+    """Segments by shard; the spans of frequent segments by shard numbers from `shards` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = given.value
         for batch in slices(batches, "msg"):
             key = batch.column(0).to_numpy()
-            s = segments_of(batch.column(1))
+            s = segments_of(batch.column(1), frequent.anchors)
             if not len(s.row):
                 continue
-            shard = (s.anchor % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            width = s.windows + WINDOW - 1
-            s_head, c_head = np.cumsum(width) - width, np.cumsum(s.windows) - s.windows
-            cuts = np.append(np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]), len(order))
+            names, checks = names_of(s)
+            at = _among(names, frequent.names)
+            known = (at >= 0) & (checks == frequent.checks[at]) if len(frequent.names) else np.zeros(len(names), bool)
             rows = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                own = order[a:b]
-                wide, many = width[own], s.windows[own]
-                rows.append(b"".join([
-                    key[s.row[own]].astype("<i8").tobytes(), s.anchor[own].astype("<u8").tobytes(), s.first[own].astype("<u4").tobytes(),
-                    many.astype("u1").tobytes(), s.symbols[np.repeat(s_head[own], wide) + spread(wide)].tobytes(),
-                    s.checks[np.repeat(c_head[own], many) + spread(many)].astype("<u4").tobytes()]))
+            if known.any():
+                own = np.flatnonzero(known)
+                spans = np.stack([key[s.row[own]], s.first[own], s.first[own] + s.windows[own] + WINDOW - 1], 1).astype("<i8")
+                rows.append((shards + int(key[0]) % shards, len(own), spans.tobytes()))
+            rest = np.flatnonzero(~known)
+            for shard, own in _groups((s.anchor[rest] % U64(shards)).astype(np.int64)):
+                own = rest[own]
+                rows.append((shard, len(own), _packed(key[s.row[own]], s.first[own], s, own)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                names=["shard", "segments", "packed"])
+
+    return run
+
+
+def _seen(given):
+    """Anchors (without `given`) or segments (with it) of the sample, once per message."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "msg"):
+            s = segments_of(batch.column(0), given.value if given else np.zeros(0, U64))
+            names, checks = names_of(s) if given and len(s.row) else (s.anchor, s.anchor)
+            _, one = np.unique(np.stack([s.row.astype(U64), names, checks], 1), axis=0, return_index=True)
+            packed = [_packed(np.zeros(1), np.array([KNOWN]), s, one[i: i + 1]) for i in range(len(one))] if given else [b""] * len(one)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[order[cuts[:-1]]]), pa.array(np.diff(cuts)), pa.array(rows, pa.binary())], names=["shard", "segments", "packed"])
+                [pa.array(names[one].view(np.int64)), pa.array(checks[one].view(np.int64)), pa.array(packed, pa.binary()),
+                 pa.array(s.anchor[one].view(np.int64))], names=["name", "check", "packed", "anchor"])
 
     return run
 
 
+def frequent_parts(keyed: DataFrame, shards: int) -> tuple[Frequent, list[tuple[int, int, bytes]]]:
+    """What is frequent in a sample of about SAMPLE messages, and the frequent segments as rows for their shards.
+
+    The sample only decides which way a segment takes, never a result. Its size bounds what reaches the driver.
+    """
+    spark = keyed.sparkSession
+    every = max(1, -(-keyed.count() // SAMPLE))
+    sample = keyed.filter(F.pmod("key", F.lit(every)) == 0).select("msg")
+    schema = "name bigint, check bigint, packed binary, anchor bigint"
+    often = sample.mapInArrow(_seen(None), schema).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    anchors = np.sort(often.select("name").toPandas()["name"].to_numpy(dtype=np.int64).view(U64))
+    if not len(anchors):
+        return Frequent.none(), []
+    parts = sample.mapInArrow(_seen(spark.sparkContext.broadcast(anchors)), schema).groupBy("name", "check").agg(
+        F.count(F.lit(1)).alias("n"), F.min("packed").alias("packed"), F.min("anchor").alias("anchor")).filter(F.col("n") >= FREQUENT).toPandas()
+    names, checks = (parts[c].to_numpy(dtype=np.int64).view(U64) for c in ("name", "check"))
+    order = np.argsort(names)
+    shard = (parts["anchor"].to_numpy(dtype=np.int64).view(U64) % U64(shards)).astype(np.int64)
+    # twice, because they are known to stand in more than one place
+    rows = [(int(n), 1, bytes(p)) for n, p in zip(shard, parts["packed"]) for _ in range(2)]
+    return Frequent(anchors, names[order], checks[order]), rows
+
+
 def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, Segments]:
     parts = []
     for n, data in zip(rows["segments"], rows["packed"]):
@@ -265,10 +367,13 @@ def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, Segments]:
     return key, Segments(np.zeros(0, np.int64), first.astype(np.int64), windows.astype(np.int64), anchor, symbols, checks)
 
 
-def _search(rows: pd.DataFrame) -> pd.DataFrame:
+def _search(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
+    if rows["shard"].iloc[0] >= shards:
+        spans = np.concatenate([np.frombuffer(p, "<i8").reshape(-1, 3) for p in rows["packed"]])
+        return pd.DataFrame(spans.astype(np.int64), columns=["key", "begin", "end"])
     key, segments = _unpacked(rows)
     mask = confirmed(segments)
-    hit = np.flatnonzero(mask)
+    hit = np.flatnonzero((mask != 0) & (segments.first != KNOWN))
     bits = ((mask[hit][:, None] >> np.arange(MOST + 1, dtype=U64)) & U64(1)).astype(np.int8)
     edge = np.diff(bits, axis=1, prepend=0)
     of, begin = np.nonzero(edge == 1)
@@ -299,11 +404,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """`key` and `spans` (sorted by nothing; begin and end words) of all passages to remove, from `key` and `msg`."""
+    """`key` and `spans` (begin and end words, in no order) of all passages to remove, from `key` and `msg`."""
     size = keyed.agg(F.sum(F.octet_length("msg"))).first()[0] or 0
     shards = int(max(16, size // SHARD_BYTES + 1))
-    packed = keyed.select("key", "msg").mapInArrow(_emit(shards), "shard bigint, segments bigint, packed binary")
-    spans = packed.groupBy("shard").applyInPandas(_search, "key bigint, begin bigint, end bigint")
+    frequent, known = frequent_parts(keyed, shards)
+    schema = "shard bigint, segments bigint, packed binary"
+    packed = keyed.select("key", "msg").mapInArrow(_emit(shards, keyed.sparkSession.sparkContext.broadcast(frequent)), schema)
+    if known:
+        packed = packed.unionByName(keyed.sparkSession.createDataFrame(known, schema))
+    spans = packed.groupBy("shard").applyInPandas(lambda rows: _search(rows, shards), "key bigint, begin bigint, end bigint")
     return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -320,8 +429,10 @@ def drop_repeated_passages(logs: DataFrame) -> DataFrame:
     Equal windows have equal least anchors (hashes of six consecutive words), so windows go to the shard of their
     anchor, consecutive ones together in a segment. A shard builds one FM-index over its segments' one-byte word
     symbols and streams the segments through it; windows found twice are confirmed by 32 more bits of a window hash.
-    The number of shards follows the size of the messages, so a shard's index stays bounded. Messages move once, to
-    meet their spans.
+    The number of shards follows the size of the messages, so a shard's index stays bounded. Anchors that are frequent
+    in a sample are only used where nothing else is left, and segments that are frequent in it, so known to stand in
+    several places, stay out of the shards but for one copy that the others are compared with: no shard gets all
+    copies of a passage that a third of the messages share. Messages move once, to meet their spans.
     """
     rows = logs.select("log_id", "msg", F.xxhash64("log_id", "msg").alias("key"))
     spans = repeated_spans(rows).withColumnRenamed("key", "_key")
