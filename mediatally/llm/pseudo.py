@@ -19,7 +19,7 @@ VOCABULARY = CLASSES * PER_CLASS
 RARE = 256  # tokens that rare words are hashed to
 EDGE = VOCABULARY  # stands outside of the title
 ROUNDS = 2
-BATCH = 4096
+BATCH = 8192
 RATE = 0.15
 SEED = 7
 
@@ -247,7 +247,7 @@ def _scores(given):
             found, hashes = _hashed(batch.column(1))
             tokens = words.encode(hashes)
             around = contexts(tokens, found.first)
-            parts = [network.log_probabilities(around[a: a + 4 * BATCH], tokens[a: a + 4 * BATCH]) for a in range(0, len(tokens), 4 * BATCH)]
+            parts = [network.log_probabilities(around[a: a + 2 * BATCH], tokens[a: a + 2 * BATCH]) for a in range(0, len(tokens), 2 * BATCH)]
             sums = np.concatenate([[0.0], np.cumsum(np.concatenate(parts).astype(np.float64))]) if parts else np.zeros(1)
             n = np.diff(found.first)
             total = sums[found.first[1:]] - sums[found.first[:-1]]
