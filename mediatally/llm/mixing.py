@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mediatally.session import stage
+
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 SEED = "mix-1"
@@ -58,7 +60,8 @@ def mix_sites(items: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_rate:
     key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("title", F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     sized = kept.withColumns({"size": title_size(F.col("title")), "_draw": draw})
-    targets = site_targets(sized.select("site", "size"), weights=weights, max_rate=max_rate)
+    # written, so that its size is known when the join is planned: titles stay where they are as long as it is small
+    targets = stage(site_targets(sized.select("site", "size"), weights=weights, max_rate=max_rate), "site-targets")
     targets = targets.withColumnRenamed("site", "_site")
     out = sized.join(targets, F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site")
     rate = F.when(F.col("site_size") > 0, F.least(F.col("target") / F.col("site_size"), F.lit(float(max_rate)))).otherwise(0.0)
