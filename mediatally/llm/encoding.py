@@ -33,7 +33,7 @@ HEAD = "<4s5I"
 END_ID = 0
 NO_NAME = 2**32 - 1
 BLOCK_IDS = 1 << 20
-CACHED = 1_000_000  # units a worker holds; then it starts anew
+CACHED = 400_000  # units a worker holds; then it starts anew
 
 # a run of blanks and line feeds with the run of other characters after it is tokenized on its own
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
