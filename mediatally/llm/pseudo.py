@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.llm.words import LOWER, U64, Words, slices, spread, word_hashes, words_of
+from mediatally.session import stage
 
 REACH = 2  # words to each side
 HIDDEN = 16
-CLASSES = 32
+CLASSES = 32  # at least, and as many tokens per class as classes
 PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS
-RARE = 256  # tokens that rare words are hashed to
-EDGE = VOCABULARY  # stands outside of the title
+SHARED = 4  # one token in so many is shared by rare words
+OFTEN = 4  # a word is frequent from sqrt(words of all titles) / OFTEN times on
+EDGE = VOCABULARY  # stands outside of the title; of a larger vocabulary its size
+BLOCK = 1 << 14  # parameters averaged together
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.15
@@ -26,19 +32,31 @@ SEED = 7
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, sorted, and the token of each. Tokens are dealt over the classes by rank, so that
-    classes are about equally frequent."""
+    """Hashes of the frequent words, sorted, and the token of each. Tokens are dealt over `side` classes of `side` tokens by
+    rank, so that classes are about equally frequent. `totals` holds how often rare words of each shared token occur."""
 
     hashes: np.ndarray
     tokens: np.ndarray
+    side: int
+    totals: np.ndarray
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        rare = VOCABULARY - RARE + (hashes % U64(RARE)).astype(np.int64)
-        rare = (rare % CLASSES) * PER_CLASS + rare // CLASSES
+    @property
+    def size(self) -> int:
+        return self.side * self.side
+
+    def encode(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token of each word, its shared token's number or -1)."""
+        shared = hashes.view(np.int64) % len(self.totals)
+        rare = dealt(self.size - len(self.totals) + shared, self.side)
         if not len(self.hashes):
-            return rare
+            return rare, shared
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.tokens[at], rare)
+        own = self.hashes[at] == hashes
+        return np.where(own, self.tokens[at], rare), np.where(own, -1, shared)
+
+
+def dealt(rank: np.ndarray, side: int) -> np.ndarray:
+    return (rank % side) * side + rank // side
 
 
 def _hashed(titles: pa.Array) -> tuple[Words, np.ndarray]:
@@ -75,14 +93,29 @@ def _merged(held: np.ndarray, times: np.ndarray, more: list[np.ndarray]) -> tupl
     return both[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
-def learn_vocabulary(items: DataFrame) -> Vocabulary:
-    """The most frequent words of all titles; only they reach the driver."""
+def learn_vocabulary(items: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and `word` and `n` of all rare words that occur more than once.
+
+    Every word is counted over all titles. Words that occur sqrt(all)/OFTEN times or more, so at most OFTEN * sqrt(all)
+    words, and those that fill up the classes get tokens of their own; only they and the totals reach the driver.
+    """
     counts = items.select("title").mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).toPandas()
+    counts = stage(counts, "word-counts")
+    often = math.isqrt(counts.agg(F.sum("n")).first()[0] or 0) // OFTEN + 1
+    frequent = counts.filter(F.col("n") >= often).count()
+    side = max(CLASSES, math.isqrt(frequent * SHARED // (SHARED - 1)) + 1)
+    shared = side * side // SHARED
+    top = counts.orderBy(F.desc("n"), "word").limit(side * side - shared).toPandas()
+    rare = counts.filter("false")
+    if len(top) == side * side - shared:
+        n, word = int(top["n"].iloc[-1]), int(top["word"].iloc[-1])
+        rare = counts.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    sums = rare.groupBy(F.pmod("word", F.lit(shared)).alias("token")).agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros(shared, np.int64)
+    totals[sums["token"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
     hashes = top["word"].to_numpy(dtype=np.int64).view(U64)
-    rank = np.arange(len(hashes))
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], ((rank % CLASSES) * PER_CLASS + rank // CLASSES)[order])
+    return Vocabulary(hashes[order], dealt(np.arange(len(hashes)), side)[order], side, totals), rare.filter("n > 1")
 
 
 @dataclass
@@ -97,11 +130,15 @@ class Network:
     word_b: np.ndarray
 
     @staticmethod
-    def new() -> Network:
+    def new(side: int = CLASSES) -> Network:
         rng = np.random.default_rng(SEED)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return Network(small(2 * REACH, VOCABULARY + 1, HIDDEN), small(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32),
-                       small(CLASSES, HIDDEN, PER_CLASS), np.zeros((CLASSES, PER_CLASS), np.float32))
+        return Network(small(2 * REACH, side * side + 1, HIDDEN), small(HIDDEN, side), np.zeros(side, np.float32),
+                       small(side, HIDDEN, side), np.zeros((side, side), np.float32))
+
+    @property
+    def side(self) -> int:
+        return len(self.class_b)
 
     def parts(self) -> list[np.ndarray]:
         return [self.around, self.class_w, self.class_b, self.word_w, self.word_b]
@@ -124,13 +161,13 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        group, member = token // PER_CLASS, token % PER_CLASS
+        group, member = token // self.side, token % self.side
         z = h @ self.class_w + self.class_b
         out = z[np.arange(len(z)), group] - _log_sum(z)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(group[order], np.arange(self.side + 1))
         sorted_h, sorted_m, words = h[order], member[order], np.empty(len(token), np.float32)
-        for c in range(CLASSES):
+        for c in range(self.side):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
                 z = sorted_h[a:b] @ self.word_w[c] + self.word_b[c]
@@ -164,14 +201,14 @@ class Trainer:
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
         net, n = self.net, len(token)
         h = net.hidden(context)
-        group, member = token // PER_CLASS, token % PER_CLASS
+        group, member = token // net.side, token % net.side
         err = _softmax(h @ net.class_w + net.class_b)
         err[np.arange(n), group] -= 1
         back = err @ net.class_w.T
         grads = [(1, ..., h.T @ err / n), (2, ..., err.mean(axis=0))]
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(group[order], np.arange(net.side + 1))
+        for c in range(net.side):
             own = order[cuts[c]: cuts[c + 1]]
             if len(own):
                 part = h[own]
@@ -189,10 +226,10 @@ class Trainer:
             self._move(k, where, grad)
 
 
-def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The tokens at the places around every token of its title; EDGE outside of it."""
+def contexts(tokens: np.ndarray, first: np.ndarray, edge: int = EDGE) -> np.ndarray:
+    """The tokens at the places around every token of its title; `edge` outside of it."""
     counts = np.diff(first)
-    gap = np.full(len(tokens) + REACH * (len(counts) + 1), EDGE, np.int64)
+    gap = np.full(len(tokens) + REACH * (len(counts) + 1), edge, np.int64)
     place = np.arange(len(tokens)) + REACH * (1 + np.repeat(np.arange(len(counts)), counts))
     gap[place] = tokens
     return np.stack([gap[place + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
@@ -205,55 +242,70 @@ def _round_of() -> Column:
 def _train(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = given.value
-        trainer = Trainer(Network.new().filled(flat))
+        trainer = Trainer(Network.new(words.side).filled(flat))
         seen = 0
         for batch in slices(batches, "title"):
             found, hashes = _hashed(batch.column(0))
-            tokens = words.encode(hashes)
-            around = contexts(tokens, found.first)
+            tokens, _ = words.encode(hashes)
+            around = contexts(tokens, found.first, words.size)
             seen += len(tokens)
             for a in range(0, len(tokens), BATCH):
                 trainer.step(around[a: a + BATCH], tokens[a: a + BATCH])
         if seen:
             new = trainer.net.flat()
+            heads = range(0, len(new), BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(new), dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(len(new), float(seen)))],
-                names=["parameter", "weighted", "weight"])
+                [pa.array([a // BLOCK for a in heads], pa.int32()), pa.array([new[a: a + BLOCK].tobytes() for a in heads], pa.binary()),
+                 pa.array([seen] * len(heads), pa.int64())], names=["block", "parameters", "weight"])
 
     return run
 
 
+def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(p, np.float32).astype(np.float64) * w for p, w in zip(rows["parameters"], rows["weight"]))
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "parameters": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
+
+
 def learn_network(items: DataFrame, words: Vocabulary) -> Network:
     """A network trained on all titles. The titles are split into rounds by a hash; in each round every task trains on
     from the same network over its titles, and the results are averaged, weighted by words, parameter by parameter."""
-    network = Network.new()
+    network = Network.new(words.side)
     titles = items.select("title")
     for r in range(ROUNDS):
-        given = items.sparkSession.sparkContext.broadcast((words, network.flat()))  # of fixed size
-        parts = titles.filter(_round_of() == r).mapInArrow(_train(given), "parameter int, weighted double, weight double")
-        mean = parts.groupBy("parameter").agg((F.sum("weighted") / F.sum("weight")).alias("value")).toPandas()
+        given = items.sparkSession.sparkContext.broadcast((words, network.flat()))  # bounded by the vocabulary
+        parts = titles.filter(_round_of() == r).mapInArrow(_train(given), "block int, parameters binary, weight bigint")
+        mean = parts.groupBy("block").applyInPandas(_mean, "block int, parameters binary").toPandas().sort_values("block")
         if len(mean):
-            flat = network.flat()
-            flat[mean["parameter"].to_numpy()] = mean["value"].to_numpy()
-            network = network.filled(flat)
+            network = network.filled(np.frombuffer(b"".join(map(bytes, mean["parameters"])), np.float32))
     return network
 
 
 def _scores(given):
+    """Per title the likelihood of its tokens, and with a rare word's share within its token still without the word's
+    count; the rare words are handed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = given.value
-        network = Network.new().filled(flat)
+        network = Network.new(words.side).filled(flat)
+        log_totals = np.log(np.maximum(words.totals, 1))
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "title"):
             found, hashes = _hashed(batch.column(1))
-            tokens = words.encode(hashes)
-            around = contexts(tokens, found.first)
+            tokens, shared = words.encode(hashes)
+            around = contexts(tokens, found.first, words.size)
             parts = [network.log_probabilities(around[a: a + 2 * BATCH], tokens[a: a + 2 * BATCH]) for a in range(0, len(tokens), 2 * BATCH)]
-            sums = np.concatenate([[0.0], np.cumsum(np.concatenate(parts).astype(np.float64))]) if parts else np.zeros(1)
+            each = np.concatenate([np.zeros(0), *parts])
+            rare = shared >= 0
+            each[rare] -= log_totals[shared[rare]]
+            sums = np.concatenate([[0.0], np.cumsum(each)])
             n = np.diff(found.first)
             total = sums[found.first[1:]] - sums[found.first[:-1]]
+            at = np.concatenate([[0], np.cumsum(rare)])[found.first]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                names=["item_id", "n_words", "log_likelihood", "per_word"])
+                [pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), pa.array(total),
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes[rare].view(np.int64)))],
+                names=["row", "item_id", "n_words", "total", "rare"])
+            row += len(n)
 
     return run
 
@@ -261,16 +313,24 @@ def _scores(given):
 def title_likelihood(items: DataFrame) -> DataFrame:
     """The pseudo-log-likelihood of every title under a network trained on all titles of `items`.
 
-    `items` needs `item_id` and `title`; other columns are not read. Words are put in lower case (A to Z); the
-    most frequent ones are tokens of their own, the others share hashed ones. Every word is predicted from the two
-    words on each side of it; `log_likelihood` is the sum of the log-probabilities, `per_word` their mean and `n_words`
-    their number. NULL and empty titles have no words and 0 in all three. Repeated rows each get the result. An empty
-    table gives an empty one. Word counts and training cover all titles; what reaches the driver is the word list and
-    one value per parameter, both of fixed size. No step moves titles.
+    `items` needs `item_id` and `title`; other columns are not read. Words are put in lower case (A to Z). Frequent ones
+    are tokens of their own, the others share hashed ones; both kinds of token grow with the titles. A rare word's
+    probability is that of its token times the word's share of all occurrences of the token's words, so every word has
+    a probability of its own. Every word is predicted from the two words on each side of it; `log_likelihood` is the sum
+    of the log-probabilities, `per_word` their mean and `n_words` their number. NULL and empty titles have no words and
+    0 in all three. Repeated rows each get the result. An empty table gives an empty one. Word counts and training cover
+    all titles; what reaches the driver is the list of frequent words, at most OFTEN times the root of the number of all
+    words or the least vocabulary, and the network's parameters. Rare words meet their counts by a join; no step moves
+    titles.
     """
-    words = learn_vocabulary(items)
+    words, rare = learn_vocabulary(items)
     network = learn_network(items, words)
     given = items.sparkSession.sparkContext.broadcast((words, network.flat()))
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "title").mapInArrow(
-        _scores(given), f"item_id {kind}, n_words bigint, log_likelihood double, per_word double")
+    scored = stage(items.select("item_id", "title").mapInArrow(
+        _scores(given), f"row bigint, item_id {kind}, n_words bigint, total double, rare array<bigint>"), "title-scores")
+    met = scored.select("row", F.explode("rare").alias("word")).join(rare, "word")
+    more = met.groupBy("row").agg(F.sum(F.log("n")).alias("more"))  # log 1 is 0: words that occur once are left out
+    total = F.least(F.col("total") + F.coalesce("more", F.lit(0.0)), F.lit(0.0))
+    return scored.join(more, "row", "left").select("item_id", "n_words", total.alias("log_likelihood")).select(
+        "*", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("per_word"))

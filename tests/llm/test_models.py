@@ -152,3 +152,28 @@ def test_gradient_steps_follow_the_loss():
 
 def test_likelihood_of_an_empty_table(spark):
     assert pseudo.title_likelihood(frame(spark, [])).count() == 0
+
+
+def test_probabilities_of_all_words_sum_to_one_at_most(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{''.join(rng.choices('abcdefgh', k=9))}{i}") for i in range(3000)]
+    got = pseudo.title_likelihood(frame(spark, rows)).collect()
+    assert 0.5 < sum(np.exp(r.log_likelihood) for r in got) <= 1 + 1e-4
+
+
+def test_vocabulary_grows_with_the_titles(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(2000))) for i in range(300)]
+    found, rare = pseudo.learn_vocabulary(frame(spark, rows + [(900, "one two two")]))
+    assert len(found.hashes) >= 2000 and found.size - len(found.hashes) >= len(found.totals) > 256
+    assert found.totals.sum() + len(found.hashes) >= 2002 and rare.count() <= 1
+
+
+def test_documents_are_likelier_than_word_salad_of_unknown_words(spark, sf):
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
+    own = [t for t in texts if 20 < len(t.split()) < 400]
+    salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(w))) for w in t.split()) for t in own[:20]]
+    got = pseudo.title_likelihood(frame(spark, list(enumerate(texts)) + [(10**6 + k, t) for k, t in enumerate(salad)])).collect()
+    inside = [r.per_word for r in got if r.item_id < 10**6 and r.n_words > 20]
+    outside = [r.per_word for r in got if r.item_id >= 10**6]
+    assert np.quantile(inside, 0.1) > max(outside)
