@@ -17,15 +17,17 @@ WINDOW = 35
 ANCHOR = 6  # words of the run that names a window's shard
 MOST = 28  # windows in a segment, at most
 SHARD_BYTES = 4 << 20  # message text per shard, on average
-SAMPLE = 20_000  # messages that frequent anchors and segments are looked for in, at most about so many
+SAMPLE = 20_000  # messages that frequent runs and windows are looked for in, at most about so many
 FREQUENT = 10  # messages of the sample
+MARK = U64(1 << 63)  # in anchors of windows all of whose runs are frequent
 KNOWN = 2**32 - 1  # place of a segment that is in the index for others' sake only
 
 
 @dataclass
 class Frequent:
-    """What a sample shows to be frequent: sorted `anchors`, and sorted `names` of segments (one 64-bit hash each, and
-    a second one in `checks`). Sorting out frequent segments early changes no result: they stand twice in the sample."""
+    """What a sample shows to be frequent: sorted hashes of ANCHOR words (`anchors`), and sorted `names` of segments (one
+    64-bit hash each, and a second one in `checks`). Sorting out frequent segments early changes no result: they stand
+    twice in the sample."""
 
     anchors: np.ndarray
     names: np.ndarray
@@ -73,8 +75,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def segments_of(messages: pa.Array, frequent: np.ndarray = np.zeros(0, U64)) -> Segments:
-    """All windows in segments. Anchors among `frequent` come after all others, so that only windows without any
-    other run of words have them."""
+    """All windows in segments. Runs among `frequent` come after all others. Windows without any other run are segments of
+    their own with their own hash as anchor, marked by the highest bit."""
     words = words_of(messages)
     hashes, row = word_hashes(words), words.row
     n = len(hashes) - WINDOW + 1
@@ -82,12 +84,14 @@ def segments_of(messages: pa.Array, frequent: np.ndarray = np.zeros(0, U64)) ->
         none = np.zeros(0, np.int64)
         return Segments(none, none, none, none.astype(U64), none.astype(np.uint8), none.astype(np.uint32))
     runs = run_hashes(hashes, ANCHOR) >> U64(1)
-    runs |= (_among(runs, frequent) >= 0).astype(U64) << U64(63)
+    runs |= np.where(_among(runs, frequent) >= 0, MARK, U64(0))
     anchors = _least(runs, WINDOW - ANCHOR + 1)
+    whole = run_hashes(hashes, WINDOW)
+    anchors = np.where(anchors >= MARK, whole >> U64(1) | MARK, anchors)
     at = np.flatnonzero(row[:n] == row[WINDOW - 1:])
     anchor, own = anchors[at], row[at]
     begins = np.ones(len(at), bool)
-    begins[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+    begins[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (anchor[1:] >= MARK)
     heads = np.flatnonzero(begins)
     sizes = np.diff(np.append(heads, len(at)))
     parts = -(-sizes // MOST)  # long runs are cut
@@ -96,7 +100,7 @@ def segments_of(messages: pa.Array, frequent: np.ndarray = np.zeros(0, U64)) ->
     windows = np.minimum(np.repeat(sizes, parts) - part * MOST, MOST)
     first = at[head]
     symbols = (1 + hashes % U64(255)).astype(np.uint8)
-    checks = (run_hashes(hashes, WINDOW) >> U64(32)).astype(np.uint32)
+    checks = (whole >> U64(32)).astype(np.uint32)
     width = windows + WINDOW - 1
     return Segments(own[head], first - words.first[own[head]], windows, anchor[head],
                     symbols[np.repeat(first, width) + spread(width)], checks[np.repeat(first, windows) + spread(windows)])
@@ -108,11 +112,11 @@ def _edges(segments: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return width, np.cumsum(width) - width, np.cumsum(segments.windows) - segments.windows
 
 
-def names_of(segments: Segments) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every segment's symbols and checks."""
-    width, s_head, c_head = _edges(segments)
+def names_of(segments: Segments, own: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the symbols and checks of every segment, or of the segments `own`."""
+    width, s_head, c_head = (x[own] for x in _edges(segments))
     return (span_hashes(segments.symbols, s_head, width),
-            span_hashes(segments.checks.view(np.uint8), 4 * c_head, 4 * segments.windows, 5))
+            span_hashes(segments.checks.view(np.uint8), 4 * c_head, 4 * segments.windows[own], 5))
 
 
 class FmIndex:
@@ -283,6 +287,17 @@ def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
+def known_segments(s: Segments, frequent: Frequent) -> np.ndarray:
+    """Which segments are among the frequent ones; they have marked anchors."""
+    known = np.zeros(len(s.row), bool)
+    marked = np.flatnonzero(s.anchor >= MARK)
+    if len(marked) and len(frequent.names):
+        names, checks = names_of(s, marked)
+        at = _among(names, frequent.names)
+        known[marked] = (at >= 0) & (checks == frequent.checks[at])
+    return known
+
+
 def _emit(shards: int, given):
     """Segments by shard; the spans of frequent segments by shard numbers from `shards` on."""
 
@@ -293,14 +308,15 @@ def _emit(shards: int, given):
             s = segments_of(batch.column(1), frequent.anchors)
             if not len(s.row):
                 continue
-            names, checks = names_of(s)
-            at = _among(names, frequent.names)
-            known = (at >= 0) & (checks == frequent.checks[at]) if len(frequent.names) else np.zeros(len(names), bool)
+            known = known_segments(s, frequent)
             rows = []
             if known.any():
                 own = np.flatnonzero(known)
-                spans = np.stack([key[s.row[own]], s.first[own], s.first[own] + s.windows[own] + WINDOW - 1], 1).astype("<i8")
-                rows.append((shards + int(key[0]) % shards, len(own), spans.tobytes()))
+                row, begin, end = s.row[own], s.first[own], s.first[own] + s.windows[own] + WINDOW - 1
+                heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (begin[1:] > end[:-1])])
+                ends = np.append(heads[1:], len(own)) - 1
+                spans = np.stack([key[row[heads]], begin[heads], end[ends]], 1).astype("<i8")
+                rows.append((shards + int(key[0]) % shards, len(heads), spans.tobytes()))
             rest = np.flatnonzero(~known)
             for shard, own in _groups((s.anchor[rest] % U64(shards)).astype(np.int64)):
                 own = rest[own]
@@ -312,18 +328,35 @@ def _emit(shards: int, given):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of ANCHOR words of the sample, and in how many messages they stand."""
+    for batch in slices(batches, "msg"):
+        words = words_of(batch.column(0))
+        hashes, row = word_hashes(words), words.row
+        inside = np.flatnonzero(row[: max(len(row) - ANCHOR + 1, 0)] == row[ANCHOR - 1:])
+        runs, row = (run_hashes(hashes, ANCHOR) >> U64(1))[inside], row[inside]
+        order = np.lexsort((row, runs))
+        runs, row = runs[order], row[order]
+        once = np.ones(len(runs), bool)
+        once[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
+        runs, times = np.unique(runs[once], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(times, pa.int64())], names=["run", "n"])
+
+
 def _seen(given):
-    """Anchors (without `given`) or segments (with it) of the sample, once per message."""
+    """Segments of the sample with marked anchors, once per message. Others have a run that is not frequent, so are not
+    frequent themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "msg"):
-            s = segments_of(batch.column(0), given.value if given else np.zeros(0, U64))
-            names, checks = names_of(s) if given and len(s.row) else (s.anchor, s.anchor)
-            _, one = np.unique(np.stack([s.row.astype(U64), names, checks], 1), axis=0, return_index=True)
-            packed = [_packed(np.zeros(1), np.array([KNOWN]), s, one[i: i + 1]) for i in range(len(one))] if given else [b""] * len(one)
+            s = segments_of(batch.column(0), given.value)
+            marked = np.flatnonzero(s.anchor >= MARK)
+            names, checks = names_of(s, marked)
+            _, one = np.unique(np.stack([s.row[marked].astype(U64), names, checks], 1), axis=0, return_index=True)
+            packed = [_packed(np.zeros(1), np.array([KNOWN]), s, marked[i: i + 1]) for i in one]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[one].view(np.int64)), pa.array(checks[one].view(np.int64)), pa.array(packed, pa.binary()),
-                 pa.array(s.anchor[one].view(np.int64))], names=["name", "check", "packed", "anchor"])
+                 pa.array(s.anchor[marked[one]].view(np.int64))], names=["name", "check", "packed", "anchor"])
 
     return run
 
@@ -331,16 +364,18 @@ def _seen(given):
 def frequent_parts(keyed: DataFrame, shards: int) -> tuple[Frequent, list[tuple[int, int, bytes]]]:
     """What is frequent in a sample of about SAMPLE messages, and the frequent segments as rows for their shards.
 
-    The sample only decides which way a segment takes, never a result. Its size bounds what reaches the driver.
+    All runs of ANCHOR words are counted, not only those that are anchors now: with the frequent ones out of the way no
+    other frequent one can take their place. The sample only decides which way a segment takes, never a result. Its size
+    bounds what reaches the driver.
     """
     spark = keyed.sparkSession
     every = max(1, -(-keyed.count() // SAMPLE))
     sample = keyed.filter(F.pmod("key", F.lit(every)) == 0).select("msg")
-    schema = "name bigint, check bigint, packed binary, anchor bigint"
-    often = sample.mapInArrow(_seen(None), schema).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    anchors = np.sort(often.select("name").toPandas()["name"].to_numpy(dtype=np.int64).view(U64))
+    often = sample.mapInArrow(_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    anchors = np.sort(often.select("run").toPandas()["run"].to_numpy(dtype=np.int64).view(U64))
     if not len(anchors):
         return Frequent.none(), []
+    schema = "name bigint, check bigint, packed binary, anchor bigint"
     parts = sample.mapInArrow(_seen(spark.sparkContext.broadcast(anchors)), schema).groupBy("name", "check").agg(
         F.count(F.lit(1)).alias("n"), F.min("packed").alias("packed"), F.min("anchor").alias("anchor")).filter(F.col("n") >= FREQUENT).toPandas()
     names, checks = (parts[c].to_numpy(dtype=np.int64).view(U64) for c in ("name", "check"))
@@ -429,9 +464,10 @@ def drop_repeated_passages(logs: DataFrame) -> DataFrame:
     Equal windows have equal least anchors (hashes of six consecutive words), so windows go to the shard of their
     anchor, consecutive ones together in a segment. A shard builds one FM-index over its segments' one-byte word
     symbols and streams the segments through it; windows found twice are confirmed by 32 more bits of a window hash.
-    The number of shards follows the size of the messages, so a shard's index stays bounded. Anchors that are frequent
-    in a sample are only used where nothing else is left, and segments that are frequent in it, so known to stand in
-    several places, stay out of the shards but for one copy that the others are compared with: no shard gets all
+    The number of shards follows the size of the messages, so a shard's index stays bounded. Runs of six words that are
+    frequent in a sample are no anchors; windows that hold no other run are dealt out one by one, by a hash of all their
+    words, and those of them that are frequent in the sample, so known to stand in several places, stay out of the
+    shards but for one copy that the others are compared with: no shard gets all
     copies of a passage that a third of the messages share. Messages move once, to meet their spans.
     """
     rows = logs.select("log_id", "msg", F.xxhash64("log_id", "msg").alias("key"))

@@ -78,3 +78,22 @@ def test_windows_of_segments_cover_each_window_once():
 
 def test_empty_table(spark):
     assert repeats.drop_repeated_passages(frame(spark, [], "log_id", "msg")).count() == 0
+
+
+def test_no_anchor_gathers_the_holders_of_a_hot_passage(spark):
+    rng = random.Random(12)
+    hot = words(rng, 120)
+    own = lambda n: ["".join(rng.choices("abcdefghij", k=9)) for _ in range(n)]
+    rows = []
+    for i in range(600):
+        a, b = (rng.randint(0, 40), rng.randint(80, 120)) if i % 2 else (0, 120)
+        rows.append((i, " ".join(own(rng.randint(1, 50)) + (hot[a:b] if i < 400 else []) + own(rng.randint(1, 50)))))
+    df = frame(spark, rows, "log_id", "msg")
+    frequent, _ = repeats.frequent_parts(df.selectExpr("log_id AS key", "msg"), 16)
+    s = repeats.segments_of(pa.array([t for _, t in rows]), frequent.anchors)
+    names, checks = repeats.names_of(s)
+    known = set(zip(frequent.names.tolist(), frequent.checks.tolist()))
+    left = {(int(a), int(r)) for a, r, n, c in zip(s.anchor, s.row, names, checks) if (int(n), int(c)) not in known}
+    assert len(known) > 0 and max(Counter(a for a, _ in left).values()) < repeats.FREQUENT
+    got = repeats.drop_repeated_passages(df).collect()
+    assert sorted((str(r.log_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows)
