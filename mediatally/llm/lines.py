@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mediatally.session import stage
 
@@ -29,10 +29,12 @@ def line_windows(manifests: DataFrame) -> DataFrame:
 def _without_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for key, body, starts in zip(batch["manifest_id"], batch["body"], batch["starts"]):
+        for key, body, starts, copy in zip(batch["manifest_id"], batch["body"], batch["starts"], batch["copy"]):
             lines = (body or "").split("\n")
             keep = np.ones(len(lines), dtype=bool)
-            if starts is not None:
+            if copy > 1 and len(lines) >= WINDOW:  # every window stood in the first copy
+                keep[:] = False
+            elif starts is not None:
                 at = np.asarray(starts, dtype=np.int64)
                 for k in range(WINDOW):
                     keep[at + k] = False
@@ -52,11 +54,12 @@ def drop_repeated_lines(manifests: DataFrame) -> DataFrame:
     `n_removed`, `kept_body` (remaining lines joined by line feeds) and `kept_sha256`.
 
     Lines end at a line feed and are compared as they are. A NULL body is one empty line. Bodies of one or two lines
-    have no window and stay. NULL ids come first. Rows that repeat id and body are one manifest and share its result.
-    An empty table gives an empty one.
+    have no window and stay. NULL ids come first. Of rows that repeat id and body
+    the second and later ones are later occurrences with all their windows. An empty table gives an empty one.
 
     A window is a 128-bit hash; a frequent window is summed up before the shuffle, and occurrences meet it by a join
-    between written tables, where Spark splits a hot key. Bodies move once, to meet their covered positions.
+    between written tables, where Spark splits a hot key. Bodies move to number equal rows and to meet their
+    covered positions.
     """
     windows = line_windows(manifests).select("h1", "h2", F.struct("manifest_id", "body_key", "start").alias("at"))
     windows = stage(windows, "line-windows")
@@ -66,7 +69,9 @@ def drop_repeated_lines(manifests: DataFrame) -> DataFrame:
     covered = later.groupBy(F.col("at.manifest_id").alias("_id"), F.col("at.body_key").alias("_key")).agg(
         F.collect_set("at.start").alias("starts"))
     rows = manifests.select("manifest_id", "body", F.xxhash64("body").alias("body_key"))
+    equal = Window.partitionBy("manifest_id", "body_key").orderBy("body_key")
+    rows = rows.withColumn("copy", F.row_number().over(equal))
     met = rows.join(covered, F.col("manifest_id").eqNullSafe(F.col("_id")) & (F.col("body_key") == F.col("_key")), "left")
     kind = manifests.schema["manifest_id"].dataType.simpleString()
-    return met.select("manifest_id", "body", "starts").mapInPandas(
+    return met.select("manifest_id", "body", "starts", "copy").mapInPandas(
         _without_covered, f"manifest_id {kind}, n_lines bigint, n_removed bigint, kept_body string, kept_sha256 string")

@@ -125,3 +125,11 @@ def test_mix_of_nulls_empty_tables_and_emitted_rows(spark):
 def test_empty_tables(spark):
     none = frame(spark, [], "manifest_id", "body")
     assert exact.exact_copies(none).count() == 0 and lines.drop_repeated_lines(none).count() == 0
+
+
+def test_repeated_rows_lose_their_windows_but_once(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (None, "p\nq\nr"), (None, "p\nq\nr"), (3, "a\nb"), (3, "a\nb")]
+    got = lines.drop_repeated_lines(frame(spark, rows, "manifest_id", "body")).collect()
+    assert sorted((str(r.manifest_id), r.n_lines, r.n_removed, r.kept_body) for r in got) == [
+        ("1", 4, 0, "a\nb\nc\nd"), ("1", 4, 4, ""), ("1", 4, 4, ""), ("2", 4, 3, "x"), ("3", 2, 0, "a\nb"), ("3", 2, 0, "a\nb"),
+        ("None", 3, 0, "p\nq\nr"), ("None", 3, 3, "")]
