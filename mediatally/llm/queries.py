@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mediatally.llm import encoding, exact, language, lines, mixing, pseudo, repeats, simhash, tiling, toxicity
+from mediatally.llm import codes, counts, encoding, exact, language, lines, mixing, pseudo, repeats, resampling, simhash, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,3 +163,75 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = pseudo.title_likelihood(as_items(given(spark, sf_dir, "documents")))
     return scored.select(F.col("item_id").alias("doc_id"), F.col("n_words").alias("n_tokens"),
                          F.col("log_likelihood").alias("log_prob"), F.col("per_word").alias("score"))
+
+
+# CRC-32 byte by byte over a table of 256 entries that its own rule makes
+DRAW_SQL = r"""
+WITH byte AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                          ORDER BY i) AS tab FROM range(0, 256) r(i)),
+texts AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+f AS (SELECT side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+n AS (SELECT side, doc_id, word, count(*) AS n FROM f GROUP BY ALL),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)),
+                                     lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM (SELECT DISTINCT word FROM n), byte),
+c AS (SELECT side, doc_id, bucket, sum(n)::BIGINT AS n FROM n JOIN crc USING (word) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::BIGINT AS t FROM c GROUP BY bucket),
+a AS (SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM s),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s, a),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+      FROM c JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= able * 10 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op11_importance_resampling", DRAW_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = given(spark, sf_dir, "benchmark").select(F.col("text").alias("title"))
+    drawn = resampling.draw_like(as_items(given(spark, sf_dir, "documents")), target)
+    return drawn.select(F.col("item_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def codes_sql(rounds: int = 2) -> str:
+    """Lloyd's rounds written out: `a` holds every part's entry and squared distance, `c` the entries."""
+    steps = [r"""
+k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS w FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, w, pos, v[pos * w + 1:(pos + 1) * w] AS part FROM k, range(0, 16) r(pos)),
+c0 AS (SELECT pos, e, part FROM (SELECT pos, part, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 64)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (SELECT vec_id, pos, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+      SELECT vec_id, pos, e, list_sum(list_transform(range(1, w + 1), lambda i: (p.part[i] - c.part[i]) * (p.part[i] - c.part[i])))::BIGINT AS dist
+      FROM p JOIN c{n} c USING (pos)) GROUP BY vec_id, pos)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT pos, e, list(mean ORDER BY i) AS part FROM (
+      SELECT pos, e, i, floor(sum(x)::DOUBLE / count(*)::DOUBLE)::BIGINT AS mean
+      FROM (SELECT pos, e, unnest(part) AS x, unnest(range(0, w)) AS i FROM p JOIN a{n} USING (vec_id, pos)) GROUP BY pos, e, i) GROUP BY pos, e),
+c{n + 1} AS (SELECT pos, e, coalesce(m.part, c.part) AS part FROM c{n} c LEFT JOIN m{n} m USING (pos, e))""")
+    return "WITH " + ",".join(steps) + rf""",
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY pos, e, i)) AS digest FROM (SELECT pos, e, unnest(part) AS x, unnest(range(0, len(part))) AS i FROM c{rounds})),
+v AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY pos) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM v JOIN k USING (vec_id), h
+"""
+
+
+@query("op12_vector_codes", codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.compress_vectors(given(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = counts.title_tokens(as_items(given(spark, sf_dir, "documents")), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select(F.col("item_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")

@@ -12,7 +12,7 @@ from mediatally.llm.queries import ORACLES, QUERIES
 def test_query_equals_its_sql(spark, sf, name):
     got = QUERIES[name](spark, sf)
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     rel = con.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
