@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,7 +17,7 @@ from mediatally.llm.words import slices, spread, text_bytes
 from mediatally.session import stage
 
 LIMIT = 2048
-BLOCK_BYTES = 4 << 20  # text of one block; a longer title is a block of its own
+BLOCK_BYTES = 16 << 20  # text of one block; a longer title is a block of its own
 HELD = 400_000  # units a task holds; then it starts anew
 GLUED = 256  # units that go through the library's pre-tokenizer at once
 
@@ -120,39 +120,46 @@ class Cutter:
         return [self.names[p] for p in piece[starts].tolist()], np.diff(np.r_[starts, len(piece)]), title, times
 
 
-def packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
-    """One binary value of little-endian numbers of `width` bytes per entry of `counts`."""
-    raw = values.astype(f"<u{width}").tobytes()
-    ends = np.concatenate([[0], np.cumsum(counts) * width]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of small non-negative numbers, byte plane by byte plane, compressed."""
+    parts = []
+    for a in arrays:
+        width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        parts += [struct.pack("<BQ", width, len(a)), planes.tobytes()]
+    raw = b"".join(parts)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all numbers, numbers per row) of a column made by `packed`."""
-    data, at = text_bytes(column)
-    return np.frombuffer(data.tobytes(), f"<u{width}").astype(np.int64), np.diff(at) // width
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
+    arrays, at = [], 0
+    while at < len(raw):
+        width, n = struct.unpack_from("<BQ", raw, at)
+        at += struct.calcsize("<BQ")
+        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        arrays.append(sum(planes[k].astype(np.int64) << (8 * k) for k in range(width)))
+        at += width * n
+    return arrays
 
 
 def _blocks(path: str, id_type: pa.DataType):
-    names = ["block", "ids", "n_bytes", "pre_token", "titles", "times"]
+    names = ["block", "ids", "n_bytes", "pre_tokens", "frequencies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, task, made = Cutter(path), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "title", BLOCK_BYTES):
             data, at = text_bytes(batch.column(1))
             whole, ends = data.tobytes(), at.tolist()
-            texts = [whole[a:b] for a, b in zip(ends, ends[1:])]
-            block = (task << 32) + made
+            pieces, counts, title, times = cutter.frequencies([whole[a:b] for a, b in zip(ends, ends[1:])])
+            # numbers of a pre-token's titles as steps from one to the next
+            heads = np.cumsum(counts) - counts
+            steps = np.diff(title, prepend=0)
+            steps[heads] = title[heads]
+            columns = [[(task << 32) + made], [batch.column(0).to_pylist()], [np.diff(at).tolist()], [pieces], [packed(counts, steps, times - 1)]]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
             made += 1
-            head = [pa.array([block]), pa.array([batch.column(0).to_pylist()], pa.list_(id_type)), pa.array([np.diff(at).tolist()], pa.list_(pa.int64())),
-                    pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
-            yield pa.RecordBatch.from_arrays(head, names=names)
-            pieces, counts, title, times = cutter.frequencies(texts)
-            n = len(pieces)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.list_(pa.int64())), pa.array(pieces, pa.string()),
-                     packed(title, counts, 4), packed(times, counts, 4)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
@@ -169,16 +176,18 @@ def _pieces(path: str):
     return run
 
 
-def _sums(block: pa.Table) -> pa.Table:
-    """Counts of one block's titles: its single row with ids, and one row per pre-token with its pieces."""
-    head, rows = block.filter(pc.is_valid(block["ids"])), block.filter(pc.is_null(block["ids"]))
-    ids, n_bytes = head["ids"].combine_chunks().flatten(), head["n_bytes"].combine_chunks().flatten()
+def _sums(block: pa.Table, pieces: pa.Table) -> pa.Table:
+    """Tokens of one block's titles from its frequencies and the pieces of its pre-tokens."""
+    counts, steps, times = unpacked(block["frequencies"][0].as_py())
+    ids, n_bytes = block["ids"].combine_chunks().flatten(), block["n_bytes"].combine_chunks().flatten()
     total = np.zeros(len(ids), np.int64)
-    if rows.num_rows:
-        titles, per_row = unpacked(rows["titles"], 4)
-        times, _ = unpacked(rows["times"], 4)
-        pieces = np.repeat(rows["pieces"].to_numpy(), per_row)
-        total += np.bincount(titles, weights=times * pieces, minlength=len(total)).astype(np.int64)
+    if len(counts):
+        each = np.zeros(len(counts), np.int64)
+        each[pieces["pos"].to_numpy()] = pieces["pieces"].to_numpy()
+        heads = np.cumsum(counts) - counts
+        sums = np.cumsum(steps)
+        title = sums - np.repeat(sums[heads] - steps[heads], counts)
+        total += np.bincount(title, weights=(times + 1) * np.repeat(each, counts), minlength=len(total)).astype(np.int64)
     return pa.table({"item_id": ids, "n_bytes": n_bytes, "n_tokens": pa.array(total)})
 
 
@@ -192,24 +201,21 @@ def title_tokens(items: DataFrame, *, tokenizer: str, limit: int = LIMIT) -> Dat
     and blank titles have no tokens. Repeated rows and NULL ids each get their own result; an empty table gives an
     empty one. Titles of any length are counted whole; a title longer than a block is a block of its own.
 
-    Titles are taken in blocks of bounded text. A block gives one row per distinct pre-token with the titles it is in and
-    how often, so a pre-token that all titles share still has one row per block. The library's model sees every
-    distinct pre-token of the corpus once. Counts meet frequencies in a join between two written tables, where Spark
-    splits a hot pre-token, and a block's rows are summed up together.
+    Titles are taken in blocks of bounded text. A block is one row with its distinct pre-tokens and, packed, the titles each
+    is in and how often; a pre-token that all titles share occurs once per block. The library's model sees every
+    distinct pre-token of the corpus once. The join of counts and pre-tokens runs between two written tables, where Spark
+    splits a hot pre-token; it moves a block number and a place, and the frequencies only meet the counts in the end.
     """
     id_type = items.schema["item_id"].dataType
     ids = id_type.simpleString()
     cut = items.select("item_id", "title").mapInArrow(
         _blocks(tokenizer, to_arrow_type(id_type)),
-        f"block bigint, ids array<{ids}>, n_bytes array<bigint>, pre_token string, titles binary, times binary")
+        f"block bigint, ids array<{ids}>, n_bytes array<bigint>, pre_tokens array<string>, frequencies binary")
     cut = stage(cut, "title-pre-tokens")
-    distinct = cut.filter("pre_token IS NOT NULL").select("pre_token").distinct()
+    distinct = cut.select(F.explode("pre_tokens").alias("pre_token")).distinct()
     pieces = stage(distinct.mapInArrow(_pieces(tokenizer), "pre_token string, pieces bigint"), "pre-token-pieces")
-    counted = cut.filter("pre_token IS NOT NULL").select("block", "pre_token", "titles", "times").join(pieces, "pre_token")
-    heads = cut.filter("ids IS NOT NULL").select(
-        "block", "ids", "n_bytes", F.lit(None).cast("binary").alias("titles"), F.lit(None).cast("binary").alias("times"),
-        F.lit(None).cast("bigint").alias("pieces"))
-    counted = counted.select(
-        "block", F.lit(None).cast(f"array<{ids}>").alias("ids"), F.lit(None).cast("array<bigint>").alias("n_bytes"), "titles", "times", "pieces")
-    summed = heads.unionByName(counted).groupBy("block").applyInArrow(_sums, f"item_id {ids}, n_bytes bigint, n_tokens bigint")
+    placed = cut.select(F.col("block").alias("of"), F.posexplode("pre_tokens").alias("pos", "pre_token"))
+    counted = placed.join(pieces, "pre_token").select("of", "pos", "pieces")
+    held = cut.select("block", "ids", "n_bytes", "frequencies")
+    summed = held.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_sums, f"item_id {ids}, n_bytes bigint, n_tokens bigint")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
