@@ -17,7 +17,8 @@ from mediatally.llm.words import slices, spread, text_bytes
 from mediatally.session import stage
 
 LIMIT = 2048
-BLOCK_BYTES = 16 << 20  # text of one block; a longer title is a block of its own
+BLOCK_BYTES = 32 << 20  # text of one block, and one more slice of it
+BLOCK_TITLES = 1 << 17
 HELD = 400_000  # units a task holds; then it starts anew
 GLUED = 256  # units that go through the library's pre-tokenizer at once
 
@@ -93,31 +94,54 @@ class Cutter:
         self.flat = np.concatenate([self.flat, np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(pieces) for pieces in cut])])
 
-    def frequencies(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pre-tokens, how many titles each is in, and per pre-token and title the title's number and the frequency."""
-        if len(self.unit) > HELD:
-            self.clear()
+    def frequencies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pre-token's number, title's number, frequency) for every pre-token of every title, some of them more than once."""
         split = [t.split() for t in texts]
+        sizes = [len(s) for s in split]
         units = [u for s in split for u in s]
+        if not units:
+            none = np.zeros(0, np.int64)
+            return none, none, none
         at = np.fromiter(map(self.unit.get, units, repeat(-1)), np.int64, len(units))
         missed = np.flatnonzero(at < 0)
         if len(missed):
             new = [units[i] for i in missed.tolist()]
             self._add(list(dict.fromkeys(new)))
             at[missed] = np.fromiter(map(self.unit.__getitem__, new), np.int64, len(new))
-        title = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        pairs, times = np.unique(at * len(texts) + title, return_counts=True) if len(at) else (np.zeros(0, np.int64),) * 2
-        unit, title = pairs // max(len(texts), 1), pairs % max(len(texts), 1)
-        sizes = self.first[unit + 1] - self.first[unit]
-        piece = self.flat[np.repeat(self.first[unit], sizes) + spread(sizes)]
-        key = piece * max(len(texts), 1) + np.repeat(title, sizes)
+        pairs, times = np.unique(at * len(texts) + np.repeat(np.arange(len(texts)), sizes), return_counts=True)
+        unit, title = pairs // len(texts), pairs % len(texts)
+        n = self.first[unit + 1] - self.first[unit]
+        piece = self.flat[np.repeat(self.first[unit], n) + spread(n)]
+        return piece, np.repeat(title, n), np.repeat(times, n)
+
+
+class Block:
+    """Titles gathered up to a size, with their pre-tokens' frequencies."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.n_bytes: list[int] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, cutter: Cutter, ids: list, texts: list[bytes]) -> None:
+        piece, title, times = cutter.frequencies(texts)
+        self.parts.append((piece.astype(np.int32), (title + len(self.ids)).astype(np.int32), times.astype(np.int32)))
+        self.ids += ids
+        self.n_bytes += [len(t) for t in texts]
+        self.size += sum(map(len, texts))
+
+    def summed(self, cutter: Cutter) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens, how many titles each is in, and per pre-token and title the title's number and the frequency."""
+        piece, title, times = (np.concatenate(c).astype(np.int64) for c in zip(*self.parts))
+        key = piece * max(len(self.ids), 1) + title
         order = np.argsort(key, kind="stable")
-        key, times = key[order], np.repeat(times, sizes)[order]
+        key = key[order]
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        times = np.add.reduceat(times, heads) if len(key) else times
-        piece, title = key[heads] // max(len(texts), 1), key[heads] % max(len(texts), 1)
+        times = np.add.reduceat(times[order], heads) if len(key) else times
+        piece, title = key[heads] // max(len(self.ids), 1), key[heads] % max(len(self.ids), 1)
         starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, np.int64)
-        return [self.names[p] for p in piece[starts].tolist()], np.diff(np.r_[starts, len(piece)]), title, times
+        return [cutter.names[p] for p in piece[starts].tolist()], np.diff(np.r_[starts, len(piece)]), title, times
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -148,18 +172,29 @@ def _blocks(path: str, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, task, made = Cutter(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "title", BLOCK_BYTES):
-            data, at = text_bytes(batch.column(1))
-            whole, ends = data.tobytes(), at.tolist()
-            pieces, counts, title, times = cutter.frequencies([whole[a:b] for a, b in zip(ends, ends[1:])])
+
+        def out() -> pa.RecordBatch:
+            pieces, counts, title, times = block.summed(cutter)
             # numbers of a pre-token's titles as steps from one to the next
             heads = np.cumsum(counts) - counts
             steps = np.diff(title, prepend=0)
             steps[heads] = title[heads]
-            columns = [[(task << 32) + made], [batch.column(0).to_pylist()], [np.diff(at).tolist()], [pieces], [packed(counts, steps, times - 1)]]
+            columns = [[(task << 32) + made], [block.ids], [block.n_bytes], [pieces], [packed(counts, steps, times - 1)]]
             types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
-            made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        block = Block()
+        for batch in slices(batches, "title"):
+            data, at = text_bytes(batch.column(1))
+            whole, ends = data.tobytes(), at.tolist()
+            block.add(cutter, batch.column(0).to_pylist(), [whole[a:b] for a, b in zip(ends, ends[1:])])
+            if block.size >= BLOCK_BYTES or len(block.ids) >= BLOCK_TITLES:
+                yield out()
+                block, made = Block(), made + 1
+                if len(cutter.unit) > HELD:
+                    cutter.clear()
+        if block.ids:
+            yield out()
 
     return run
 
@@ -199,7 +234,7 @@ def title_tokens(items: DataFrame, *, tokenizer: str, limit: int = LIMIT) -> Dat
     one row per input row: `item_id`, `n_bytes` (UTF-8), `n_tokens` and `over_limit` (n_tokens > limit). No special
     tokens are added; strings of special tokens inside a title are one token each, the library's default. NULL, empty
     and blank titles have no tokens. Repeated rows and NULL ids each get their own result; an empty table gives an
-    empty one. Titles of any length are counted whole; a title longer than a block is a block of its own.
+    empty one. Titles of any length are counted whole, one title in one task.
 
     Titles are taken in blocks of bounded text. A block is one row with its distinct pre-tokens and, packed, the titles each
     is in and how often; a pre-token that all titles share occurs once per block. The library's model sees every
