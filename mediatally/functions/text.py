@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from mediatally.functions import urls
+from mediatally.functions.let import let
 
 # Characters no file name may hold, and site words that end a page title.
 ILLEGAL = r'[/\\:*?"<>|\x00-\x1f]'
@@ -186,22 +187,50 @@ def parse_iso_duration(text: Column) -> Column:
     return F.when(text.rlike(shape), part(1, 86400.0) + part(2, 3600.0) + part(3, 60.0) + part(4, 1.0))
 
 
+_PLACE = r"\$(RepresentationID|Bandwidth|Number|Time)(?:%0(\d+)d)?\$"
+
+
+def _padded(value: Column, width: Column) -> Column:
+    return F.when(value == "", value).otherwise(F.lpad(value, F.greatest(width, F.length(value)), F.lit("0")))
+
+
+def template_pieces(template: Column, *, representation_id: Column, bandwidth: Column) -> Column:
+    """A segment template cut at its places, as structs (`name`, `text`, `width`): the two values that are the same for all
+    segments are filled in, `name` is Number or Time where a piece is left open."""
+    pieces = F.regexp_extract_all(template, F.lit(rf"{_PLACE}|\$|[^$]+"), F.lit(0))
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _PLACE, 1)
+        width = F.coalesce(F.regexp_extract(piece, _PLACE, 2).try_cast("int"), F.lit(1))
+        return F.struct(name.alias("name"), width.alias("width"), piece.alias("piece"))
+
+    def settled(p: Column) -> Column:
+        known = F.when(p["name"] == "RepresentationID", representation_id).otherwise(bandwidth.cast("string"))
+        text = F.when(p["name"] == "", p["piece"]).when(
+            p["name"].isin("RepresentationID", "Bandwidth"), let(F.coalesce(known, F.lit("")), lambda v: _padded(v, p["width"])))
+        return F.struct(p["name"].alias("name"), text.alias("text"), p["width"].alias("width"))
+
+    return F.transform(F.transform(pieces, read), settled)
+
+
+def fill_pieces(pieces: Column, *, number: Column | None = None, time: Column | None = None) -> Column:
+    """The text of `template_pieces` for one segment; a value that is not given is empty."""
+    values = {"Number": number, "Time": time}
+
+    def filled(p: Column) -> Column:
+        text = F.when(p["text"].isNotNull(), p["text"])
+        for name, value in values.items():
+            if value is not None:
+                text = text.when(p["name"] == name, let(F.coalesce(value.cast("string"), F.lit("")), lambda v: _padded(v, p["width"])))
+        return text.otherwise(F.lit(""))
+
+    return F.array_join(F.transform(pieces, filled), "")
+
+
 def substitute_template(template: Column, *, representation_id: Column, bandwidth: Column,
                         number: Column | None = None, time: Column | None = None) -> Column:
     """Fill `$RepresentationID$`, `$Bandwidth$`, `$Number$` and `$Time$`, each place with its own optional `%0Nd` padding."""
-    values = {"RepresentationID": representation_id, "Bandwidth": bandwidth, "Number": number, "Time": time}
-    place = rf"\$({'|'.join(values)})(?:%0(\d+)d)?\$"
-    pieces = F.regexp_extract_all(template, F.lit(rf"{place}|\$|[^$]+"), F.lit(0))
-
-    def filled(piece: Column) -> Column:
-        name = F.regexp_extract(piece, place, 1)
-        value = F.when(name == "", piece)
-        for known, given in values.items():
-            value = value.when(name == known, F.coalesce(given.cast("string"), F.lit("")) if given is not None else F.lit(""))
-        width = F.coalesce(F.regexp_extract(piece, place, 2).try_cast("int"), F.lit(1))
-        return F.when((name == "") | (value == ""), value).otherwise(F.lpad(value, F.greatest(width, F.length(value)), F.lit("0")))
-
-    return F.array_join(F.transform(pieces, filled), "")
+    return fill_pieces(template_pieces(template, representation_id=representation_id, bandwidth=bandwidth), number=number, time=time)
 
 
 def aes_iv(iv_hex: Column, sequence: Column) -> Column:

@@ -189,20 +189,42 @@ def ext_from_url(url: Column) -> Column:
     return let(F.coalesce(path_of(url), without_query(url)), lambda path: F.lower(F.regexp_extract(path, r"([^.]*)$", 1)))
 
 
+def base_parts(base: Column) -> Column:
+    """What `resolve_against` needs of a base URL: computed once per base, however many URLs are resolved against it."""
+    return let(base, lambda b: F.struct(
+        bare_of(b, "#").alias("whole"), bare_of(b, "?#").alias("page"),
+        F.concat(F.substring_index(b, ":", 1), F.lit(":")).alias("scheme"),
+        F.regexp_replace(b, r"^([^:/?#]+://[^/?#]*).*$", "$1").alias("origin"),
+        F.regexp_replace(b, r"^([^:/?#]+://[^/?#]*)(?:((?:/[^/?#]*)*)/[^/?#]*)?(?:[?#].*)?$", "$1$2/").alias("folder"),
+        is_web_url(b).alias("web")))
+
+
+def bare_of(url: Column, marks: str) -> Column:
+    """The URL up to the first of the marks."""
+    return F.regexp_replace(url, f"[{marks}].*$", "")
+
+
+def resolve_against(parts: Column, rel: Column) -> Column:
+    """X8 with the base as `base_parts`."""
+
+    def resolved(r: Column) -> Column:
+        joined = (
+            F.when(r.rlike(_ANY_SCHEME), r)
+            .when(r == "", parts["whole"])
+            .when(r.startswith("//"), F.concat(parts["scheme"], r))
+            .when(r.startswith("/"), F.concat(parts["origin"], r))
+            .when(r.startswith("?"), F.concat(parts["page"], r))
+            .when(r.startswith("#"), F.concat(parts["whole"], r))
+            .otherwise(F.concat(parts["folder"], r))
+        )
+        return F.when(parts["web"] | r.rlike(_ANY_SCHEME), let(joined, canonical_url)).otherwise(r)
+
+    return let(rel, resolved)
+
+
 def resolve_url(base: Column, rel: Column) -> Column:
     """`rel` against `base`; absolute, scheme-relative, root-relative and relative forms."""
-    origin = F.regexp_replace(base, r"^([^:/?#]+://[^/?#]*).*$", "$1")
-    folder = F.regexp_replace(base, r"^([^:/?#]+://[^/?#]*)(?:((?:/[^/?#]*)*)/[^/?#]*)?(?:[?#].*)?$", "$1$2/")
-    joined = (
-        F.when(rel.rlike(_ANY_SCHEME), rel)
-        .when(rel == "", F.regexp_replace(base, r"#.*$", ""))
-        .when(rel.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), rel))
-        .when(rel.startswith("/"), F.concat(origin, rel))
-        .when(rel.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), rel))
-        .when(rel.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), rel))
-        .otherwise(F.concat(folder, rel))
-    )
-    return F.when(rel.rlike(_ANY_SCHEME) | is_web_url(base), let(joined, canonical_url)).otherwise(rel)
+    return let(base_parts(base), lambda parts: resolve_against(parts, rel))
 
 
 def sanitize_url(url: Column) -> Column:
@@ -226,7 +248,7 @@ def credentials_note(present: Column) -> Column:
 
 # Fixed value: shape of a single-file track URL, `/dir/base-n-codec.ext` at the end of the path.
 _TRACK = (
-    r"(?i)^[a-z][a-z0-9+.\-]*+:(?://(?:[^/?#@\s]*+@)?([^/?#:\s]*+)(?::\d*+)?)?(?:/[^/?#]*+)*?/([^/?#]+)/([^/?#]*?)-(\d+)-(\d+)\.(?:m4s|mp4|ts)(?:[?#].*)?$"
+    r"(?i)^[a-z][a-z0-9+.\-]*+:(?://(?:[^/?#@\s]*+@)?([^/?#:\s]*+)(?::\d*+)?)?+(?:/[^/?#]*+)*?/([^/?#]+)/([^/?#]*?)-(\d+)-(\d+)\.(?:m4s|mp4|ts)(?:[?#].*)?$"
 )
 # its tail alone, which sorts out nearly all other URLs in one cheap pass
 _TRACK_END = r"(?i)-\d+-\d+\.(?:m4s|mp4|ts)(?:[?#]|$)"

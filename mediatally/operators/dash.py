@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mediatally.functions import media, text, urls
 
@@ -111,10 +111,15 @@ def _number_count(duration: Column, timescale: Column, segment_duration: Column)
     return F.coalesce(F.ceil(F.try_divide(F.coalesce(duration, F.lit(0.0)) * timescale, segment_duration)).cast("bigint"), F.lit(0))
 
 
-def _absolute(template: Column, **variables: Column) -> Column:
-    filled = text.substitute_template(template, representation_id=F.col("rep_id"),
-                                      bandwidth=F.coalesce("bandwidth", F.lit(0)), **variables)
-    return urls.resolve_url(F.col("url"), filled)
+def _prepared(representations: DataFrame) -> DataFrame:
+    """Representations with their template cut into pieces and the parts of their base URL: once each, before the segments."""
+    pieces = text.template_pieces(F.col("media_template"), representation_id=F.col("rep_id"), bandwidth=F.coalesce("bandwidth", F.lit(0)))
+    return representations.withColumns({"_pieces": pieces, "_base": urls.base_parts(F.col("url"))})
+
+
+def _segment_rows(rows: DataFrame) -> DataFrame:
+    filled = text.fill_pieces(F.col("_pieces"), number=F.col("number"), time=F.col("time"))
+    return rows.withColumn("segment_url", urls.resolve_against(F.col("_base"), filled)).select(_SEGMENT)
 
 
 _SEGMENT = ["manifest_id", "rep_id", "segment_index", "number", "time", "segment_url"]
@@ -125,9 +130,8 @@ def expand_number_template(representations: DataFrame) -> DataFrame:
     start = F.coalesce("start_number", F.lit(1))
     df = representations.filter(_mode() == "number").withColumn(
         "_n", _number_count(F.col("duration_sec"), F.col("timescale"), F.col("segment_duration"))).filter("_n > 0")
-    rows = df.withColumn("segment_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    rows = rows.withColumn("number", start + F.col("segment_index")).withColumn("time", F.lit(None).cast("bigint"))
-    return rows.withColumn("segment_url", _absolute(F.col("media_template"), number=F.col("number"))).select(_SEGMENT)
+    rows = _prepared(df).withColumn("segment_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    return _segment_rows(rows.withColumns({"number": start + F.col("segment_index"), "time": F.lit(None).cast("bigint")}))
 
 
 def _repeats(e: Column, segment_duration: Column, honor_r: bool) -> Column:
@@ -141,25 +145,30 @@ def expand_timeline(representations: DataFrame, honor_r: bool = False) -> DataFr
     """Timeline segments with running time and number.
 
     By default an entry repeats by its length over the segment duration; `honor_r` follows the `@r`
-    repeat count and later `@t` starts instead.
+    repeat count and later `@t` starts instead. Entries become rows, and running sums per representation give
+    each its first number and time, so the work goes with the number of entries.
     """
-    df = representations.filter(_mode() == "timeline")
-    step = lambda acc, e: F.struct(
-        ((F.coalesce(e["t"], acc["t"]) if honor_r else acc["t"]) + e["d"] * _repeats(e, F.col("segment_duration"), honor_r)).alias("t"),
-        (acc["n"] + _repeats(e, F.col("segment_duration"), honor_r)).alias("n"),
-        F.concat(acc["runs"], F.array(F.struct(
-            (F.coalesce(e["t"], acc["t"]) if honor_r else acc["t"]).alias("t"), acc["n"].alias("n"), e["d"].alias("d"),
-            _repeats(e, F.col("segment_duration"), honor_r).alias("c")))).alias("runs"))
-    first = F.struct(
-        F.coalesce(F.element_at("timeline", 1)["t"], F.lit(0)).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("n"),
-        F.array().cast("array<struct<t:bigint,n:bigint,d:bigint,c:bigint>>").alias("runs"))
-    runs = df.withColumn("_run", F.explode(F.aggregate("timeline", first, step, lambda acc: acc["runs"])))
-    rows = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_run.c") - 1)))
-    rows = rows.withColumns({
-        "segment_index": F.col("_run.n") + F.col("_i"),
-        "number": F.coalesce("start_number", F.lit(1)) + F.col("_run.n") + F.col("_i"),
-        "time": F.col("_run.t") + F.col("_i") * F.col("_run.d")})
-    return rows.withColumn("segment_url", _absolute(F.col("media_template"), number=F.col("number"), time=F.col("time"))).select(_SEGMENT)
+    df = _prepared(representations.filter(_mode() == "timeline"))
+    first = F.coalesce(F.element_at("timeline", 1)["t"], F.lit(0)).cast("bigint")
+    entries = df.select(
+        "manifest_id", "rep_id", "pos", "start_number", "segment_duration", "_pieces", "_base", first.alias("_first"),
+        F.posexplode("timeline").alias("_at", "_e")).withColumn("_c", _repeats(F.col("_e"), F.col("segment_duration"), honor_r))
+    before = Window.partitionBy("manifest_id", "pos").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = entries.withColumns({
+        "_n": F.coalesce(F.sum("_c").over(before), F.lit(0)),
+        "_passed": F.coalesce(F.sum(F.col("_e.d") * F.col("_c")).over(before), F.lit(0))})
+    start = F.col("_first") + F.col("_passed")
+    if honor_r:
+        given = F.when(F.col("_e.t").isNotNull(), F.col("_e.t") - F.col("_passed"))
+        runs = runs.withColumn("_given", F.last(given, ignorenulls=True).over(upto))
+        start = F.coalesce("_given", "_first") + F.col("_passed")
+    runs = runs.withColumn("_t", start)
+    rows = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1)))
+    return _segment_rows(rows.withColumns({
+        "segment_index": F.col("_n") + F.col("_i"),
+        "number": F.coalesce("start_number", F.lit(1)) + F.col("_n") + F.col("_i"),
+        "time": F.col("_t") + F.col("_i") * F.col("_e.d")}))
 
 
 def expand_segment_list(representations: DataFrame) -> DataFrame:
@@ -172,7 +181,8 @@ def expand_segment_list(representations: DataFrame) -> DataFrame:
 
 def init_segments(representations: DataFrame) -> DataFrame:
     """Init segment of each representation that names one."""
-    url = F.coalesce(F.when(F.coalesce("init_template", F.lit("")) != "", _absolute(F.col("init_template"))),
+    filled = text.substitute_template(F.col("init_template"), representation_id=F.col("rep_id"), bandwidth=F.coalesce("bandwidth", F.lit(0)))
+    url = F.coalesce(F.when(F.coalesce("init_template", F.lit("")) != "", urls.resolve_url(F.col("url"), filled)),
                      F.when(F.coalesce("init_url", F.lit("")) != "", urls.resolve_url(F.col("url"), F.col("init_url"))))
     return representations.select("manifest_id", "rep_id", url.alias("init_segment_url")).filter("init_segment_url IS NOT NULL")
 

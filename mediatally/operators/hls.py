@@ -60,8 +60,8 @@ def _tag_number(tags: Column, prefix: str, kind: str) -> Column:
 
 
 def _parsed(manifests: DataFrame) -> DataFrame:
-    """Manifests with `lines` (no blanks), `blocks` (tags, uri) and `playlist_type` / `parse_error`."""
-    df = manifests.withColumn("_all", _lines(F.col("body")))
+    """Manifests with `_base` (their URL's parts), `lines` (no blanks), `blocks` (tags, uri) and `playlist_type` / `parse_error`."""
+    df = manifests.withColumns({"_all": _lines(F.col("body")), "_base": urls.base_parts(F.col("url"))})
     df = df.withColumn("lines", F.filter("_all", lambda s: s != ""))
     raw = F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(_BLOCK), F.lit(0))
     df = df.withColumn("_raw", raw)
@@ -90,7 +90,7 @@ def _variant_array() -> Column:
             F.concat(F.coalesce(res, bw, v["uri"]), F.lit("-"), i.cast("string")).alias("variant_id"),
             res.alias("resolution"), shape["label"].alias("quality_label"), shape["pixels"].alias("pixels"), bandwidth.alias("bandwidth"),
             F.nullif(attribute(v["attrs"], "CODECS"), F.lit("")).alias("codecs"),
-            urls.resolve_url(F.col("url"), v["uri"]).alias("playlist_url"))
+            urls.resolve_against(F.col("_base"), v["uri"]).alias("playlist_url"))
 
     return F.array_sort(F.transform(bound, variant))
 
@@ -131,11 +131,11 @@ def hls_segments(manifests: DataFrame) -> DataFrame:
     sequence = _tag_number(F.col("lines"), "#EXT-X-MEDIA-SEQUENCE:", "bigint")
     df = df.withColumn("_sequence", sequence).withColumn(
         "_s", F.when(F.col("playlist_type") == "media", F.transform("blocks", _segment)))
-    rows = df.select("manifest_id", "url", "playlist_type", "_sequence", F.posexplode_outer("_s").alias("pos", "s"))
+    rows = df.select("manifest_id", "_base", "playlist_type", "_sequence", F.posexplode_outer("_s").alias("pos", "s"))
     error = F.when(F.col("playlist_type") == "error", F.lit("missing #EXTM3U")).when(F.col("s").isNull(), F.lit("no segments in media playlist"))
     return rows.select(
         "manifest_id", "pos", F.when(F.col("s").isNotNull(), F.col("_sequence") + F.col("pos")).alias("segment_index"),
-        urls.resolve_url(F.col("url"), F.col("s.uri")).alias("segment_url"), F.col("s.duration").alias("duration_sec"),
+        urls.resolve_against(F.col("_base"), F.col("s.uri")).alias("segment_url"), F.col("s.duration").alias("duration_sec"),
         F.col("s.range_length").alias("range_length"), F.col("s.range_offset").alias("range_offset"), error.alias("parse_error"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import media, text, urls
 from mediatally.operators.scan import Running, every, numbered, running
+from mediatally.session import stage
 
 
 def union_hints(network: DataFrame, page: DataFrame) -> DataFrame:
@@ -61,12 +64,20 @@ def attribute_segments(segments: DataFrame, manifests: DataFrame, *, session: li
     `segments`: session columns and url, or dedup_key for the URL in normal form. `manifests`: session columns, dedup_key, detected_ms.
     Gives session columns, dir, segment_count, dedup_key (NULL while no manifest matches).
     """
+    dirs = with_dir(segments).groupBy(*session, "dir").agg(F.count(F.lit(1)).alias("segment_count"))
+    return first_manifests(dirs, manifests, F.struct("detected_ms", "dedup_key"), session=session).select(
+        *session, "dir", "segment_count", F.col("first.dedup_key").alias("dedup_key"))
+
+
+def with_dir(segments: DataFrame) -> DataFrame:
+    """Segments with the directory of their normalised URL."""
     normal = F.col("dedup_key") if "dedup_key" in segments.columns else urls.normalize_url(F.col("url"))
-    dirs = (
-        segments.withColumn("dir", urls.dir_of(normal))
-        .groupBy(*session, "dir").agg(F.count(F.lit(1)).alias("segment_count"))
-    )
-    rank = F.struct("detected_ms", "dedup_key")
+    return segments.withColumn("dir", urls.dir_of(normal))
+
+
+def first_manifests(dirs: DataFrame, manifests: DataFrame, rank: Column, *, session: list[str]) -> DataFrame:
+    """`dirs` (one row per session and dir) with `first`, the smallest `rank` of the manifests whose directory contains, or
+    lies in, the directory; NULL if there is none."""
     placed = manifests.select(*session, urls.dir_of(F.col("dedup_key")).alias("mdir"), rank.alias("m"))
     at_dir = placed.groupBy(*session, F.col("mdir").alias("anc")).agg(F.min("m").alias("m_at"))
     below = (
@@ -79,7 +90,7 @@ def attribute_segments(segments: DataFrame, manifests: DataFrame, *, session: li
     )
     return (
         dirs.join(above, [*session, "dir"], "left").join(below, [*session, "dir"], "left")
-        .select(*session, "dir", "segment_count", F.least("m_above", "m_below")["dedup_key"].alias("dedup_key"))
+        .withColumn("first", F.least("m_above", "m_below")).drop("m_above", "m_below")
     )
 
 
@@ -103,6 +114,74 @@ def attach_parent_manifest(segments: DataFrame, *, session: list[str]) -> DataFr
                       urls.title_from_url(F.col("master_url")).alias("title"))
 
 
+class Attribution(NamedTuple):
+    """Segments counted once (session columns, dir, dedup_key or NULL, segment_count), and the manifests known by name only
+    (session columns, dedup_key, detected_ms, master_url, protocol, title)."""
+
+    segments: DataFrame
+    named: DataFrame
+
+
+def attribute_in_order(segments: DataFrame, manifests: DataFrame, *, session: list[str], tie: str = "request_id") -> Attribution:
+    """J1 and J2 together, as the log's order has it; every segment counts once.
+
+    A segment belongs to the first manifest known at its time whose directory contains, or lies in, its own; else to the
+    manifest it names (`parent_manifest`), which is known from then on; else it waits for the first one that fits.
+
+    Whether a name makes a manifest known depends on what was known before, so the names are settled in rounds: each round
+    takes the names that held in the round before as known and tests every (directory, name) again. A name is settled
+    once those before it in time are, so rounds end; they run over one row per session, directory and name, in written
+    tables, and stop when a round changes nothing. A directory's segments before its first manifest go one way and those
+    after it another, so the rows themselves only meet the one row of their directory.
+
+    `segments`: session columns, ts_ms, `tie`, url (or dedup_key for it in normal form) and parent_manifest. `manifests`: session
+    columns, dedup_key and detected_ms. Segments without a time come before all others. Equal times: manifests first, then `tie`.
+    """
+    rows = with_dir(segments).withColumns({
+        "parent": urls.normalize_url(F.col("parent_manifest")),
+        "at": F.struct(F.coalesce("ts_ms", F.lit(-(2**63))).alias("ms"), F.coalesce(F.col(tie).cast("bigint"), F.lit(-(2**63))).alias("n"))})
+    rows = rows.select(*session, "dir", "parent", "parent_manifest", "at")
+    hints = manifests.select(*session, "dedup_key", F.struct(
+        F.coalesce("detected_ms", F.lit(-(2**63))).alias("ms"), F.lit(-(2**63)).cast("bigint").alias("n")).alias("at"))
+    key = [*session, "dir", "parent"]
+    earliest = F.min(F.struct("at", "parent_manifest")).alias("e")
+    names = rows.filter("parent IS NOT NULL").groupBy(*key).agg(earliest).select(
+        *key, F.col("e.at").alias("at"), F.col("e.parent_manifest").alias("master_url"))
+    names = stage(names.withColumns({"holds": F.lit(True), "changed": F.lit(True)}), "manifest-names")
+    rank = F.struct("at", "dedup_key")
+
+    def known() -> DataFrame:
+        said = names.filter("holds").select(*session, F.col("parent").alias("dedup_key"), "at")
+        return hints.unionByName(said).groupBy(*session, "dedup_key").agg(F.min("at").alias("at"))
+
+    while names.filter("changed").limit(1).count():
+        dirs = first_manifests(names.select(*session, "dir").distinct(), known(), rank, session=session)
+        holds = F.coalesce(F.col("at") <= F.col("first.at"), F.lit(True))
+        tested = names.withColumnRenamed("holds", "held").join(dirs, [*session, "dir"]).withColumn("holds", holds)
+        names = stage(tested.select(*key, "at", "master_url", "holds", (F.col("held") != F.col("holds")).alias("changed")), "manifest-names")
+
+    # only what no hint had made known before is an item by name alone
+    said = names.filter("holds").groupBy(*session, F.col("parent").alias("dedup_key")).agg(F.min(F.struct("at", "master_url")).alias("e"))
+    seen = hints.groupBy(*session, "dedup_key").agg(F.min("at").alias("hinted"))
+    said = said.join(seen, [*session, "dedup_key"], "left").filter(F.col("hinted").isNull() | (F.col("e.at") < F.col("hinted")))
+    url = F.col("e.master_url")
+    named = said.select(
+        *session, "dedup_key", F.col("e.at.ms").alias("detected_ms"), url.alias("master_url"),
+        media.manifest_protocol(url, F.lit(None).cast("string")).alias("protocol"), urls.title_from_url(url).alias("title"))
+
+    # the first manifest of each directory, then each row or count goes to it, to its name, or waits
+    unnamed = rows.filter("parent IS NULL").groupBy(*session, "dir").agg(F.count(F.lit(1)).alias("n"))
+    dirs = unnamed.select(*session, "dir").union(names.select(*session, "dir")).distinct()
+    dirs = stage(first_manifests(dirs, known(), rank, session=session), "first-manifests")
+    waiting = unnamed.join(dirs, [*session, "dir"], "left").select(*session, "dir", F.col("first.dedup_key").alias("dedup_key"), "n")
+    fits = F.coalesce(F.col("first.at") < F.col("at"), F.lit(False))
+    owner = F.when(fits, F.col("first.dedup_key")).otherwise(F.col("parent"))
+    naming = rows.filter("parent IS NOT NULL").join(dirs, [*session, "dir"], "left").groupBy(*session, "dir", owner.alias("dedup_key")).agg(
+        F.count(F.lit(1)).alias("n"))
+    counted = waiting.unionByName(naming).groupBy(*session, "dir", "dedup_key").agg(F.sum("n").alias("segment_count"))
+    return Attribution(counted, named)
+
+
 def best_tracks(requests: DataFrame, *, by: list[str], tie: str = "request_id") -> DataFrame:
     """Highest codec per session, group and track type; groups without video are not listed.
 

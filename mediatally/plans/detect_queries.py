@@ -234,6 +234,40 @@ def j2(spark, sf):
     return items.attach_parent_manifest(df.withColumn("parent_manifest", F.when(named, parent)), session=flagship.SESSION)
 
 
+def _sql_rounds(n: int) -> str:
+    """Names of manifests tested `n` times against what was known before, as CTEs k0, t0, k1, …; times are unique in the log."""
+    near = f"(starts_with(s.dir, {sql_dir('k.dedup_key')}) OR starts_with({sql_dir('k.dedup_key')}, s.dir))"
+    parts = []
+    for i in range(n):
+        said = "SELECT tab_id, epoch, parent AS dedup_key, since FROM names" + ("" if i == 0 else f" JOIN t{i - 1} USING (tab_id, epoch, dir) WHERE since <= coalesce(first_ms, since)")
+        parts.append(f"""k{i} AS (SELECT tab_id, epoch, dedup_key, min(since) AS since FROM (SELECT tab_id, epoch, dedup_key, detected_ms AS since FROM hinted UNION ALL {said}) GROUP BY ALL),
+t{i} AS (SELECT s.tab_id, s.epoch, s.dir, min(k.since) AS first_ms, arg_min(k.dedup_key, k.since) AS first_key
+  FROM (SELECT DISTINCT tab_id, epoch, dir FROM segs) s LEFT JOIN k{i} k ON s.tab_id = k.tab_id AND s.epoch = k.epoch AND {near} GROUP BY ALL)""")
+    return ",\n".join(parts)
+
+
+# every third segment names the manifest of its folder, every third one a manifest elsewhere
+_NAMED = """CASE WHEN request_id % 3 = 0 THEN regexp_replace(split_part(url, '?', 1), '/720p/[^/]*$|/v1/[^/]*$', '/main.m3u8')
+ WHEN request_id % 3 = 1 THEN 'https://alt' || CAST(tab_id % 2 AS VARCHAR) || '.example.com/list/' || CAST(request_id % 5 AS VARCHAR) || '.mpd' END"""
+
+
+@query("j1_attribute_in_order", with_ctes(f""", {MERGED},
+segs AS (SELECT tab_id, epoch, {sql_dir('dedup_key')} AS dir, {_NAMED} AS parent, ts_ms FROM keyed WHERE k = 'segment'),
+hinted AS (SELECT tab_id, epoch, dedup_key, detected_ms FROM merged_items WHERE protocol <> 'progressive'),
+names AS (SELECT tab_id, epoch, dir, parent, min(ts_ms) AS since FROM segs WHERE parent IS NOT NULL GROUP BY ALL),
+{_sql_rounds(4)}
+SELECT tab_id, epoch, dir, CASE WHEN parent IS NULL OR first_ms < ts_ms THEN first_key ELSE parent END AS dedup_key, count(*) AS segment_count
+FROM segs JOIN t3 USING (tab_id, epoch, dir) GROUP BY ALL""", "requests"))
+def j1o(spark, sf):
+    hints = _general_hints(spark, sf)
+    merged = items.merge_items(hints, session=flagship.SESSION)
+    base = F.regexp_replace(F.substring_index("url", "?", 1), r"/720p/[^/]*$|/v1/[^/]*$", "/main.m3u8")
+    other = F.concat(F.lit("https://alt"), (F.col("tab_id") % 2).cast("string"), F.lit(".example.com/list/"), (F.col("request_id") % 5).cast("string"), F.lit(".mpd"))
+    named = F.when(F.col("request_id") % 3 == 0, base).when(F.col("request_id") % 3 == 1, other)
+    segments = hints.filter(media.classify_hint(F.col("url"), F.col("mime")) == "segment").withColumn("parent_manifest", named)
+    return items.attribute_in_order(segments, merged.filter("protocol <> 'progressive'"), session=flagship.SESSION).segments
+
+
 TRACKS = STAGED_HTTP + f""", tracks AS (
   SELECT tab_id, epoch, request_id, ts_ms, url, regexp_extract(split_part(url, '?', 1), {TRACK_RE}, 1) || '/' || regexp_extract(split_part(url, '?', 1), {TRACK_RE}, 2) AS group_id,
          CAST(regexp_extract(split_part(url, '?', 1), {TRACK_RE}, 4) AS BIGINT) AS codec_id

@@ -69,11 +69,11 @@ def x7(spark, sf):
 
 
 @query("x8_resolve_url", with_ctes("""
-SELECT manifest_id, CASE manifest_id % 6 WHEN 0 THEN regexp_replace(url, '[^/]*$', '') || 'seg-1.ts' WHEN 1 THEN regexp_extract(url, '^https://[^/]*', 0) || '/root/s.ts'
+SELECT manifest_id, CASE manifest_id % 6 WHEN 0 THEN regexp_replace(url, '[^/]*$', '') || 'deep/er/one.ts' WHEN 1 THEN regexp_extract(url, '^https://[^/]*', 0) || '/root/s.ts'
   WHEN 2 THEN 'https://other.example.com/x.ts' WHEN 3 THEN 'https://abs.example.com/y.ts?k=1'
   WHEN 4 THEN regexp_replace(url, '[^/]*/[^/]*$', '') || 'up/s.ts' ELSE url || '?q=1' END AS resolved FROM manifests""", "manifests"))
 def x8(spark, sf):
-    rel = F.element_at(F.array(*[F.lit(r) for r in ("seg-1.ts", "/root/s.ts", "//other.example.com/x.ts", "https://abs.example.com/y.ts?k=1", "../up/./s.ts", "?q=1")]),
+    rel = F.element_at(F.array(*[F.lit(r) for r in ("deep/er/one.ts", "/root/s.ts", "//other.example.com/x.ts", "https://abs.example.com/y.ts?k=1", "../up/./s.ts", "?q=1")]),
                        (F.col("manifest_id") % 6 + 1).cast("int"))
     return table(spark, sf, "manifests").select("manifest_id", urls.resolve_url(F.col("url"), rel).alias("resolved"))
 

@@ -6,26 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediatally.functions import media, urls
 from mediatally.operators import admission
-from mediatally.plans.detect_queries import HTTP, IS_TRACK, KIND, NORMALIZED, SQL_W1, STAGED, TRACKS, sql_dir, sql_norm
+from mediatally.plans.detect_queries import ATTRIBUTED, HTTP, KIND, NORMALIZED, SQL_W1, STAGED, TRACKS, sql_dir, sql_norm
 from mediatally.plans.registry import query
 from mediatally.plans.tables import table, with_ctes
 from mediatally.sources.requests import normalize_request
 from mediatally.streaming import requests as streams
 from mediatally.streaming import tasks as task_streams
-from mediatally.streaming.run import drain, drain_updates, stream_table
+from mediatally.streaming.run import LAST_MS, closable, drain, drain_updates, stream_table
 
 
 def _requests(spark, sf) -> DataFrame:
     return stream_table(spark, sf, "requests")
 
 
+# the row that ends a stream
+END = {"request_id": -1, "tab_id": -1, "kind": "nav"}
+
+
+def _log(spark, sf) -> DataFrame:
+    return _requests(spark, sf).select("request_id", "tab_id", "ts_ms", "kind", "url")
+
+
 def _http(spark, sf) -> DataFrame:
     return normalize_request(admission.admit_http(_requests(spark, sf).filter("kind = 'http'")))
 
 
 @query("r1_stream_dedup_60s", SQL_W1)
 def r1(spark, sf):
-    return drain(streams.stream_dedup_60s(_requests(spark, sf).filter("kind = 'http'")), "r1")
+    stream, close = closable(_requests(spark, sf).filter("kind = 'http'").select("request_id", "tab_id", "ts_ms", "url"), **END)
+    return drain(streams.stream_dedup_60s(stream), "r1", close=close)
 
 
 @query("r1_stream_dedup_approximate")
@@ -34,21 +43,19 @@ def r1a(spark, sf):
     return drain(streams.stream_dedup_approximate(stream), "r1a")
 
 
-# a change is put out when no other change and no page load came before its quiet time was over, and the
-# stream's own rows or the watermark show that the time is over
+# a change is put out when no other change and no page load came before its quiet time was over
 @query("r2_stream_track_groups", with_ctes(f""", {TRACKS},
 running AS (SELECT *, max(CASE WHEN track_type = 'video' THEN codec_id END) OVER w AS pv, max(CASE WHEN track_type = 'audio' THEN codec_id END) OVER w AS pa FROM typed
   WINDOW w AS (PARTITION BY tab_id, epoch, group_id ORDER BY ts_ms, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 changes AS (SELECT *, ts_ms + 1200 AS ready_ms, CASE WHEN track_type = 'video' THEN codec_id ELSE pv END AS video_codec, CASE WHEN track_type = 'audio' THEN codec_id ELSE pa END AS audio_codec,
   lead(ts_ms) OVER (PARTITION BY tab_id, epoch, group_id ORDER BY ts_ms, request_id) AS next_ms FROM running
   WHERE CASE WHEN track_type = 'video' THEN pv IS NULL OR codec_id > pv ELSE pa IS NULL OR codec_id > pa END),
-loads AS (SELECT tab_id, epoch - 1 AS epoch, min(ts_ms) AS nav_ms FROM staged WHERE kind = 'nav' GROUP BY tab_id, epoch),
-fed AS (SELECT tab_id, max(ts_ms) AS last_ms FROM staged WHERE kind = 'nav' OR {IS_TRACK} GROUP BY tab_id)
-SELECT tab_id, group_id, video_codec, audio_codec, ready_ms FROM changes JOIN fed USING (tab_id) LEFT JOIN loads USING (tab_id, epoch)
-WHERE video_codec IS NOT NULL AND ready_ms <= coalesce(next_ms, ready_ms) AND ready_ms <= coalesce(nav_ms, ready_ms)
-  AND (ready_ms <= last_ms OR ready_ms < (SELECT max(ts_ms) FROM requests) - 600000)""", "requests"))
+loads AS (SELECT tab_id, epoch - 1 AS epoch, min(ts_ms) AS nav_ms FROM staged WHERE kind = 'nav' GROUP BY tab_id, epoch)
+SELECT tab_id, group_id, video_codec, audio_codec, ready_ms FROM changes LEFT JOIN loads USING (tab_id, epoch)
+WHERE video_codec IS NOT NULL AND ready_ms <= coalesce(next_ms, ready_ms) AND ready_ms <= coalesce(nav_ms, ready_ms)""", "requests"))
 def r2(spark, sf):
-    return drain(streams.stream_track_groups(_requests(spark, sf)), "r2")
+    stream, close = closable(_log(spark, sf), **END)
+    return drain(streams.stream_track_groups(stream), "r2", close=close)
 
 
 @query("r2_stream_track_groups_by_session")
@@ -66,14 +73,29 @@ def r3(spark, sf):
 
 @query("r4_stream_navigation_reset", with_ctes(f", {STAGED} SELECT tab_id, epoch, {sql_norm('url')} AS dedup_key, min(ts_ms) AS detected_ms FROM staged WHERE kind = 'http' GROUP BY ALL", "requests"))
 def r4(spark, sf):
-    return drain(streams.stream_navigation_reset(_requests(spark, sf)), "r4")
+    stream, close = closable(_log(spark, sf), **END)
+    return drain(streams.stream_navigation_reset(stream), "r4", close=close)
 
 
-@query("r5_stream_live_states", with_ctes("SELECT tab_id, max(ts_ms) AS saved_ms FROM requests GROUP BY tab_id", "requests"))
+@query("r5_stream_live_states", with_ctes("""
+, g AS (SELECT *, CASE WHEN saved_ms - lag(saved_ms) OVER (PARTITION BY tab_id ORDER BY saved_ms) > 43200000 THEN 1 ELSE 0 END AS new FROM tab_saves),
+n AS (SELECT *, sum(new) OVER (PARTITION BY tab_id ORDER BY saved_ms) AS state FROM g)
+SELECT tab_id, min(saved_ms) AS first_saved_ms, max(saved_ms) AS saved_ms, count(*) AS saves, max(saved_ms) + 43200000 AS expired_ms FROM n GROUP BY tab_id, state""", "tab_saves"))
 def r5(spark, sf):
-    saves = _requests(spark, sf).select("tab_id", F.col("ts_ms").alias("saved_ms"))
-    updates = drain_updates(streams.stream_live_states(saves), "r5")
-    return updates.groupBy("tab_id").agg(F.max("saved_ms").alias("saved_ms"))
+    stream, close = closable(stream_table(spark, sf, "tab_saves"), tab_id=-1, saved_ms=LAST_MS)
+    return drain(streams.stream_live_states(stream), "r5", close=close)
+
+
+# segments of a page that is still open when the log ends go on waiting
+@query("r6_stream_first_manifests", with_ctes(f""", {ATTRIBUTED}, shown AS (SELECT tab_id, max(epoch) AS epoch FROM staged GROUP BY tab_id)
+SELECT tab_id, a.epoch, dir, segment_count, dedup_key FROM attributed a JOIN shown s USING (tab_id) WHERE dedup_key IS NOT NULL OR a.epoch < s.epoch""", "requests"))
+def r6f(spark, sf):
+    http = _http(spark, sf).filter(~urls.is_track_url(F.col("url")) & media.looks_like_media(F.col("url"), F.col("mime"), F.col("has_range")))
+    loads = normalize_request(_requests(spark, sf).filter("kind = 'nav'"))
+    names = ["request_id", "tab_id", "ts_ms", "kind", "url", "mime"]
+    stream, close = closable(http.select(*names).unionByName(loads.select(*names)), **END)
+    counts = drain(streams.stream_first_manifests(stream), "r6f", close=close)
+    return counts.groupBy("tab_id", "epoch", "dir", "dedup_key").agg(F.sum("segment_count").alias("segment_count"))
 
 
 @query("r6_stream_pending_segments", with_ctes(f""", {NORMALIZED}, k AS (SELECT tab_id, {sql_norm('url')} AS norm, {KIND} AS kind_ FROM normalized WHERE url LIKE 'http%'),

@@ -64,7 +64,8 @@ def scan_pages(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_usable", usable)
     keys = F.transform("_usable", lambda e: F.concat(e["src"], F.lit(":"), e["tag"]))
     rows = rows.withColumn("_once", F.filter("_usable", lambda e, i: F.array_position(keys, F.concat(e["src"], F.lit(":"), e["tag"])) == i + 1))
-    return rows.select("page_id", F.col("url").alias("page_url"), F.inline("_once")).select(
-        "page_id", "page_url", "tag", "src", urls.resolve_url(F.col("page_url"), F.col("src")).alias("url"),
+    rows = rows.withColumn("_base", urls.base_parts(F.col("url")))
+    return rows.select("page_id", F.col("url").alias("page_url"), "_base", F.inline("_once")).select(
+        "page_id", "page_url", "tag", "src", urls.resolve_against(F.col("_base"), F.col("src")).alias("url"),
         F.col("src").startswith("blob:").alias("is_blob"),
-        F.when(F.col("poster").isNotNull(), urls.resolve_url(F.col("page_url"), F.col("poster"))).alias("poster_url"), "title")
+        F.when(F.col("poster").isNotNull(), urls.resolve_against(F.col("_base"), F.col("poster"))).alias("poster_url"), "title")

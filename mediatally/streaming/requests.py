@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mediatally.functions import media, text, urls
 from mediatally.operators.dedup import WINDOW_MS
 from mediatally.operators.items import upsert_items
+from mediatally.operators.scan import HOUR_MS
+from mediatally.streaming.ordered import BUCKETS, InOrder, in_buckets, in_order
 
 QUIET_MS = 1200
 WAIT_MS = 12_000
@@ -21,9 +22,9 @@ def with_event_time(stream: DataFrame, watermark: str) -> DataFrame:
     return stream.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", watermark)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """One micro-batch of one key in event order. The trigger bounds its size."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
+def _placed(stream: DataFrame, watermark: str) -> DataFrame:
+    """Rows that have a tab and a place in event time; no other row can be ordered."""
+    return with_event_time(stream.filter("tab_id IS NOT NULL AND ts_ms IS NOT NULL AND request_id IS NOT NULL"), watermark)
 
 
 def closed_window_counts(stream: DataFrame, *, span: str = "10 seconds", watermark: str = "30 seconds") -> DataFrame:
@@ -33,49 +34,42 @@ def closed_window_counts(stream: DataFrame, *, span: str = "10 seconds", waterma
     return windows.agg(F.count(F.lit(1)).alias("requests")).select("tab_id", F.unix_millis("w.start").alias("window_ms"), "requests")
 
 
-class _Dedup(StatefulProcessor):
-    """Last kept time of a key; dropped once the watermark has passed the window after it."""
+class _Dedup(InOrder):
+    """Remembers the last kept time of every key of the bucket, as long as it can still keep a later row out."""
 
     def __init__(self, window_ms: int, columns: list[str]):
-        self.window_ms, self.columns = window_ms, columns
+        super().__init__(["ts_ms", "request_id"], [*columns, "url_base"], columns)
+        self.window_ms = window_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ts bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, ["ts_ms", "request_id"])
-        state = self.last.get()
-        last = state[0] if state else None
+    def decide(self, rows, upto, memory):
+        held = memory.get("last")
+        last = {} if held is None else dict(zip(zip(held["tab_id"], held["url_base"]), held["ts_ms"]))
         keep = []
-        for ts in pdf["ts_ms"]:
-            fresh = last is None or ts - last >= self.window_ms
-            keep.append(fresh)
-            if fresh:
-                last = int(ts)
-        if any(keep):
-            self.last.update((last,))
-            self.handle.registerTimer(last + self.window_ms)
-        yield pdf.loc[keep, self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # a timer of an earlier kept row finds a later time in the state and leaves it
-        state = self.last.get()
-        if state and state[0] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
-def stream_dedup_60s(stream: DataFrame, *, watermark: str = "10 minutes", window_ms: int = WINDOW_MS) -> DataFrame:
-    """R1, exact: the greedy 60 s rule per tab and URL without query, with the last kept time as state."""
+        for i, (tab, base, ts) in enumerate(zip(rows["tab_id"], rows["url_base"], rows["ts_ms"])):
+            before = last.get((tab, base))
+            if before is None or ts - before >= self.window_ms:
+                last[tab, base] = ts
+                keep.append(i)
+        out = list(rows.iloc[keep][self.output].itertuples(index=False, name=None))
+        live = [(tab, base, ts) for (tab, base), ts in last.items() if ts + self.window_ms > upto]
+        return out, {"last": pd.DataFrame(live, columns=["tab_id", "url_base", "ts_ms"])} if live else {}
+
+    def next_time(self, memory):
+        # to forget the keys when nothing follows
+        return int(memory["last"]["ts_ms"].max()) + self.window_ms if memory else None
+
+
+def stream_dedup_60s(stream: DataFrame, *, watermark: str = "10 minutes", window_ms: int = WINDOW_MS, buckets: int = BUCKETS) -> DataFrame:
+    """R1, exact: the greedy 60 s rule per tab and URL without query, in event order, however the rows arrive.
+
+    A row is put out when the watermark has passed it. Rows of one bucket of keys share a state entry; `buckets` is at
+    least the number of cores and stays the same as long as the checkpoint lives. Rows without a tab, time or number are left out.
+    """
     columns = ["request_id", "tab_id", "ts_ms", "url"]
-    keyed = with_event_time(stream.select(*columns), watermark).withColumn("url_base", urls.without_query(F.col("url")))
+    keyed = _placed(stream.select(*columns), watermark).withColumn("url_base", urls.without_query(F.col("url")))
     schema = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in columns)
-    return keyed.groupBy("tab_id", "url_base").transformWithStateInPandas(
-        _Dedup(window_ms, columns), schema, "Append", "EventTime")
+    dealt = in_buckets(keyed, [F.col("tab_id"), F.col("url_base")], buckets=buckets)
+    return in_order(dealt, _Dedup(window_ms, columns), schema)
 
 
 def stream_dedup_approximate(stream: DataFrame, *, watermark: str = "60 seconds") -> DataFrame:
@@ -84,120 +78,107 @@ def stream_dedup_approximate(stream: DataFrame, *, watermark: str = "60 seconds"
     return keyed.dropDuplicatesWithinWatermark(["tab_id", "url_base"]).drop("event_time", "url_base")
 
 
-class _PageItems(StatefulProcessor):
-    """Items of the page a tab shows; a page load clears them."""
+def _of(memory: dict[str, pd.DataFrame], name: str) -> list[tuple]:
+    held = memory.get(name)
+    return [] if held is None else list(held.itertuples(index=False, name=None))
+
+
+class _PageItems(InOrder):
+    """Page loads counted and items seen on the page a tab shows, for every tab and shard of the bucket."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "key string", "ts bigint")
-        self.loads = handle.getValueState("loads", "n bigint")
+    def __init__(self):
+        super().__init__(["ts_ms", "request_id"], ["tab_id", "shard", "kind", "dedup_key", "ts_ms", "request_id"],
+                         ["tab_id", "epoch", "dedup_key", "detected_ms"])
 
-    def handleInputRows(self, key, rows, timerValues):
-        loads = self.loads.get()[0] if self.loads.exists() else 0
-        # page loads sort as any other row, so state is right at every row
-        seen = {k[0] for k in self.seen.keys()} if self.seen.exists() else set()
-        fresh, stale = {}, False
+    def decide(self, rows, upto, memory):
+        loads = {(tab, shard): n for tab, shard, n in _of(memory, "loads")}
+        seen: dict[tuple, set] = {}
+        for tab, shard, key in _of(memory, "seen"):
+            seen.setdefault((tab, shard), set()).add(key)
         out = []
-        for r in _in_order(rows, ["ts_ms", "request_id"]).itertuples():
-            if r.kind == "nav":
-                loads += 1
-                seen, fresh, stale = set(), {}, True
-            elif r.dedup_key not in seen:
-                seen.add(r.dedup_key)
-                fresh[r.dedup_key] = int(r.ts_ms)
-                out.append((int(key[0]), loads, r.dedup_key, int(r.ts_ms)))
-        if stale:
-            self.seen.clear()
-        for k, ts in fresh.items():
-            self.seen.updateValue((k,), (ts,))
-        self.loads.update((loads,))
-        yield pd.DataFrame(out, columns=["tab_id", "epoch", "dedup_key", "detected_ms"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_navigation_reset(stream: DataFrame, *, watermark: str = "10 minutes") -> DataFrame:
-    """First sighting of each URL per tab and page load; a `nav` row clears the tab's state."""
-    df = with_event_time(stream, watermark).select(
+        for tab, shard, kind, key, ts in zip(*(rows[c] for c in ("tab_id", "shard", "kind", "dedup_key", "ts_ms"))):
+            at = (tab, shard)
+            if kind == "nav":
+                loads[at] = loads.get(at, 0) + 1
+                seen.pop(at, None)
+            elif key not in seen.setdefault(at, set()):
+                seen[at].add(key)
+                out.append((tab, loads.get(at, 0), key, ts))
+        after = {"loads": pd.DataFrame([(*at, n) for at, n in loads.items()], columns=["tab_id", "shard", "n"]),
+                 "seen": pd.DataFrame([(*at, k) for at, keys in seen.items() for k in keys], columns=["tab_id", "shard", "key"])}
+        return out, {name: pdf for name, pdf in after.items() if len(pdf)}
+
+
+def stream_navigation_reset(stream: DataFrame, *, watermark: str = "10 minutes", buckets: int = BUCKETS, shards: int = 16) -> DataFrame:
+    """R4, exact: first sighting of each URL per tab and page load, in event order; a `nav` row clears the tab's state.
+
+    A tab's URLs are spread over `shards` state entries that all see its page loads, so one busy tab is not one task.
+    State is the pages that tabs show: it ends with the next page load.
+    """
+    df = _placed(stream, watermark).select(
         "tab_id", "request_id", "ts_ms", "kind", urls.normalize_url(F.col("url")).alias("dedup_key"), "event_time")
-    return df.groupBy("tab_id").transformWithStateInPandas(
-        _PageItems(), "tab_id bigint, epoch bigint, dedup_key string, detected_ms bigint", "Append", "None")
+    dealt = in_buckets(df, [F.col("tab_id")], buckets=buckets, shards=shards, part=F.col("dedup_key"), everywhere=F.col("kind") == "nav")
+    return in_order(dealt, _PageItems(), "tab_id bigint, epoch bigint, dedup_key string, detected_ms bigint")
 
 
-class _TrackGroups(StatefulProcessor):
+class _TrackGroups(InOrder):
     """Best tracks per group of a tab; a group is put out when it has not changed for the quiet time."""
 
-    _OUT = ["tab_id", "group_id", "video_codec", "audio_codec", "ready_ms"]
-
     def __init__(self, quiet_ms: int):
+        super().__init__(["ts_ms", "request_id"], ["tab_id", "shard", "kind", "group_id", "codec_id", "track_type", "ts_ms", "request_id"],
+                         ["tab_id", "group_id", "video_codec", "audio_codec", "ready_ms"])
         self.quiet_ms = quiet_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.groups = handle.getMapState("groups", "g string", "video bigint, audio bigint, due bigint")
-
-    def _ready(self, tab, groups, now):
-        """Groups due at or before `now`; what was put out waits for the next change."""
-        for g, (video, audio, due) in list(groups.items()):
-            if due is not None and due <= now:
-                groups[g] = (video, audio, None)
-                if video is not None:
-                    yield (tab, g, video, audio, due)
-
-    def _load(self):
-        return {k[0]: tuple(v) for k, v in self.groups.iterator()} if self.groups.exists() else {}
-
-    def _store(self, groups):
-        self.groups.clear()
-        for g, state in groups.items():
-            self.groups.updateValue((g,), state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = [s[2] for s in groups.values() if s[2] is not None]
-        if due:
-            self.handle.registerTimer(min(due))
-
-    def _frame(self, out):
-        pdf = pd.DataFrame(out, columns=self._OUT)
-        return pdf.astype({"video_codec": "Int64", "audio_codec": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues):
-        tab, groups, out = int(key[0]), self._load(), []
-        for r in _in_order(rows, ["ts_ms", "request_id"]).itertuples():
-            ts = int(r.ts_ms)
-            out.extend(self._ready(tab, groups, ts))
-            if r.kind == "nav":
+    def decide(self, rows, upto, memory):
+        # per tab and shard its groups: best video, best audio, and when the group is due (None: put out already); -1 is no codec
+        tabs: dict[tuple, dict] = {}
+        for tab, shard, group, video, audio, due in _of(memory, "groups"):
+            tabs.setdefault((tab, shard), {})[group] = [video, audio, None if due < 0 else due]
+        out: list[tuple] = []
+
+        def ready(tab, groups, now):
+            for group, state in groups.items():
+                video, audio, due = state
+                if due is not None and due <= now:
+                    state[2] = None
+                    if video >= 0:
+                        out.append((tab, group, video, audio if audio >= 0 else None, due))
+
+        for tab, shard, kind, group, codec, track, ts in zip(
+                *(rows[c] for c in ("tab_id", "shard", "kind", "group_id", "codec_id", "track_type", "ts_ms"))):
+            groups = tabs.setdefault((tab, shard), {})
+            if kind == "nav":
+                ready(tab, groups, ts)
                 groups.clear()
                 continue
-            video, audio, due = groups.get(r.group_id, (None, None, None))
-            codec = int(r.codec_id)
-            if r.track_type == "video" and (video is None or codec > video):
-                groups[r.group_id] = (codec, audio, ts + self.quiet_ms)
-            elif r.track_type == "audio" and (audio is None or codec > audio):
-                groups[r.group_id] = (video, codec, ts + self.quiet_ms)
-        self._store(groups)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        groups = self._load()
-        out = list(self._ready(int(key[0]), groups, expiredTimerInfo.getExpiryTimeInMs()))
-        self._store(groups)
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_track_groups(stream: DataFrame, *, watermark: str = "10 minutes", quiet_ms: int = QUIET_MS) -> DataFrame:
+            if group in groups:
+                ready(tab, {group: groups[group]}, ts)
+            state = groups.setdefault(group, [-1, -1, None])
+            side = 0 if track == "video" else 1
+            if codec > state[side]:
+                state[side], state[2] = codec, ts + self.quiet_ms
+        for (tab, _), groups in tabs.items():
+            ready(tab, groups, upto)
+        held = [(*at, g, v, a, -1 if due is None else due) for at, groups in tabs.items() for g, (v, a, due) in groups.items()]
+        return out, {"groups": pd.DataFrame(held, columns=["tab_id", "shard", "group_id", "video", "audio", "due"])} if held else {}
+
+    def next_time(self, memory):
+        due = memory["groups"]["due"] if memory else pd.Series([], dtype="int64")
+        return int(due[due >= 0].min()) if (due >= 0).any() else None
+
+
+def stream_track_groups(stream: DataFrame, *, watermark: str = "10 minutes", quiet_ms: int = QUIET_MS, buckets: int = BUCKETS,
+                        shards: int = 4) -> DataFrame:
     """R2, exact: a group's best tracks 1200 ms of event time after its last change, again after each later
-    improvement; page loads clear a tab. Only track requests and page loads reach the state."""
-    df = with_event_time(stream, watermark).withColumn("_t", F.when(urls.is_track_url(F.col("url")), urls.parse_track_url(F.col("url"))))
+    improvement, in event order; page loads clear a tab. Only track requests and page loads reach the state, and a tab's
+    groups are spread over `shards` state entries."""
+    df = _placed(stream, watermark).withColumn("_t", F.when(urls.is_track_url(F.col("url")), urls.parse_track_url(F.col("url"))))
     df = df.filter((F.col("kind") == "nav") | F.col("_t").isNotNull()).select(
         "tab_id", "request_id", "ts_ms", "kind", F.coalesce("_t.group_id", F.lit("")).alias("group_id"),
         F.coalesce("_t.codec_id", F.lit(0)).alias("codec_id"), F.coalesce("_t.track_type", F.lit("")).alias("track_type"), "event_time")
-    return df.groupBy("tab_id").transformWithStateInPandas(
-        _TrackGroups(quiet_ms),
-        "tab_id bigint, group_id string, video_codec bigint, audio_codec bigint, ready_ms bigint", "Append", "EventTime")
+    dealt = in_buckets(df, [F.col("tab_id")], buckets=buckets, shards=shards, part=F.col("group_id"), everywhere=F.col("kind") == "nav")
+    return in_order(dealt, _TrackGroups(quiet_ms),
+                    "tab_id bigint, group_id string, video_codec bigint, audio_codec bigint, ready_ms bigint")
 
 
 def stream_track_groups_by_session(stream: DataFrame, *, watermark: str = "10 minutes", quiet_ms: int = QUIET_MS) -> DataFrame:
@@ -226,10 +207,118 @@ def current_items(updates: DataFrame) -> DataFrame:
     return latest.drop("batch_id")
 
 
-def stream_live_states(states: DataFrame, *, ttl: str = "12 hours") -> DataFrame:
-    """Newest save per tab, forgotten when the watermark is twelve hours past it."""
-    df = states.withColumn("saved_time", F.timestamp_millis("saved_ms")).withWatermark("saved_time", ttl)
-    return df.groupBy("tab_id", F.window("saved_time", ttl).alias("w")).agg(F.max("saved_ms").alias("saved_ms")).select("tab_id", "saved_ms")
+class _LiveStates(InOrder):
+    """First and latest save and number of saves of each tab's state."""
+
+    def __init__(self, ttl_ms: int):
+        super().__init__(["ts_ms"], ["tab_id", "ts_ms"], ["tab_id", "first_saved_ms", "saved_ms", "saves", "expired_ms"])
+        self.ttl_ms = ttl_ms
+
+    def decide(self, rows, upto, memory):
+        live = {tab: (first, last, n) for tab, first, last, n in _of(memory, "states")}
+        out = []
+        for tab, ts in zip(rows["tab_id"], rows["ts_ms"]):
+            first, last, n = live.get(tab, (ts, ts, 0))
+            if ts - last > self.ttl_ms:
+                out.append((tab, first, last, n, last + self.ttl_ms))
+                first, n = ts, 0
+            live[tab] = (first, ts, n + 1)
+        for tab, (first, last, n) in list(live.items()):
+            if last + self.ttl_ms <= upto:  # every later save is younger than that
+                out.append((tab, first, last, n, last + self.ttl_ms))
+                del live[tab]
+        return out, {"states": pd.DataFrame([(t, *s) for t, s in live.items()], columns=["tab_id", "first", "last", "n"])} if live else {}
+
+    def next_time(self, memory):
+        return int(memory["states"]["last"].min()) + self.ttl_ms if memory else None
+
+
+def stream_live_states(saves: DataFrame, *, ttl_ms: int = 12 * HOUR_MS, watermark: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
+    """The states of tabs and when they expired. A save keeps its tab's state for another twelve hours of event time; a
+    later one begins a new state. A state is put out when its time is over, in event order.
+
+    `saves`: tab_id and saved_ms. Rows without either are left out.
+    """
+    timed = saves.filter("tab_id IS NOT NULL AND saved_ms IS NOT NULL").select("tab_id", F.col("saved_ms").alias("ts_ms"))
+    dealt = in_buckets(with_event_time(timed, watermark), [F.col("tab_id")], buckets=buckets)
+    return in_order(dealt, _LiveStates(ttl_ms), "tab_id bigint, first_saved_ms bigint, saved_ms bigint, saves bigint, expired_ms bigint")
+
+
+def _ancestors(directory: str) -> list[str]:
+    """As `urls.ancestor_dirs`."""
+    parts = directory.split("/")
+    return ["/".join(parts[:n]) + "/" for n in range(3, len(parts))] if len(parts) >= 5 else [directory]
+
+
+class _FirstManifests(InOrder):
+    """Per tab and shard (of origins): page loads, the first manifest of every directory, and segments that wait."""
+
+    def __init__(self):
+        super().__init__(["ts_ms", "request_id"], ["tab_id", "shard", "kind", "dir", "dedup_key", "ts_ms", "request_id"],
+                         ["tab_id", "epoch", "dir", "dedup_key", "segment_count"])
+
+    def decide(self, rows, upto, memory):
+        loads = {(tab, shard): n for tab, shard, n in _of(memory, "loads")}
+        # at: directory -> (number, key) of its first manifest; below: the first one in it or deeper
+        at, below, waiting = ({}, {}, {})
+
+        def place(where, mdir, number, key):
+            if mdir not in at.setdefault(where, {}):
+                at[where][mdir] = (number, key)
+                for a in _ancestors(mdir):
+                    below.setdefault(where, {}).setdefault(a, (number, key))
+
+        for tab, shard, mdir, number, key in _of(memory, "manifests"):
+            place((tab, shard), mdir, number, key)
+        for tab, shard, folder, n in _of(memory, "waiting"):
+            waiting.setdefault((tab, shard), {})[folder] = n
+        counts: Counter = Counter()
+        for tab, shard, kind, folder, key in zip(*(rows[c] for c in ("tab_id", "shard", "kind", "dir", "dedup_key"))):
+            where = (tab, shard)
+            epoch = loads.get(where, 0)
+            if kind == "nav":
+                for left, n in waiting.pop(where, {}).items():
+                    counts[tab, epoch, left, None] += n
+                at.pop(where, None), below.pop(where, None)
+                loads[where] = epoch + 1
+            elif kind == "manifest":
+                if folder in at.get(where, {}):
+                    continue
+                place(where, folder, len(at.get(where, {})), key)
+                held = waiting.get(where, {})
+                for d in [d for d in held if d.startswith(folder) or folder.startswith(d)]:
+                    counts[tab, epoch, d, key] += held.pop(d)
+            else:
+                found = [at[where][a] for a in _ancestors(folder) if a in at[where]] if where in at else []
+                if folder in below.get(where, {}):
+                    found.append(below[where][folder])
+                if found:
+                    counts[tab, epoch, folder, min(found)[1]] += 1
+                else:
+                    waiting.setdefault(where, {})[folder] = waiting.get(where, {}).get(folder, 0) + 1
+        after = {
+            "loads": pd.DataFrame([(*w, n) for w, n in loads.items()], columns=["tab_id", "shard", "n"]),
+            "manifests": pd.DataFrame([(*w, d, n, k) for w, dirs in at.items() for d, (n, k) in dirs.items()],
+                                      columns=["tab_id", "shard", "dir", "number", "key"]),
+            "waiting": pd.DataFrame([(*w, d, n) for w, dirs in waiting.items() for d, n in dirs.items()], columns=["tab_id", "shard", "dir", "n"])}
+        return [(*k, n) for k, n in counts.items()], {name: pdf for name, pdf in after.items() if len(pdf)}
+
+
+def stream_first_manifests(hints: DataFrame, *, watermark: str = "10 minutes", buckets: int = BUCKETS, shards: int = 16) -> DataFrame:
+    """R6, exact: segments with the first manifest of their page whose directory contains, or lies in, theirs, whichever
+    comes first. A segment without one waits; when the page is left it is put out with a NULL manifest.
+
+    `hints`: tab_id, request_id, ts_ms, kind (`nav` or anything else), url and mime. Rows of the result are counts to be added up per
+    tab, epoch, dir and dedup_key. Directories that contain one another have one origin, so a tab's hints are
+    spread by origin over `shards` state entries, which all see its page loads. State ends with the page.
+    """
+    key = urls.normalize_url(F.col("url"))
+    kind = F.when(F.col("kind") == "nav", F.lit("nav")).otherwise(media.classify_hint(F.col("url"), F.col("mime")))
+    df = _placed(hints, watermark).select("tab_id", "request_id", "ts_ms", kind.alias("kind"), key.alias("dedup_key"), "event_time")
+    df = df.filter(F.col("kind").isin("nav", "segment", "manifest")).withColumn("dir", urls.dir_of(F.col("dedup_key")))
+    origin = F.substring_index(F.col("dir"), "/", 3)
+    dealt = in_buckets(df, [F.col("tab_id")], buckets=buckets, shards=shards, part=origin, everywhere=F.col("kind") == "nav")
+    return in_order(dealt, _FirstManifests(), "tab_id bigint, epoch bigint, dir string, dedup_key string, segment_count bigint")
 
 
 def stream_pending_segments(segments: DataFrame, manifests: DataFrame, *, watermark: str = "10 minutes",

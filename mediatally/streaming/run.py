@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,19 +39,43 @@ def _stream_settings(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Run `stream` until its source is used up and give back what it wrote.
+LAST_MS = 7_258_118_400_000  # the year 2200; pandas times end in 2262
+
+
+def closable(stream: DataFrame, **values) -> tuple[DataFrame, Callable[[], None]]:
+    """`stream` and a function that ends it: one row far in the future, `values` and else NULL, moves the watermark past
+    all other rows, so that a finite table gives all its results. The row itself is never released."""
+    spark, schema = stream.sparkSession, stream.schema
+    folder = scratch_dir(spark, "closing")
+    spark.createDataFrame([], schema).write.parquet(folder)
+    closing = spark.readStream.schema(schema).parquet(folder)
+
+    def close() -> None:
+        spark.createDataFrame([tuple({"ts_ms": LAST_MS, **values}.get(c) for c in schema.names)], schema).write.mode("append").parquet(folder)
+
+    return stream.unionByName(closing), close
+
+
+def drain(stream: DataFrame, purpose: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Run `stream` until its source is used up and give back what it wrote; with `close` (see `closable`) it then runs to its end.
 
     Rows go to parquet files, not through the driver. The checkpoint lies beside them, so a run that
     loses executors, or the driver, goes on where it stopped.
     """
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
-    with _stream_settings(spark):
+
+    def run() -> None:
         query = (
             stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
         query.awaitTermination()
+
+    with _stream_settings(spark):
+        run()
+        if close:
+            close()
+            run()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

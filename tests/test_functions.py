@@ -8,63 +8,80 @@ from mediatally.functions import media, text, urls
 L = F.lit
 
 
+@pytest.mark.parametrize("name", urls.VOLATILE_PARAMS)
+def test_each_volatile_parameter_goes_and_its_neighbours_stay(value, name):
+    for spelled in (name, name.upper(), name[0] + "%" + format(ord(name[1]), "02x") + name[2:]):
+        got = value(urls.normalize_url(L(f"https://film.test/reel/7.webm?cut=2&{spelled}=zz9&my{name}=keep")))
+        assert got == f"https://film.test/reel/7.webm?cut=2&my{name}=keep"
+    assert value(urls.normalize_url(L(f"https://film.test/7.webm?{name}"))) == "https://film.test/7.webm"
+
+
 @pytest.mark.parametrize("url,want", [
-    ("https://c.com/v.mp4?token=abc&_t=123&id=1", "https://c.com/v.mp4?id=1"),
-    ("https://c.com/v.mp4", "https://c.com/v.mp4"),
-    ("HTTPS://C.com:443/a/../v.mp4?Token=1", "https://c.com/v.mp4"),
-    ("https://c.com", "https://c.com/"),
-    ("https://c.com:8443/x?token=a&q=a%20b&flag#t=1", "https://c.com:8443/x?q=a+b&flag=#t=1"),
-    ("https://c.com/x?q=a%20b", "https://c.com/x?q=a%20b"),
-    ("https://c.com/x?%74oken=1&k=2", "https://c.com/x?k=2"),
-    ("https://c.com/x?mytoken=1", "https://c.com/x?mytoken=1"),
-    ("https://c.com/x?id=100%", "https://c.com/x?id=100%"),
-    ("http://c.com:80/a/./b", "http://c.com/a/b"),
-    ("https://c.com/a/b/..", "https://c.com/a/"),
-    ("not a url", "not a url"),
-    ("blob:https://x.com/abc", "blob:https://x.com/abc"),
+    ("WSS://Film.TEST:443/in/./side/../chat", "wss://film.test/in/chat"),
+    ("http://film.test:443/x", "http://film.test:443/x"),
+    ("ftp://film.test:21", "ftp://film.test/"),
+    ("https://film.test/x/..", "https://film.test/"),
+    ("https://film.test/../../up.mkv", "https://film.test/up.mkv"),
+    ("https://film.test/p?sign=1&w=two%20words&bare#part=3", "https://film.test/p?w=two+words&bare=#part=3"),
+    ("https://film.test/p?w=two%20words", "https://film.test/p?w=two%20words"),
+    ("https://film.test/p?share=50%", "https://film.test/p?share=50%"),
+    ("reel seven", "reel seven"),
+    ("blob:https://film.test/5f-1e", "blob:https://film.test/5f-1e"),
 ])
 def test_normalize_url(value, url, want):
     assert value(urls.normalize_url(L(url))) == want
 
 
 def test_dir_and_ancestors(value):
-    assert value(urls.dir_of(L("https://c.com/vod/a.ts?p=/x/y"))) == "https://c.com/vod/"
-    assert value(urls.ancestor_dirs(L("https://c.com/vod/1/"))) == ["https://c.com/", "https://c.com/vod/", "https://c.com/vod/1/"]
-    assert value(urls.ancestor_dirs(L("https://c.com/"))) == ["https://c.com/"]
+    assert value(urls.dir_of(L("https://film.test/s/t/u.mkv?back=/q/r#/z"))) == "https://film.test/s/t/"
+    assert value(urls.ancestor_dirs(L("https://film.test/s/t/"))) == ["https://film.test/", "https://film.test/s/", "https://film.test/s/t/"]
+    assert value(urls.ancestor_dirs(L("https://film.test/"))) == ["https://film.test/"]
 
 
 @pytest.mark.parametrize("url,want", [
-    ("https://c.com/a/My%20Clip.mp4?x=1", "My Clip"), ("https://c.com/", "c.com"), ("https://c.com/a/%E4%BD%A0.m3u8", "你"),
-    ("nonsense", "未命名媒体"), ("https://c.com/a%ZZ.mp4", "未命名媒体"), ("https://c.com/" + "x" * 150 + ".mp4", "x" * 100),
+    ("https://film.test/box/Two%20Reels.ogg#t=4", "Two Reels"), ("https://film.test/", "film.test"), ("https://film.test/%C3%A4iti.mpd", "äiti"),
+    ("no address", "未命名媒体"), ("https://film.test/broken%4.mkv", "未命名媒体"), ("https://film.test/" + "ab" * 70 + ".mkv", "ab" * 50),
+    ("https://film.test/archive.tar.mkv", "archive.tar"), ("https://film.test/noext", "noext"),
 ])
 def test_title_from_url(value, url, want):
     assert value(urls.title_from_url(L(url))) == want
 
 
+HERE = "https://film.test/shelf/box/list.mpd?from=/a/b#top"
+
+
 @pytest.mark.parametrize("base,rel,want", [
-    ("https://cdn.example.com/vod/master.m3u8", "480p/index.m3u8", "https://cdn.example.com/vod/480p/index.m3u8"),
-    ("https://cdn.example.com/vod/master.m3u8?t=/a/b", "s.ts", "https://cdn.example.com/vod/s.ts"),
-    ("https://cdn.example.com/vod/master.m3u8", "/s.ts", "https://cdn.example.com/s.ts"),
-    ("https://cdn.example.com/vod/master.m3u8", "//other.com/s.ts", "https://other.com/s.ts"),
-    ("https://cdn.example.com/vod/master.m3u8", "../s.ts", "https://cdn.example.com/s.ts"),
-    ("https://cdn.example.com/vod/master.m3u8", "https://Z.com/s.ts", "https://z.com/s.ts"),
-    ("https://cdn.example.com", "s.ts", "https://cdn.example.com/s.ts"),
-    ("https://cdn.example.com/a?b", "?c=1", "https://cdn.example.com/a?c=1"),
-    ("no base", "s.ts", "s.ts"),
+    (HERE, "reel/1.bin", "https://film.test/shelf/box/reel/1.bin"),
+    (HERE, "./1.bin", "https://film.test/shelf/box/1.bin"),
+    (HERE, "../../../1.bin", "https://film.test/1.bin"),
+    (HERE, "/1.bin", "https://film.test/1.bin"),
+    (HERE, "//Store.test/1.bin", "https://store.test/1.bin"),
+    (HERE, "HTTP://Store.test:80/1.bin", "http://store.test/1.bin"),
+    (HERE, "", "https://film.test/shelf/box/list.mpd?from=/a/b"),
+    (HERE, "?k=2", "https://film.test/shelf/box/list.mpd?k=2"),
+    (HERE, "#end", "https://film.test/shelf/box/list.mpd?from=/a/b#end"),
+    ("https://film.test", "1.bin", "https://film.test/1.bin"),
+    ("shelf", "1.bin", "1.bin"),
+    ("shelf", "https://film.test/1.bin", "https://film.test/1.bin"),
 ])
 def test_resolve_url(value, base, rel, want):
     assert value(urls.resolve_url(L(base), L(rel))) == want
+    assert value(urls.resolve_against(urls.base_parts(L(base)), L(rel))) == want
+
+
+@pytest.mark.parametrize("codec,kind", [(0, "video"), (29999, "video"), (30000, "audio"), (99999, "audio"), (100000, "video")])
+@pytest.mark.parametrize("ext", ["m4s", "MP4", "ts"])
+def test_track_urls(value, codec, kind, ext):
+    for host, site in (("n3.media.test:8443", "n3.media.test"), ("N4.Media.test", "n4.media.test")):
+        track = value(urls.parse_track_url(L(f"https://{host}/deep/er/lot-5/piece_k-2-{codec}.{ext}?sig=1#x")))
+        assert tuple(track) == (f"media.test|lot-5/piece_k|{codec}", site, "lot-5/piece_k", codec, kind)
 
 
-def test_track_urls(value):
-    video = value(urls.parse_track_url(L("https://b-x.edge.example.cn:4483/up/99/91/137649199/137649199_da2-1-100022.m4s?e=xxx&u=yyy")))
-    audio = value(urls.parse_track_url(L("https://xy1.mcdn.example.cn:8082/v1/up/99/91/137649199/137649199_da2-1-30216.m4s?e=xxx")))
-    assert (video.group_id, video.codec_id, video.track_type) == ("137649199/137649199_da2", 100022, "video")
-    assert (audio.group_id, audio.codec_id, audio.track_type) == ("137649199/137649199_da2", 30216, "audio")
-    assert video.site_key == "b-x.edge.example.cn"
-    for other in ("https://example.com/video.mp4", "https://example.com/index.m3u8?x=1", "not a url"):
-        assert value(urls.parse_track_url(L(other))) is None
-        assert value(urls.is_track_url(L(other))) is False
+@pytest.mark.parametrize("url", ["https://media.test/piece-2.m4s", "https://media.test/lot/piece-2-x.m4s", "https://media.test/lot/piece-2-7.mkv", "https://media.test/piece-2-7.m4s",
+                                 "lot/piece-2-7.m4s", "https://media.test/lot/?piece-2-7.m4s"])
+def test_other_urls_are_no_tracks(value, url):
+    assert value(urls.parse_track_url(L(url))) is None
+    assert value(urls.is_track_url(L(url))) is False
 
 
 def test_host_ext_and_masks(value):
@@ -112,33 +129,61 @@ def test_resolution(value):
 
 META = dict(title="Kuusi ja tähti", site="tube.test", resolution="1440x1080", quality="1080p", bitrate=731.0, duration_sec=7384.0,
             date="19991231", time="235958", index=8, ext="mkv")
+SHOWN = dict(title="Kuusi ja tähti", site="tube.test", resolution="1440x1080", quality="1080p", bitrate="731kbps", duration="02h03m04s",
+             date="19991231", time="235958", index="08")  # an extension is never part of the name itself
 
 
-@pytest.mark.parametrize("template,change,want", [
-    ("{title}-{resolution}", {}, "Kuusi ja tähti-1440x1080.mkv"),
-    ("{title}.flv", {}, "Kuusi ja tähti.mkv"),
-    ("{title}-{resolution}", {"resolution": None}, "Kuusi ja tähti.mkv"),
-    ("{index}-{title}", {"index": None}, "Kuusi ja tähti.mkv"),
-    ("{index}-{title}", {}, "08-Kuusi ja tähti.mkv"),
-    ("{title}-{duration}", {}, "Kuusi ja tähti-02h03m04s.mkv"),
-    ("{title}", {"title": 'a/b\\c:d*e?f"g<h>i|j'}, "abcdefghij.mkv"),
-    ("{title}", {"title": "x" * 200}, "x" * 150 + ".mkv"),
-    ("{quality}", {"quality": None}, "Kuusi ja tähti.mkv"),
-    ("{title}-{nope}", {}, "Kuusi ja tähti-{nope}.mkv"),
-    ("{title}_{bitrate}", {}, "Kuusi ja tähti_731kbps.mkv"),
-    ("{title}", {"title": "a {site} b"}, "a {site} b.mkv"),
-    ("{title}", {"title": None}, "未命名媒体.mkv"),
-])
-def test_build_filename(value, template, change, want):
+@pytest.fixture
+def named(value):
+    """A file name from a template and changes to META."""
     types = {"bitrate": "double", "duration_sec": "double", "index": "bigint"}
-    meta = {k: L(v).cast(types.get(k, "string")) for k, v in {**META, **change}.items()}
-    assert value(text.build_filename(template, meta)) == want
+
+    def run(template, **change):
+        return value(text.build_filename(template, {k: L(v).cast(types.get(k, "string")) for k, v in {**META, **change}.items()}))
+
+    return run
+
+
+@pytest.mark.parametrize("name", text.TEMPLATE_VARS)
+def test_every_variable_fills_its_place_or_leaves_no_gap(named, name):
+    assert named(f"pre_{{{name}}}_post") == (f"pre_{SHOWN[name]}_post.mkv" if name in SHOWN else "pre-post.mkv")
+    if name not in ("title", "ext"):
+        gone = "duration_sec" if name == "duration" else name
+        assert named(f"{{title}}-{{{name}}}-end", **{gone: None}) == "Kuusi ja tähti-end.mkv"
+        assert named(f"{{{name}}}", **{gone: None}).startswith("Kuusi ja tähti")
+
+
+def test_file_names_that_come_out_empty(named):
+    assert named("{site}", site=None) == "Kuusi ja tähti.mkv"
+    assert named("{site}", site=None, title=None) == "未命名媒体.mkv"
+    assert named("{title}", title=" ") == "未命名媒体.mkv"
+
+
+def test_file_names_keep_unknown_places_and_texts_that_look_like_places(named):
+    assert named("{title} {colour}") == "Kuusi ja tähti {colour}.mkv"
+    assert named("{title}", title="use {date} here") == "use {date} here.mkv"
+
+
+@pytest.mark.parametrize("mark", list('/\\:*?"<>|') + ["\x01", "\x1f"])
+def test_no_file_name_holds_a_forbidden_mark(named, mark):
+    assert named("{title}", title=f"left{mark}right") == "leftright.mkv"
+
+
+@pytest.mark.parametrize("n", [149, 150, 151, 400])
+def test_file_names_end_at_their_limit(named, n):
+    assert named("{title}", title="ä" * n) == "ä" * min(n, text.MAX_NAME) + ".mkv"
+
+
+@pytest.mark.parametrize("ext", ["mkv", "webm", "m4a"])
+def test_an_extension_in_the_template_gives_way(named, ext):
+    assert named("{title}." + ext, ext="webm") == "Kuusi ja tähti.webm"
 
 
-def test_validate_template(value):
-    ok = lambda t: value(text.validate_template(L(t)))["ok"]
-    assert ok("{title}-{resolution}") and ok("{index}-{site}")
-    assert not ok("{site}-{date}") and not ok("") and not ok(" ") and not ok("{title}-" + "a" * 200)
+@pytest.mark.parametrize("template,reason", [
+    ("{title}" + "b" * 193, None), ("{title}" + "b" * 194, "too_long"), ("b{index}", None), ("{Title}", "not_unique"), ("{date}_{time}", "not_unique"),
+    ("\t \u3000", "empty"), (None, "empty")])
+def test_validate_template(value, template, reason):
+    assert tuple(value(text.validate_template(L(template).cast("string")))) == (reason is None, reason)
 
 
 PROFILE = [
@@ -165,9 +210,9 @@ def test_iso_duration_and_templates(value):
     assert value(text.parse_iso_duration(L("P0DT0H30M10.5S"))) == 1810.5
     assert value(text.parse_iso_duration(L("1h"))) is None
     ids = dict(representation_id=L("v1"), bandwidth=L(9))
-    assert value(text.substitute_template(L("$RepresentationID$/s-$Number%03d$.m4s"), number=L(7), **ids)) == "v1/s-007.m4s"
+    assert value(text.substitute_template(L("r$RepresentationID$_$Number%02d$"), number=L(7), **ids)) == "rv1_07"
     assert value(text.substitute_template(L("$Number%02d$-$Number$-$Bandwidth$"), number=L(1234), **ids)) == "1234-1234-9"
-    assert value(text.substitute_template(L("a/$Time$.m4s"), number=L(1), **ids)) == "a/.m4s"
+    assert value(text.substitute_template(L("at$Time$.bin"), number=L(1), **ids)) == "at.bin"
     assert value(text.substitute_template(L("$Number%03d$/$Number%05d$/$$x$"), number=L(7), **ids)) == "007/00007/$$x$"
     assert value(text.substitute_template(L("$RepresentationID%04d$-$Bandwidth%03d$"), number=L(7), **ids)) == "00v1-009"
 
