@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import urls
-from mediatally.operators.scan import HOUR_MS, Running, every, running
+from mediatally.operators.scan import HOUR_MS, Running, Spans, every, running
 
 WINDOW_MS = 60_000
 
@@ -15,14 +15,14 @@ def navigation_epoch(df: DataFrame, *, partition: list[str] | None = None, order
                      tie: str = "request_id", width: int = HOUR_MS) -> DataFrame:
     """`epoch` counts the page loads of a tab up to each row; a load starts the epoch it belongs to."""
     is_nav = F.when(F.col("kind") == "nav", 1)
-    return running(df, keys=partition or ["tab_id"], order=[order, tie], bucket=every(order, width),
+    return running(df, keys=partition or ["tab_id"], order=[order, tie], bucket=Spans(order, width),
                    epoch=Running("count", is_nav))
 
 
 def page_context_asof(df: DataFrame, *, order: str = "ts_ms", tie: str = "request_id", width: int = HOUR_MS) -> DataFrame:
     """Host of the page the tab showed at the time of each request, NULL before its first page load."""
     nav_host = F.when(F.col("kind") == "nav", urls.host_of(F.col("url")))
-    return running(df, keys=["tab_id"], order=[order, tie], bucket=every(order, width),
+    return running(df, keys=["tab_id"], order=[order, tie], bucket=Spans(order, width),
                    page_host=Running("last", nav_host))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mediatally.operators.scan import Running, every, numbered, running
+from mediatally.operators.scan import Running, Spans, numbered, running
 
 MAX_RETRY = 3
 MAX_MISSING = 2
@@ -201,7 +201,7 @@ def task_state(events: DataFrame) -> DataFrame:
 
 def illegal_changes(events: DataFrame, width: int = 3_600_000) -> DataFrame:
     """Stage changes the state diagram does not have."""
-    stepped = running(events, keys=["task_id"], order=["ts_ms", "seq"], bucket=every("ts_ms", width),
+    stepped = running(events, keys=["task_id"], order=["ts_ms", "seq"], bucket=Spans("ts_ms", width),
                       previous=Running("last", F.col("stage"), exclusive=True))
     pair = F.concat_ws(">", "previous", "stage")
     allowed = [f"{a}>{b}" for a, b in STAGE_CHANGES]
@@ -210,14 +210,14 @@ def illegal_changes(events: DataFrame, width: int = 3_600_000) -> DataFrame:
 
 def stage_durations(events: DataFrame, width: int = 3_600_000) -> DataFrame:
     """Time from each stage to the next, NULL for the current one."""
-    stepped = running(events, keys=["task_id"], order=["ts_ms", "seq"], bucket=every("ts_ms", width),
+    stepped = running(events, keys=["task_id"], order=["ts_ms", "seq"], bucket=Spans("ts_ms", width),
                       next_ms=Running("next", F.col("ts_ms")))
     return stepped.withColumn("duration_ms", F.col("next_ms") - F.col("ts_ms")).drop("next_ms")
 
 
 def progress_samples(attempts: DataFrame, *, keys: list[str], order: list[str], width: int, step: int = 8 * 1024 * 1024) -> DataFrame:
     """R7 in batch: rows at which a task's running bytes cross a multiple of `step`."""
-    scanned = running(attempts, keys=keys, order=order, bucket=every(order[0], width),
+    scanned = running(attempts, keys=keys, order=order, bucket=Spans(order[0], width),
                       total_bytes=Running("sum", F.col("bytes")))
     crossed = F.floor(F.col("total_bytes") / step) > F.floor((F.col("total_bytes") - F.col("bytes")) / step)
     return scanned.filter(crossed)
@@ -246,7 +246,7 @@ def plan_outputs(tasks: DataFrame, policy: str = "rename", subdir: str = "", exi
         return kept.join(taken, "path", "left_anti").select(*tasks.columns, "path") if taken is not None else kept
     if policy != "rename":
         raise ValueError(f"unknown policy {policy}")
-    ranked = numbered(df, keys=["path"], order=order, bucket=every(order[0], width), name="_n")
+    ranked = numbered(df, keys=["path"], order=order, bucket=Spans(order[0], width), name="_n")
     shift = F.lit(0)
     if taken is not None:
         ranked = ranked.join(taken.withColumn("_taken", F.lit(1)), "path", "left")

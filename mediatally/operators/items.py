@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediatally.functions import media, text, urls
-from mediatally.operators.scan import Running, every, numbered, running
+from mediatally.operators.scan import Running, Spans, numbered, running
 from mediatally.session import stage
 
 
@@ -241,7 +241,7 @@ def await_audio(tracks: DataFrame, *, keys: list[str], width: int, wait_ms: int
     """
     df = tracks.withColumn("_audio_last", (F.col("track_type") == "audio").cast("int"))
     audio = F.when(F.col("track_type") == "audio", F.struct(F.col("ts_ms").alias("ts"), F.col("codec_id").alias("codec")))
-    scanned = running(df, keys=keys, order=["ts_ms", "_audio_last", tie], bucket=every("ts_ms", width),
+    scanned = running(df, keys=keys, order=["ts_ms", "_audio_last", tie], bucket=Spans("ts_ms", width),
                       _next=Running("next", audio))
     near = F.when(F.col("_next.ts") - F.col("ts_ms") <= wait_ms, F.col("_next"))
     return scanned.filter("track_type = 'video'").select(
@@ -335,14 +335,14 @@ def sort_items(items: DataFrame, field: str, descending: bool, *, tie: str) -> D
 
 def cap_list(items: DataFrame, n: int = 200, *, session: list[str], order: list[str], width: int) -> DataFrame:
     """The first `n` items of each session are listed, the rest marked folded."""
-    ranked = numbered(items, keys=session, order=order, bucket=every(order[0], width))
+    ranked = numbered(items, keys=session, order=order, bucket=Spans(order[0], width))
     return ranked.withColumn("folded", F.col("rank") > n)
 
 
 def batch_index(items: DataFrame, *, batch: list[str], order: list[str], width: int) -> DataFrame:
     """1-based number of each downloadable item of a batch; other items are left out."""
     picked = downloadable_only(items)
-    return numbered(picked, keys=batch, order=order, bucket=every(order[0], width), name="batch_index")
+    return numbered(picked, keys=batch, order=order, bucket=Spans(order[0], width), name="batch_index")
 
 
 def nest_items(variants: DataFrame, *, key: str, order: list[str]) -> DataFrame:

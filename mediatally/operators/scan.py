@@ -3,7 +3,7 @@
 A plain window sorts a whole group in one task. Here a group is cut into buckets along its order: each
 (group, bucket) is scanned on its own, one small row per bucket carries its totals, and a second scan
 over those rows gives every bucket what came before it. Buckets are a fixed function of the order
-column, so a lost executor recomputes the same cut. The wide rows are shuffled once.
+column and of written cuts, so a lost executor recomputes the same ones. The wide rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mediatally.session import stage
+
 HOUR_MS = 3_600_000
 
 
@@ -25,16 +27,52 @@ class Running:
     exclusive: bool = False
 
 
+# a bucket with more rows than this is cut again, into so many parts
+MOST_ROWS = 1 << 20
+PARTS = 64
+
+
+@dataclass(frozen=True)
+class Spans:
+    """Buckets of `width` along an integer order column, cut finer where a group is busy.
+
+    Rows are counted per group and bucket. Where one holds more than `MOST_ROWS`, a quantile sketch over its rows gives the
+    places of the inner cuts, so that one group with a third of all rows within a minute is spread over many tasks.
+    Only these few buckets' cuts meet the rows, as a small written table. Results do not depend on the cuts.
+    """
+
+    column: str
+    width: int
+
+    def cut(self, df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+        """`df`, with a column `_inner` if any bucket is cut again, and the bucket to use."""
+        bucket = every(self.column, self.width)
+        key = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys])
+        rows = df.select(key.alias("_busy_key"), bucket.alias("_busy_bucket"), F.col(self.column).alias("_at"))
+        cell = ["_busy_key", "_busy_bucket"]
+        busy = stage(rows.groupBy(*cell).count().filter(F.col("count") > MOST_ROWS).select(*cell), "busy-buckets")
+        if not busy.limit(1).count():
+            return df, bucket
+        shares = F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], F.lit(10_000))
+        cuts = stage(rows.join(busy, cell).groupBy(*cell).agg(F.array_distinct(shares).alias("_cuts")), "bucket-cuts")
+        joined = df.join(cuts, (key == F.col("_busy_key")) & (bucket == F.col("_busy_bucket")), "left")
+        inner = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(self.column))), F.lit(0))
+        inner = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(inner)
+        return joined.withColumn("_inner", inner).drop(*cell, "_cuts"), F.struct(bucket.alias("b"), F.col("_inner").alias("i"))
+
+
 def every(column: str, width: int) -> Column:
     """Bucket number for an integer order column; it never decreases along the order."""
     return F.coalesce(F.expr(f"`{column}` div {width}"), F.lit(-(2**63)))  # NULL comes first in a window's order, too
 
 
-def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, **wanted: Running) -> DataFrame:
+def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column | Spans, **wanted: Running) -> DataFrame:
     """`df` with the wanted running columns. `order` must be unique within a group and `bucket` must not decrease
     along it. NULL is a key like any other, as in a plain window."""
     b, k = "_bucket", "_key"
     columns = df.columns
+    if isinstance(bucket, Spans):
+        df, bucket = bucket.cut(df, keys)
     # one struct, because structs are equal where both have NULL: windows, sums and the join agree on it
     df = df.withColumns({b: bucket, k: F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys])})
     group = Window.partitionBy(k, b).orderBy(*order)
@@ -89,7 +127,7 @@ def running(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column,
     return scanned.withColumns(combined).select(*[c for c in columns if c not in wanted], *wanted)
 
 
-def numbered(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, *, keys: list[str], order: list[str], bucket: Column | Spans, name: str = "rank") -> DataFrame:
     """1-based row number within each group."""
     return running(df, keys=keys, order=order, bucket=bucket, **{name: Running("count", F.lit(1))})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediatally.functions import media, text, urls
+from mediatally.functions import media, sql, text, urls
 from mediatally.operators import items as item_ops
 from mediatally.operators import logs as log_ops
 from mediatally.plans.detect_queries import STAGED_HTTP, TRACK_RE, TYPE, sql_dir, sql_host, sql_norm, sql_title
@@ -216,6 +216,16 @@ def x21(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.parse_iso_duration(iso).alias("seconds"))
 
 
+@query("x_sql_functions", with_ctes(f"""
+SELECT request_id, {sql_norm('url')} AS dedup_key, {sql_bytes('content_length')} AS size_text,
+  CASE WHEN url LIKE 'http%' THEN regexp_replace(split_part(url, '?', 1), '[^/]*$', '') || 'sub/next.ts' ELSE 'sub/next.ts' END AS next_url
+FROM requests WHERE {sql_host('url')} LIKE 'cdn%'""", "requests"))
+def x_sql(spark, sf):
+    sql.register(spark)
+    return spark.sql("""SELECT request_id, mt_normalize_url(url) AS dedup_key, mt_format_bytes(content_length) AS size_text, mt_resolve_url(url, './sub/next.ts') AS next_url
+                        FROM {log} WHERE mt_host_of(url) LIKE 'cdn%'""", log=_requests(spark, sf))
+
+
 @query("x22_substitute_template", "SELECT doc_id, lang || '/seg-' || printf('%05d', n_chars) || '-' || n_chars * 7 || '-' || doc_id || '.m4s' AS filled, lang || '/init-.mp4' AS init FROM documents")
 def x22(spark, sf):
     ids = {"representation_id": F.col("lang"), "bandwidth": F.col("doc_id")}

@@ -12,7 +12,9 @@ from mediatally.plans.tables import table, with_ctes
 from mediatally.sources.requests import normalize_request
 from mediatally.streaming import requests as streams
 from mediatally.streaming import tasks as task_streams
-from mediatally.streaming.run import LAST_MS, closable, drain, drain_updates, stream_table
+from mediatally.session import scratch_dir, stage
+from mediatally.streaming.keyed import KeyedTable
+from mediatally.streaming.run import LAST_MS, closable, drain, drain_counted, drain_updates, feed, stream_table
 
 
 def _requests(spark, sf) -> DataFrame:
@@ -147,3 +149,43 @@ SELECT * FROM (SELECT tab_id, ts_ms // 10000 * 10000 AS window_ms, count(*) AS r
 WHERE window_ms + 10000 <= (SELECT max(ts_ms) FROM requests) - 30000""", "requests"))
 def r12(spark, sf):
     return drain(streams.closed_window_counts(_requests(spark, sf).select("tab_id", "ts_ms")), "r12")
+
+
+@query("r7_stream_progress", with_ctes(f"""
+, c AS (SELECT task_id % 200 AS task_id, 1704067200000 + task_id * 250 + segment_index * 30 + attempt AS ts_ms, task_id * 32 + segment_index * 4 + attempt AS seq, bytes * 40 AS bytes FROM fetch_attempts WHERE status_code = 200),
+t AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY task_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM c)
+SELECT task_id, ts_ms, seq, total_bytes FROM t WHERE total_bytes // 8388608 > (total_bytes - bytes) // 8388608""", "fetch_attempts"))
+def r7s(spark, sf):
+    # lineitem is aggregated before it gives attempts: the stream reads them from a stored table
+    kept = stage(table(spark, sf, "fetch_attempts").filter("status_code = 200").selectExpr(
+        "task_id % 200 AS task_id", "1704067200000 + task_id * 250 + segment_index * 30 + attempt AS ts_ms",
+        "CAST(task_id * 32 + segment_index * 4 + attempt AS BIGINT) AS seq", "bytes * 40 AS bytes"), "chunks")
+    chunks = spark.readStream.schema(kept.schema).parquet(*{f.rsplit("/", 1)[0] for f in kept.inputFiles()[:1]})
+    stream, close = closable(chunks, task_id=-1, seq=0, bytes=0)
+    return drain(task_streams.stream_progress(stream, pause_ms=0), "r7", close=close)
+
+
+@query("s8_stream_upsert", with_ctes(f""", {HTTP}
+SELECT tab_id, {sql_norm('url')} AS dedup_key, min(ts_ms) AS detected_ms, arg_max(url, request_id) AS url, arg_max(status_code, request_id) AS status_code
+FROM http GROUP BY ALL""", "requests"))
+def s8s(spark, sf):
+    schema = "tab_id bigint, dedup_key string, detected_ms bigint, url string, status_code int, ts_ms bigint, request_id bigint"
+    kept = KeyedTable(spark, scratch_dir(spark, "s8-items"), schema, keys=["tab_id", "dedup_key"], order=["ts_ms", "request_id"], first="detected_ms")
+    hints = _http(spark, sf).select("tab_id", urls.normalize_url(F.col("url")).alias("dedup_key"), F.col("ts_ms").alias("detected_ms"),
+                                    "url", "status_code", "ts_ms", "request_id")
+    feed(hints, "s8", kept.upsert)
+    return kept.current().select("tab_id", "dedup_key", "detected_ms", "url", "status_code")
+
+
+# every tenth request arrives once more when the log is over, far behind the watermark
+@query("r12_late_rows", with_ctes("SELECT count(*) AS rows_late FROM requests WHERE request_id % 10 = 0", "requests"))
+def r12_late(spark, sf):
+    log = table(spark, sf, "requests").select("request_id", "tab_id", "ts_ms", "url")
+    late = log.filter("request_id % 10 = 0").withColumn("ts_ms", F.col("ts_ms") - 10**9)
+    folder = scratch_dir(spark, "late-log")
+    log.write.parquet(folder)
+    stream = spark.readStream.schema(log.schema).parquet(folder)
+    # a batch tests for lateness with the watermark of the one before, so the late rows come two batches on
+    more = [lambda part=part: part.write.mode("append").parquet(folder) for part in (log.filter("request_id = 0"), late)]
+    counted = drain_counted(streams.stream_dedup_60s(stream, watermark="10 days"), "r12-late", "append", *more)
+    return counted.progress.agg(F.sum("rows_late").alias("rows_late"))

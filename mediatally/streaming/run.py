@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,21 +64,57 @@ def drain(stream: DataFrame, purpose: str, mode: str = "append", close: Callable
     Rows go to parquet files, not through the driver. The checkpoint lies beside them, so a run that
     loses executors, or the driver, goes on where it stopped.
     """
+    return drain_counted(stream, purpose, mode, *([close] if close else []))[0]
+
+
+class Batches(NamedTuple):
+    """What a stream wrote, and one row per batch and stateful operator: batch_id, operator, rows_late, rows_updated, watermark_ms."""
+
+    rows: DataFrame
+    progress: DataFrame
+
+
+def drain_counted(stream: DataFrame, purpose: str, mode: str = "append", *then: Callable[[], None]) -> Batches:
+    """As `drain`, with the numbers of rows that came behind the watermark, batch by batch. After each function of
+    `then`, which may bring new files, the stream runs on.
+
+    Spark counts dropped rows after the partial aggregation of a batch, so an aggregate counts late groups, not rows.
+    The progress has one small entry per batch.
+    """
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
+    seen: dict[tuple[int, int], tuple] = {}
 
     def run() -> None:
         query = (
             stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
         query.awaitTermination()
+        for p in query.recentProgress:
+            mark = p.eventTime.get("watermark")
+            ms = int(datetime.fromisoformat(mark.replace("Z", "+00:00")).timestamp() * 1000) if mark else None
+            for i, op in enumerate(p.stateOperators):
+                late, updated = seen.get((p.batchId, i), (0, 0, None))[:2]
+                seen[p.batchId, i] = (max(late, op.numRowsDroppedByWatermark), max(updated, op.numRowsUpdated), ms)
 
     with _stream_settings(spark):
         run()
-        if close:
-            close()
+        for step in then:
+            step()
             run()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    progress = spark.createDataFrame(
+        [(*k, *v) for k, v in sorted(seen.items())], "batch_id bigint, operator int, rows_late bigint, rows_updated bigint, watermark_ms bigint")
+    return Batches(spark.read.schema(stream.schema).parquet(f"{folder}/out"), progress)
+
+
+def feed(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run `stream` until its source is used up, each batch handed to `write` with its number."""
+    spark = stream.sparkSession
+    folder = scratch_dir(spark, purpose)
+    with _stream_settings(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def drain_updates(stream: DataFrame, purpose: str) -> DataFrame:
