@@ -22,6 +22,8 @@ class Admission:
     extensions: list[str] = field(default_factory=lambda: list(DEFAULT_EXTENSIONS))
     domain_mode: str = "blacklist"
     domains: list[str] = field(default_factory=list)
+    # page hints pass the domain rules and filters like network hints; else they are all taken
+    screen_page_hints: bool = False
 
 
 def admit_http(df: DataFrame) -> DataFrame:

@@ -349,6 +349,32 @@ def a1(spark, sf):
     return flagship.session_media_summary(table(spark, sf, "requests"), FILTERS)
 
 
+# the same with page hints, which are all taken; segments may name manifests, tested in rounds as for j1_attribute_in_order
+_PAGE_CHAIN = (
+    f"{TRACKS}, {_GREEDY.format(src=_H_MEDIA)}, screened AS (SELECT *, {_REASON} AS reject_reason FROM deduped WHERE {sql_host('url')} IS NOT NULL AND {sql_host('url')} <> 'ads.example.org'), "
+    """told AS (SELECT *, (SELECT count(*) FROM requests n WHERE n.kind = 'nav' AND n.tab_id = p.tab_id AND n.ts_ms <= p.ts_ms) AS epoch FROM page_hints p WHERE tab_id >= 0),
+hints AS (SELECT tab_id, epoch, request_id, ts_ms, url, mime, size, NULL::VARCHAR AS parent_manifest FROM screened WHERE reject_reason IS NULL
+  UNION ALL SELECT tab_id, epoch, request_id, ts_ms, url, mime, size, parent_manifest FROM told)"""
+    + MERGED[len(HINTS):]
+    + f""", segs AS (SELECT tab_id, epoch, {sql_dir('dedup_key')} AS dir, {sql_norm('parent_manifest')} AS parent, ts_ms FROM keyed WHERE k = 'segment'),
+hinted AS (SELECT tab_id, epoch, dedup_key, detected_ms FROM merged_items WHERE protocol <> 'progressive'),
+names AS (SELECT tab_id, epoch, dir, parent, min(ts_ms) AS since FROM segs WHERE parent IS NOT NULL GROUP BY ALL), {_sql_rounds(4)},
+owned AS (SELECT tab_id, epoch, dedup_key, count(*) AS segment_count FROM (
+  SELECT tab_id, epoch, CASE WHEN parent IS NULL OR first_ms < ts_ms THEN first_key ELSE parent END AS dedup_key FROM segs JOIN t3 USING (tab_id, epoch, dir)) WHERE dedup_key IS NOT NULL GROUP BY ALL),
+named AS (SELECT DISTINCT tab_id, epoch, parent AS dedup_key FROM names JOIN t3 USING (tab_id, epoch, dir) WHERE since <= coalesce(first_ms, since)),
+listed AS (
+  SELECT m.tab_id, m.epoch, m.protocol, m.status, m.k <> 'blob' AS downloadable, o.segment_count FROM merged_items m LEFT JOIN owned o USING (tab_id, epoch, dedup_key)
+  UNION ALL SELECT tab_id, epoch, 'dash', 'ready', true, NULL FROM best
+  UNION ALL SELECT n.tab_id, n.epoch, 'dash', 'parsing', true, o.segment_count FROM named n LEFT JOIN owned o USING (tab_id, epoch, dedup_key)
+    WHERE (n.tab_id, n.epoch, n.dedup_key) NOT IN (SELECT (tab_id, epoch, dedup_key) FROM hinted))"""
+)
+
+
+@query("a1_session_summary_with_pages", with_ctes(f", {_PAGE_CHAIN} {_SUMMARY}", "requests", "page_hints", recursive=True))
+def a1_pages(spark, sf):
+    return flagship.session_media_summary(table(spark, sf, "requests"), FILTERS, page_hints=table(spark, sf, "page_hints"))
+
+
 SQL_PAGES = with_ctes("""
 SELECT page_id, 'video' AS tag, '/media/clip-' || CAST(page_id % 50 AS STRING) || '.mp4' AS src, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/media/clip-' || CAST(page_id % 50 AS STRING) || '.mp4' AS url,
        false AS is_blob, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/p/' || CAST(page_id AS STRING) || '.jpg' AS poster_url, 'Clip ' || CAST(page_id AS STRING) AS title

@@ -59,6 +59,16 @@ SELECT request_id, tab_id, frame_id, ts_ms,
               WHEN 18 THEN NULL ELSE 'video/mp2t' END AS content_type,
        CASE WHEN k IN (6, 18) THEN NULL ELSE CAST(floor(value * 100000) AS BIGINT) END AS content_length
 FROM {requests_src}""",
+    # what page scripts report: segments that name a manifest elsewhere, blobs, plain files
+    "page_hints": """
+SELECT request_id + 1000000000 AS request_id, tab_id, ts_ms + 7 AS ts_ms,
+       CASE k WHEN 12 THEN concat('https://cdn', CAST(h AS STRING), '.example.com/vod/', CAST(v AS STRING), '/720p/own-', CAST(request_id AS STRING), '.ts')
+              WHEN 13 THEN concat('blob:https://www.site', CAST(h AS STRING), '.example.com/', CAST(v AS STRING))
+              ELSE concat('https://pages', CAST(h AS STRING), '.example.org/movie-', CAST(v AS STRING), '.mp4') END AS url,
+       CASE WHEN k = 14 THEN 'video/mp4' END AS mime, CAST(NULL AS BIGINT) AS size,
+       CASE WHEN k = 12 AND v < 8 THEN concat('https://list', CAST(h AS STRING), '.example.com/p/', CAST(v AS STRING), '.mpd?token=', CAST(request_id AS STRING)) END AS parent_manifest,
+       CASE WHEN k = 14 THEN 'A film' END AS page_title
+FROM {requests_src} WHERE k IN (12, 13, 14)""",
     # saves of tab states, with pauses of many hours
     "tab_saves": """
 SELECT user_id AS tab_id, 1704067200000 + event_id * 60000 + user_id % 7 AS saved_ms FROM {events}""",
