@@ -68,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library finds the strings of added tokens before it cuts words, so texts that hold one are encoded whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             sizes[i] = len(token)  # one character per byte
@@ -106,7 +107,7 @@ class Encoder:
         """(ids of all texts, ids per text)."""
         if len(self.number) > CACHED:
             self.clear()
-        cut = [units_of(t) for t in texts]
+        cut = [None if any(a in t for a in self.added) else units_of(t) for t in texts]
         later = [u for units in cut if units for u in units[1:]]
         at = np.fromiter(map(self.number.get, later, repeat(-1)), dtype=np.int64, count=len(later))
         missed = np.flatnonzero(at < 0)

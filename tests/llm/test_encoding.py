@@ -15,8 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(PATH)  # as it comes: strings of special tokens are special tokens
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +29,11 @@ def test_units_give_the_ids_of_whole_texts(plain):
         assert ids[a: a + n].tolist() == plain(text), repr(text)
 
 
+def test_strings_of_special_tokens_are_the_librarys_default(plain):
+    ids, lengths = encoding.Encoder(PATH).encode(["a <|endoftext|> b", "a b"])
+    assert ids[: lengths[0]].tolist() == [64, 220, 50256, 275] and ids[lengths[0]:].tolist() == plain("a b")
+
+
 def test_cache_starts_anew(plain, monkeypatch):
     monkeypatch.setattr(encoding, "CACHED", 50)
     coder, rng = encoding.Encoder(PATH), random.Random(2)
@@ -53,7 +57,7 @@ def test_blocks_round_trip(top):
 def test_files_say_what_the_titles_encode_to(spark, plain, tmp_path, monkeypatch):
     monkeypatch.setattr(encoding, "BLOCK_IDS", 2000)
     rng = random.Random(4)
-    rows = [(i, " ".join(words(rng, rng.randint(1, 200)))) for i in range(400, 500)] + odd_rows()
+    rows = [(i, " ".join(words(rng, rng.randint(1, 200)))) for i in range(400, 500)] + odd_rows() + [(600, "x <|endoftext|>y\n z")]
     got = encoding.encode_titles(frame(spark, rows).repartition(5), tokenizer=PATH, folder=str(tmp_path / "ids")).collect()
     want = {}
     for i, t in rows:
