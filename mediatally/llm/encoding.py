@@ -19,7 +19,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ HEAD = "<4s5I"
 END_ID = 0
 NO_NAME = 2**32 - 1
 BLOCK_IDS = 1 << 20
-CACHED = 400_000  # units a worker holds; then it starts anew
+CACHED = 800_000  # units a worker holds; then it starts anew
 
 # a run of blanks and line feeds with the run of other characters after it is tokenized on its own
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -57,6 +56,18 @@ def units_of(text: str) -> list[str] | None:
     return text.replace("\n", " \n").split(" ")
 
 
+class Numbers(dict):
+    """Numbers of units in the order they are first asked for; `new` are those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Encoder:
     """Ids of texts by a tokenizers file. Texts are cut into units at blanks, which are token boundaries of a byte-level
     vocabulary that starts words with the blank; units seen before are looked up, new ones are encoded together."""
@@ -77,31 +88,37 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.number = Numbers()
+        self.flat = np.zeros(0, np.uint32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each unit's ids in `flat`
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _add(self, units: list[str]) -> None:
         """Encode new units. Those that stand for blank and unit are put into one text: a token never spans two of them."""
-        glued = [u for u in units if u[0] not in " \n"]
-        alone = [u for u in units if u[0] in " \n"]
-        parts, counts = [], []
-        groups = [[" " + u for u in glued[i: i + 512]] for i in range(0, len(glued), 512)]
-        for group, done in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        is_alone = np.fromiter((u[0] in " \n" for u in units), bool, len(units))
+        glued, alone = [u for u in units if u[0] not in " \n"], [u for u in units if u[0] in " \n"]
+        parts, sizes = [], np.zeros(len(units), np.int64)
+        texts = [" " + " ".join(glued[i: i + 512]) for i in range(0, len(glued), 512)]
+        n_bytes = np.fromiter((len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass")) for u in glued), np.int64, len(glued)) + 1
+        counts = []
+        for k, done in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(done.ids, dtype=np.uint32)
             ends = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in group]), side="left") + 1
+            cuts = np.searchsorted(ends, np.cumsum(n_bytes[512 * k: 512 * (k + 1)]), side="left") + 1
             parts.append(ids)
             counts.append(np.diff(cuts, prepend=0))
-        for done in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
-            parts.append(np.array(done.ids, dtype=np.uint32))
-            counts.append(np.array([len(done.ids)]))
-        for u in glued + alone:
-            self.number[u] = len(self.number)
+        sizes[~is_alone] = np.concatenate(counts) if counts else 0
+        found = [done.ids for done in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        sizes[is_alone] = [len(ids) for ids in found]
+        parts.append(np.array([i for ids in found for i in ids], dtype=np.uint32))
+        # the glued units' ids come first, then those of the others
+        placed = np.concatenate([np.flatnonzero(~is_alone), np.flatnonzero(is_alone)])
+        start = np.zeros(len(units), np.int64)
+        start[placed] = len(self.flat) + np.cumsum(sizes[placed]) - sizes[placed]
         self.flat = np.concatenate([self.flat, *parts])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, sizes])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
@@ -109,14 +126,12 @@ class Encoder:
             self.clear()
         cut = [None if any(a in t for a in self.added) else units_of(t) for t in texts]
         later = [u for units in cut if units for u in units[1:]]
-        at = np.fromiter(map(self.number.get, later, repeat(-1)), dtype=np.int64, count=len(later))
-        missed = np.flatnonzero(at < 0)
-        if len(missed):
-            new = [later[i] for i in missed.tolist()]
-            self._add(list(dict.fromkeys(new)))
-            at[missed] = np.fromiter(map(self.number.__getitem__, new), dtype=np.int64, count=len(new))
-        sizes = self.first[at + 1] - self.first[at]
-        ids = self.flat[np.repeat(self.first[at], sizes) + spread(sizes)]
+        at = np.fromiter(map(self.number.__getitem__, later), dtype=np.int64, count=len(later))
+        if self.number.new:
+            self._add(self.number.new)
+            self.number.new = []
+        sizes = self.size[at]
+        ids = self.flat[np.repeat(self.start[at], sizes) + spread(sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         # the first unit of a text has no blank in front of it
         heads = iter(self.tokenizer.encode_batch_fast([units[0] for units in cut if units], add_special_tokens=False))
