@@ -28,19 +28,23 @@ def failures_by_code(attempts: DataFrame, tasks: DataFrame, max_retry: int = MAX
 
 
 def fetch_outcomes(attempts: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame:
-    """A5: per segment its outcome, see `_decided`."""
+    """A5: per segment its outcome, see `_decided`. Attempts may carry `error`; then the outcome tells whether it was `decrypt`."""
     return _decided(attempts, max_retry).drop("status_code")
 
 
 def _decided(attempts: DataFrame, max_retry: int) -> DataFrame:
     """Per segment the first deciding attempt: 200 completes, 404 is missing, 401/403 fails on credentials,
-    any other answer is retried until more than `max_retry` attempts failed. Attempts after it do not count.
+    any other answer is retried until more than `max_retry` attempts failed. Attempts after it do not count. With a column
+    `error`, a segment that could not be opened (`decrypt_failed`) has failed, whatever its answer.
     """
     status = F.col("status_code")
-    final = status.between(200, 399) | status.isin(401, 403, 404) | (F.col("attempt") >= max_retry)
+    told = "error" in attempts.columns
+    unopened = F.coalesce(F.col("error") == "decrypt_failed", F.lit(False)) if told else F.lit(False)
+    attempts = attempts.withColumn("_unopened", unopened)
+    final = F.col("_unopened") | status.between(200, 399) | status.isin(401, 403, 404) | (F.col("attempt") >= max_retry)
     within = attempts.filter(F.col("attempt") <= max_retry)
     decided = within.groupBy("task_id", "segment_index").agg(
-        F.min_by(F.struct("attempt", "status_code", "bytes"), F.when(final, F.col("attempt"))).alias("d"),
+        F.min_by(F.struct("attempt", "status_code", "bytes", F.col("_unopened").alias("unopened")), F.when(final, F.col("attempt"))).alias("d"),
         F.max("attempt").alias("last_attempt"),
         # attempts with throttled answers, at most one more than the retries, to count those up to the deciding one
         F.collect_list(F.when(status.isin(429, 503), F.col("attempt"))).alias("_throttled"),
@@ -48,6 +52,7 @@ def _decided(attempts: DataFrame, max_retry: int) -> DataFrame:
     code = F.col("d.status_code")
     outcome = (
         F.when(F.col("d").isNull(), F.lit("pending"))
+        .when(F.col("d.unopened"), F.lit("failed"))
         .when(code.between(200, 399), F.lit("completed"))
         .when(code == 404, F.lit("missing"))
         .otherwise(F.lit("failed"))
@@ -56,20 +61,52 @@ def _decided(attempts: DataFrame, max_retry: int) -> DataFrame:
     throttled = F.size(F.filter("_throttled", lambda n: n <= upto))
     return decided.select(
         "task_id", "segment_index", outcome.alias("outcome"), (upto + 1).cast("bigint").alias("attempts"),
-        F.coalesce(code.isin(401, 403), F.lit(False)).alias("credential"), throttled.cast("bigint").alias("throttled"),
+        (F.coalesce(code.isin(401, 403), F.lit(False)) & ~F.coalesce("d.unopened", F.lit(False))).alias("credential"),
+        *([F.coalesce("d.unopened", F.lit(False)).alias("decrypt")] if told else []), throttled.cast("bigint").alias("throttled"),
         F.when(outcome == "completed", F.col("d.bytes")).alias("bytes"), code.alias("status_code"),
     )
 
 
-def task_outcomes(outcomes: DataFrame, max_missing: int = MAX_MISSING, concurrency: int = 4) -> DataFrame:
-    """Per task the outcome counts, abort reason and suggested concurrency. The segment lists stay rows of A5."""
-    counts = outcomes.groupBy("task_id").agg(
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("completed", "failed", "missing")],
-        F.sum("throttled").alias("throttled"), F.max("credential").alias("_cred"))
-    reason = F.when(F.col("_cred"), F.lit("credential")).when(F.col("missing") > max_missing, F.lit("missing"))
+def task_outcomes(outcomes: DataFrame, max_missing: int = MAX_MISSING, concurrency: int = 4, expected: DataFrame | None = None,
+                  canceled: DataFrame | None = None) -> DataFrame:
+    """Per task the outcome counts, abort reason and suggested concurrency. The segment lists stay rows of A5 and
+    `aborted_segments`.
+
+    The reason is the first of credential, decrypt (if the outcomes tell), missing (more than `max_missing`) and canceled (tasks in
+    `canceled`). With `expected` (task_id, segment_index), segments that were never decided count as `aborted`, and as failed too
+    when the task stopped for another reason than missing segments; tasks without any attempt are listed then.
+    """
+    counted = ["completed", "failed", "missing"]
+    flags = ["credential", *(["decrypt"] if "decrypt" in outcomes.columns else [])]
+    rows = outcomes.select("task_id", "outcome", "throttled", *flags)
+    if expected is not None:
+        rows = rows.unionByName(aborted_segments(expected, outcomes).select("task_id", F.lit("aborted").alias("outcome")), allowMissingColumns=True)
+        counted.append("aborted")
+    counts = rows.groupBy("task_id").agg(
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in counted], F.coalesce(F.sum("throttled"), F.lit(0)).alias("throttled"),
+        *[F.coalesce(F.max(f), F.lit(False)).alias(f"_{f}") for f in flags])
+    if canceled is not None:
+        counts = counts.join(canceled.select("task_id").distinct().withColumn("_canceled", F.lit(True)), "task_id", "left")
+        flags.append("canceled")
+    reason = F.when(F.col("_credential"), F.lit("credential"))
+    if "decrypt" in flags:
+        reason = reason.when(F.col("_decrypt"), F.lit("decrypt"))
+    reason = reason.when(F.col("missing") > max_missing, F.lit("missing"))
+    if "canceled" in flags:
+        reason = reason.when(F.col("_canceled"), F.lit("canceled"))
+    counts = counts.withColumn("abort_reason", reason)
+    failed = F.col("failed")
+    if expected is not None:
+        failed = failed + F.when(F.col("abort_reason") != "missing", F.col("aborted")).otherwise(F.lit(0))
     slower = F.when((F.col("throttled") > 2) & F.lit(concurrency > 1), F.lit(max(1, concurrency - 1))).otherwise(F.lit(concurrency))
-    return counts.select("task_id", "completed", "failed", "missing", "throttled", reason.alias("abort_reason"),
-                         slower.cast("bigint").alias("suggested_concurrency"))
+    return counts.select("task_id", "completed", failed.alias("failed"), *[c for c in counted if c not in ("completed", "failed")], "throttled",
+                         "abort_reason", slower.cast("bigint").alias("suggested_concurrency"))
+
+
+def aborted_segments(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Expected segments (task_id, segment_index) that no attempt has decided."""
+    decided = outcomes.filter("outcome <> 'pending'").select("task_id", "segment_index")
+    return expected.join(decided, ["task_id", "segment_index"], "left_anti")
 
 
 def backoff_schedule(attempts: DataFrame, *, base_ms: int = 500, cap_ms: int = 8000, max_retry: int = MAX_RETRY) -> DataFrame:

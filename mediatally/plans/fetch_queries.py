@@ -37,6 +37,29 @@ def a6(spark, sf):
     return fetch.task_outcomes(fetch.fetch_outcomes(attempts(spark, sf)))
 
 
+# some tasks could not open segments, some were canceled, and every task should have segments 0 to 8
+_TROUBLED = OUTCOMES.replace("attempt >= 3)", "attempt >= 3 OR error)").replace("FROM fetch_attempts", "FROM tried").replace("JOIN fetch_attempts", "JOIN tried").replace(
+    "CASE WHEN a.status_code BETWEEN", "CASE WHEN a.error THEN 'failed' WHEN a.status_code BETWEEN", 1).replace(
+    "a.status_code IN (401, 403) AS credential", "a.status_code IN (401, 403) AND NOT a.error AS credential, a.error AS decrypt")
+
+
+@query("a6_task_outcomes_with_aborts", with_ctes(f""", tried AS (SELECT *, task_id % 53 = 1 AND segment_index = 2 AND attempt = 0 AS error FROM fetch_attempts), {_TROUBLED},
+every AS (SELECT task_id, unnest(range(0, 9)) AS segment_index FROM tasks),
+lost AS (SELECT task_id, count(*) AS aborted FROM every e WHERE NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.task_id = e.task_id AND o.segment_index = e.segment_index) GROUP BY task_id),
+c AS (SELECT task_id, count(*) FILTER (WHERE outcome = 'completed') AS completed, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'missing') AS missing,
+  CAST(coalesce(sum(throttled), 0) AS BIGINT) AS throttled, coalesce(bool_or(credential), false) AS credential, coalesce(bool_or(decrypt), false) AS decrypt FROM outcomes GROUP BY task_id),
+r AS (SELECT task_id, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(missing, 0) AS missing, coalesce(aborted, 0) AS aborted, coalesce(throttled, 0) AS throttled,
+  CASE WHEN credential THEN 'credential' WHEN decrypt THEN 'decrypt' WHEN missing > 2 THEN 'missing' WHEN task_id IN (SELECT task_id FROM tasks WHERE stage = 'canceled') THEN 'canceled' END AS abort_reason
+  FROM c FULL JOIN lost USING (task_id))
+SELECT task_id, completed, failed + CASE WHEN abort_reason <> 'missing' THEN aborted ELSE 0 END AS failed, missing, aborted, throttled, abort_reason,
+  CAST(CASE WHEN throttled > 2 THEN 3 ELSE 4 END AS BIGINT) AS suggested_concurrency FROM r""", "fetch_attempts", "tasks"))
+def a6_aborts(spark, sf):
+    unopened = (F.col("task_id") % 53 == 1) & (F.col("segment_index") == 2) & (F.col("attempt") == 0)
+    tried = attempts(spark, sf).withColumn("error", F.when(unopened, F.lit("decrypt_failed")))
+    every = tasks(spark, sf).select("task_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("segment_index"))
+    return fetch.task_outcomes(fetch.fetch_outcomes(tried), expected=every, canceled=tasks(spark, sf).filter("stage = 'canceled'"))
+
+
 @query("a7_task_rollup", with_ctes(f""", {OUTCOMES}, o AS (SELECT *, outcome = 'completed' AS done, segment_index > 4 AS audio FROM outcomes)
 SELECT task_id, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE done) AS completed_segments, count(*) AS total_segments, count(*) FILTER (WHERE done AND NOT audio) AS video_completed,
   count(*) FILTER (WHERE NOT audio) AS video_total, count(*) FILTER (WHERE done AND audio) AS audio_completed, count(*) FILTER (WHERE audio) AS audio_total FROM o GROUP BY task_id""", "fetch_attempts"))

@@ -173,14 +173,20 @@ def x17(spark, sf):
     return table(spark, sf, "part").select("p_partkey", media.mime_for_filename(F.concat("p_name", F.lit("."), ext)).alias("mime"))
 
 
-_AUDIO = "CASE WHEN media_type = 'audio' OR (protocol = 'progressive' AND master_url LIKE '%.m4a%') THEN 'audio' ELSE 'video' END"
+# a MIME type for every fifth item each: a known audio type, one with parameters, an unknown audio type, a video type, none
+_TOLD = "CASE media_id % 5 WHEN 0 THEN 'Audio/FLAC' WHEN 1 THEN 'audio/ogg; codecs=opus' WHEN 2 THEN 'audio/x-odd' WHEN 3 THEN 'video/webm' END"
+_FILE = "CASE WHEN protocol = 'progressive' THEN lower(regexp_extract(split_part(master_url, '?', 1), '([^.]*)$', 1)) ELSE 'mp4' END"
+_AUDIO = f"(media_type = 'audio' OR coalesce(lower({_TOLD}) LIKE 'audio/%', false) OR {_FILE} = 'm4a')"
 
 
 @query("x18_output_profile", with_ctes(f"""
-SELECT media_id, {_AUDIO} AS kind, CASE WHEN {_AUDIO} = 'audio' THEN 'm4a' ELSE 'mp4' END AS container, CASE WHEN {_AUDIO} = 'audio' THEN 'm4a' ELSE 'mp4' END AS ext,
-  {_AUDIO} || '/mp4' AS mime, CASE WHEN {_AUDIO} = 'audio' THEN 'mp3' ELSE 'mp4' END AS ext_mp3, CASE WHEN {_AUDIO} = 'audio' THEN 'audio/mpeg' ELSE 'video/mp4' END AS mime_mp3 FROM items""", "items"))
+, t AS (SELECT media_id, {_AUDIO} AS audio, CASE WHEN {_FILE} = 'm4a' THEN 'm4a' ELSE CASE media_id % 5 WHEN 0 THEN 'flac' WHEN 1 THEN 'ogg' ELSE 'm4a' END END AS ext FROM items)
+SELECT media_id, CASE WHEN audio THEN 'audio' ELSE 'video' END AS kind, CASE WHEN audio THEN ext ELSE 'mp4' END AS container, CASE WHEN audio THEN ext ELSE 'mp4' END AS ext,
+  CASE WHEN audio THEN CASE ext WHEN 'm4a' THEN 'audio/mp4' ELSE 'audio/' || ext END ELSE 'video/mp4' END AS mime,
+  CASE WHEN audio THEN 'mp3' ELSE 'mp4' END AS ext_mp3, CASE WHEN audio THEN 'audio/mpeg' ELSE 'video/mp4' END AS mime_mp3 FROM t""", "items"))
 def x18(spark, sf):
-    args = (F.col("media_type"), F.col("protocol"), F.col("master_url"), F.lit(None).cast("string"))
+    told = F.expr("CASE media_id % 5 WHEN 0 THEN 'Audio/FLAC' WHEN 1 THEN 'audio/ogg; codecs=opus' WHEN 2 THEN 'audio/x-odd' WHEN 3 THEN 'video/webm' END")
+    args = (F.col("media_type"), F.col("protocol"), F.col("master_url"), told)
     df = table(spark, sf, "items").withColumns({"p": media.output_profile(*args), "q": media.output_profile(*args, audio_output="mp3")})
     return df.select("media_id", "p.kind", "p.container", "p.ext", "p.mime", F.col("q.ext").alias("ext_mp3"), F.col("q.mime").alias("mime_mp3"))
 

@@ -144,6 +144,18 @@ def r11(spark, sf):
     return drain(streams.stream_await_audio(tracks("video"), tracks("audio"), watermark="5 seconds"), "r11")
 
 
+@query("r11_stream_first_audio", with_ctes(f""", {TRACKS}
+SELECT v.tab_id, v.group_id, v.request_id, min(a.ts_ms) AS audio_ts_ms, min(a.ts_ms) IS NULL AS silent
+FROM typed v LEFT JOIN typed a ON a.track_type = 'audio' AND a.tab_id = v.tab_id AND a.group_id = v.group_id AND a.ts_ms BETWEEN v.ts_ms AND v.ts_ms + 12000
+WHERE v.track_type = 'video' GROUP BY v.tab_id, v.group_id, v.request_id""", "requests"))
+def r11f(spark, sf):
+    parsed = _http(spark, sf).withColumn("_t", urls.parse_track_url(F.col("url"))).filter("_t IS NOT NULL")
+    tracks = parsed.select("tab_id", "request_id", "ts_ms", F.col("_t.group_id").alias("group_id"), F.col("_t.track_type").alias("track_type"), F.col("_t.codec_id").alias("codec_id"))
+    stream, close = closable(tracks, tab_id=-1, request_id=-1, group_id="", track_type="audio", codec_id=0)
+    out = drain(streams.stream_first_audio(stream), "r11f", close=close)
+    return out.select("tab_id", "group_id", "request_id", "audio_ts_ms", "silent")
+
+
 @query("r12_closed_window_counts", with_ctes("""
 SELECT * FROM (SELECT tab_id, ts_ms // 10000 * 10000 AS window_ms, count(*) AS requests FROM requests GROUP BY 1, 2) w
 WHERE window_ms + 10000 <= (SELECT max(ts_ms) FROM requests) - 30000""", "requests"))

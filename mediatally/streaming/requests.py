@@ -355,3 +355,45 @@ def stream_await_audio(video: DataFrame, audio: DataFrame, *, watermark: str = "
     return v.join(a, on, "left_outer").select(
         "tab_id", "group_id", F.unix_millis("v_time").alias("video_ms"), "video_codec", "audio_codec",
         F.col("audio_codec").isNull().alias("silent"))
+
+
+class _FirstAudio(InOrder):
+    """Per tab and group the videos that wait for audio."""
+
+    def __init__(self, wait_ms: int):
+        super().__init__(["ts_ms", "audio_last", "request_id"], ["tab_id", "group_id", "request_id", "ts_ms", "track_type", "codec_id", "audio_last"],
+                         ["tab_id", "group_id", "request_id", "ts_ms", "codec_id", "audio_ts_ms", "audio_codec", "silent"])
+        self.wait_ms = wait_ms
+
+    def decide(self, rows, upto, memory):
+        waiting: dict[tuple, list] = {}
+        for tab, group, number, ts, codec in _of(memory, "videos"):
+            waiting.setdefault((tab, group), []).append((number, ts, codec))
+        out = []
+        for tab, group, number, ts, kind, codec in zip(*(rows[c] for c in self.inputs[:6])):
+            if kind == "video":
+                waiting.setdefault((tab, group), []).append((number, ts, codec))
+                continue
+            for n, at, video in waiting.pop((tab, group), []):
+                near = ts - at <= self.wait_ms
+                out.append((tab, group, n, at, video, ts if near else None, codec if near else None, not near))
+        held = []
+        for (tab, group), videos in waiting.items():
+            for n, at, video in videos:
+                if at + self.wait_ms <= upto:
+                    out.append((tab, group, n, at, video, None, None, True))
+                else:
+                    held.append((tab, group, n, at, video))
+        return out, {"videos": pd.DataFrame(held, columns=["tab_id", "group_id", "request_id", "ts_ms", "codec_id"])} if held else {}
+
+    def next_time(self, memory):
+        return int(memory["videos"]["ts_ms"].min()) + self.wait_ms if memory else None
+
+
+def stream_first_audio(tracks: DataFrame, *, watermark: str = "1 minute", wait_ms: int = WAIT_MS, buckets: int = BUCKETS) -> DataFrame:
+    """R11, exact: every video request with the first audio request of its group up to 12 s later, in event order; silent when
+    none comes. `tracks`: tab_id, group_id, request_id, ts_ms, track_type and codec_id. At equal times video comes first."""
+    rows = _placed(tracks.filter("group_id IS NOT NULL"), watermark).withColumn("audio_last", (F.col("track_type") == "audio").cast("int"))
+    dealt = in_buckets(rows, [F.col("tab_id"), F.col("group_id")], buckets=buckets)
+    return in_order(dealt, _FirstAudio(wait_ms), "tab_id bigint, group_id string, request_id bigint, ts_ms bigint, codec_id bigint, "
+                                                 "audio_ts_ms bigint, audio_codec bigint, silent boolean")

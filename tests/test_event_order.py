@@ -210,3 +210,14 @@ def test_a_busy_tab_is_spread_over_buckets(spark):
     sizes = [r["count"] for r in dealt.filter("kind = 'http'").groupBy("bucket").count().collect()]
     assert len(sizes) >= 10 and max(sizes) < 4000 / 3
     assert dealt.filter("kind = 'nav'").count() == 40 * 16
+
+
+def test_first_audio_out_of_order(spark, out_of_order):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(1, 2), 10_000 + rng.randrange(200_000), rng.choice("gh"), rng.choice(["video", "audio"]), rng.randint(1, 9)) for i in range(120)]
+    schema = "request_id bigint, tab_id bigint, ts_ms bigint, group_id string, track_type string, codec_id bigint"
+    want = items.await_audio(spark.createDataFrame(rows, schema), keys=["tab_id", "group_id"], width=30_000)
+    stream, close = run.closable(out_of_order(rows, schema), tab_id=-1, request_id=-1, group_id="", track_type="audio", codec_id=0)
+    got = run.drain(streams.stream_first_audio(stream, watermark="25 seconds", buckets=4), "t", close=close)
+    columns = ["tab_id", "group_id", "request_id", "codec_id", "audio_ts_ms", "silent"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))

@@ -88,3 +88,17 @@ def test_media_source(spark):
     kept = spark.createDataFrame([(3,), (3,)], "task_id bigint")
     got = {r.task_id: (r.media_source, r.title) for r in fetch.join_live_or_snapshot(tasks, live, snaps, kept).collect()}
     assert got == {1: ("live", "live"), 2: ("snapshot", "old"), 3: ("shell", None), 4: ("media_gone", None)}
+
+
+def test_reasons_and_aborted_segments(spark):
+    tried = spark.createDataFrame(
+        [(1, 0, 0, 200, 5, None), (1, 1, 0, 200, 5, "decrypt_failed"), (2, 0, 0, 401, 0, None), (2, 1, 0, 200, 5, "decrypt_failed"),
+         (3, 0, 0, 404, 0, None), (3, 1, 0, 404, 0, None), (3, 2, 0, 404, 0, None), (4, 0, 0, 200, 5, None), (5, 0, 0, 500, 0, None)],
+        "task_id bigint, segment_index bigint, attempt bigint, status_code int, bytes bigint, error string")
+    expected = spark.createDataFrame([(t, s) for t in range(1, 7) for s in range(4)], "task_id bigint, segment_index bigint")
+    canceled = spark.createDataFrame([(3,), (4,), (4,), (6,)], "task_id bigint")
+    outcomes = fetch.fetch_outcomes(tried)
+    got = {r.task_id: (r.completed, r.failed, r.missing, r.aborted, r.abort_reason) for r in fetch.task_outcomes(outcomes, expected=expected, canceled=canceled).collect()}
+    assert got == {1: (1, 3, 0, 2, "decrypt"), 2: (0, 4, 0, 2, "credential"), 3: (0, 0, 3, 1, "missing"), 4: (1, 3, 0, 3, "canceled"),
+                   5: (0, 0, 0, 4, None), 6: (0, 4, 0, 4, "canceled")}
+    assert fetch.aborted_segments(expected, outcomes).filter("task_id = 5").count() == 4

@@ -14,6 +14,7 @@ from mediatally.streaming import requests as streams, run, tasks as task_streams
 
 from test_ordered import greedy
 
+T0 = 1_700_000_000_000  # rows at or before the first watermark, the epoch, count as late
 HTML = [
     '<body><video src="/a.mp4" poster="p.jpg" title="x src=no"><source src="b.webm"></video><source src="out.mp4"></body>',
     '<!-- <video src="c.mp4"></video> --><script>"<video src=\'d.mp4\'>"</script><audio><source src=https://o.com/e.mp3?x=1&amp;y=2></audio>',
@@ -128,10 +129,10 @@ def in_batches(spark, tmp_path):
 
 def test_stream_dedup_in_batches(in_batches):
     rng = random.Random(3)
-    rows = sorted((1, "https://c/" + rng.choice("ab") + "?x=" + str(i), rng.randrange(600_000), i) for i in range(300))
+    rows = sorted((1, "https://c/" + rng.choice("ab") + "?x=" + str(i), T0 + rng.randrange(600_000), i) for i in range(300))
     rows = [(i, t, ts, u) for t, u, ts, i in sorted(rows, key=lambda r: (r[2], r[3]))]
-    stream = in_batches(rows, "request_id bigint, tab_id bigint, ts_ms bigint, url string")
-    got = {r.request_id for r in run.drain(streams.stream_dedup_60s(stream, watermark="1 minute"), "t").collect()}
+    stream, close = run.closable(in_batches(rows, "request_id bigint, tab_id bigint, ts_ms bigint, url string"), request_id=-1, tab_id=-1)
+    got = {r.request_id for r in run.drain(streams.stream_dedup_60s(stream, watermark="1 minute", buckets=8), "t", close=close).collect()}
     assert got == greedy([(u.split("?")[0], ts, i) for i, _, ts, u in rows], 60_000)
 
 
@@ -146,11 +147,12 @@ def test_stream_tracks(in_batches):
 
 
 def test_stream_navigation(in_batches):
-    rows = [(1, 1, 0, "http", "https://h/a.mp4?token=1"), (2, 1, 10, "http", "https://h/a.mp4?token=2"), (3, 1, 20, "nav", "https://h/"), (4, 1, 30, "http", "https://h/a.mp4"),
-            (5, 2, 40, "http", "https://h/a.mp4")]
+    rows = [(1, 1, T0, "http", "https://h/a.mp4?token=1"), (2, 1, T0 + 10, "http", "https://h/a.mp4?token=2"), (3, 1, T0 + 20, "nav", "https://h/"),
+            (4, 1, T0 + 30, "http", "https://h/a.mp4"), (5, 2, T0 + 40, "http", "https://h/a.mp4")]
     stream = in_batches(rows, "request_id bigint, tab_id bigint, ts_ms bigint, kind string, url string", 5)
-    got = sorted(tuple(r) for r in run.drain(streams.stream_navigation_reset(stream), "t").collect())
-    assert got == [(1, 0, "https://h/a.mp4", 0), (1, 1, "https://h/a.mp4", 30), (2, 0, "https://h/a.mp4", 40)]
+    stream, close = run.closable(stream, request_id=-1, tab_id=-1, kind="nav")
+    got = sorted(tuple(r) for r in run.drain(streams.stream_navigation_reset(stream, buckets=4, shards=2), "t", close=close).collect())
+    assert got == [(1, 0, "https://h/a.mp4", T0), (1, 1, "https://h/a.mp4", T0 + 30), (2, 0, "https://h/a.mp4", T0 + 40)]
 
 
 def test_stream_items_in_batches(in_batches):
