@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mediatally.llm.words import free_name
 from mediatally.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -59,19 +60,22 @@ def mix_sites(items: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_rate:
     # drawn before the join, so that a caller who wants no titles moves none
     key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("title", F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-    sized = kept.withColumns({"size": title_size(F.col("title")), "_draw": draw})
+    drawn, of = free_name([*items.columns, *ADDED], "_draw"), free_name([*items.columns, *ADDED], "_site")
+    sized = kept.withColumns({"size": title_size(F.col("title")), drawn: draw})
     # written, so that its size is known when the join is planned: titles stay where they are as long as it is small
     targets = stage(site_targets(sized.select("site", "size"), weights=weights, max_rate=max_rate), "site-targets")
-    targets = targets.withColumnRenamed("site", "_site")
-    out = sized.join(targets, F.col("site").eqNullSafe(F.col("_site")), "left").drop("_site")
+    targets = targets.withColumnRenamed("site", of)
+    out = sized.join(targets, F.col("site").eqNullSafe(F.col(of)), "left").drop(of)
     rate = F.when(F.col("site_size") > 0, F.least(F.col("target") / F.col("site_size"), F.lit(float(max_rate)))).otherwise(0.0)
     whole = F.floor("rate")
     out = out.withColumn("rate", rate).withColumn(
-        "copies", (whole + F.when(F.col("_draw") < F.col("rate") - whole, 1).otherwise(0)).cast("bigint"))
+        "copies", (whole + F.when(F.col(drawn) < F.col("rate") - whole, 1).otherwise(0)).cast("bigint"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*kept.columns, *ADDED)
 
 
 def emit_mix(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row of `mix_sites` as often as its `copies` say, without the added columns."""
-    rows = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("_copy", *ADDED)
+    """The mix itself: every row of `mix_sites` as often as its `copies` say, without the added columns. Other columns stay,
+    whatever their names; a row with a NULL number of copies is left out, an empty table gives an empty one."""
+    copy = free_name(mixed.columns, "_copy")
+    rows = mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.drop(copy, *ADDED)

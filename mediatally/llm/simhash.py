@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediatally.llm.components import smallest_reachable
-from mediatally.llm.words import LOWER, U64, Words, slices, spread, words_of
+from mediatally.llm.words import LOWER, U64, Words, free_name, slices, spread, words_of
 from mediatally.session import stage
 
 SHINGLE = 3
@@ -266,10 +266,14 @@ def similar_titles(items: DataFrame) -> DataFrame:
 
 
 def keep_one(items: DataFrame) -> DataFrame:
-    """The rows of `items` with one item of each class of near-equal titles: the one whose id names the class.
+    """The rows of `items` with one row of each class of near-equal titles: the smallest id, NULL ids last, then by a hash of the title.
 
-    All columns stay. Of rows that repeat this id all go but one. Rows without an id can't name a class and stay.
+    All columns stay, whatever their names. It is a row that stays, not an id: rows that share an id but not their text belong to
+    their own classes, and of rows that repeat id and title one stays. NULL and empty titles are one class. An empty table gives an
+    empty one. Titles of any length are read whole.
     """
-    kept = similar_titles(items).filter("item_id = component_id").select(F.col("item_id").alias("_kept")).distinct()
-    named = items.join(kept, items["item_id"] == F.col("_kept"), "left_semi").dropDuplicates(["item_id"])
-    return named.unionByName(items.filter(F.col("item_id").isNull()))
+    row = free_name(items.columns, "row_key")
+    key = F.struct(F.col("item_id").isNull().alias("u"), F.col("item_id").alias("id"), F.xxhash64("title").alias("h"))
+    found = similar_titles(items.select(key.alias("item_id"), "title"))
+    kept = found.filter("item_id = component_id").select(F.col("item_id").alias(row)).distinct()
+    return items.withColumn(row, key).join(kept, row, "left_semi").dropDuplicates([row]).drop(row)

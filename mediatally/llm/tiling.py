@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from mediatally.llm.words import NO_TOKEN, U64, run_hashes, slices, spread, word_hashes, words_of
+from mediatally.llm.words import NO_TOKEN, U64, free_name, run_hashes, slices, spread, word_hashes, words_of
 
 SEED_TOKENS = 5
 COVERAGE = 0.5
@@ -175,7 +175,8 @@ def _pairs(items: DataFrame, index: Reserved, kind, coverage: float) -> DataFram
 
 
 def without_reserved(items: DataFrame, reserved: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of `items` whose title holds no reserved text; see `reserved_in_titles`. All columns stay, no row moves."""
+    """The rows of `items` whose title holds no reserved text; see `reserved_in_titles`. All columns stay, whatever their
+    names, and no row moves. NULL and empty titles stay; repeated rows stay or go alike; an empty table on either side drops nothing."""
     for index in _blocks(reserved):
         items = _clean(items, index, coverage)
     return items
@@ -184,11 +185,12 @@ def without_reserved(items: DataFrame, reserved: DataFrame, *, coverage: float =
 def _clean(items: DataFrame, index: Reserved, coverage: float) -> DataFrame:
     given = items.sparkSession.sparkContext.broadcast(index)
     names = items.columns
+    lower = free_name(names, "_lower")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_lower"):
+        for part in slices(batches, lower):
             keep = np.ones(part.num_rows, bool)
             keep[[f[0] for f in matches(part.column(len(names)), given.value, coverage)]] = False
             yield part.select(names).filter(pa.array(keep))
 
-    return items.withColumn("_lower", F.lower("title")).mapInArrow(run, items.schema)
+    return items.withColumn(lower, F.lower("title")).mapInArrow(run, items.schema)

@@ -26,6 +26,14 @@ CHUNK_BYTES = 2 << 20
 U64 = np.uint64
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """`wish`, with underscores in front until no column has that name; Spark's names know no case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets of the rows in them) of a text column; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -133,3 +133,13 @@ def test_repeated_rows_lose_their_windows_but_once(spark):
     assert sorted((str(r.manifest_id), r.n_lines, r.n_removed, r.kept_body) for r in got) == [
         ("1", 4, 0, "a\nb\nc\nd"), ("1", 4, 4, ""), ("1", 4, 4, ""), ("2", 4, 3, "x"), ("3", 2, 0, "a\nb"), ("3", 2, 0, "a\nb"),
         ("None", 3, 0, "p\nq\nr"), ("None", 3, 3, "")]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, "c", None)], "item_id bigint, title string, site string")
+    for name in ("_draw", "_site", "_copy", "_w"):
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("title")))
+    out = mixing.emit_mix(mixing.mix_sites(df))
+    assert out.columns == df.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got and got <= {tuple(r) for r in df.collect()}

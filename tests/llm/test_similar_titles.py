@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from pyspark.sql import functions as F
+
 from mediatally.llm import components, simhash
 
 from .data import frame, odd_rows, words
@@ -84,13 +86,23 @@ def test_similar_titles_equal_brute_force(spark):
     assert sorted(((str(r.item_id), r.component_id, r.mark % 2**64) for r in got), key=str) == want
 
 
-def test_keep_one_leaves_one_of_each_class(spark):
+def test_keep_one_leaves_one_row_of_each_class(spark):
     rows = titles()
     df = frame(spark, rows)
-    classes = {r.component_id for r in simhash.similar_titles(df).collect() if r.item_id is not None}
+    of = {r.item_id: r.component_id for r in simhash.similar_titles(frame(spark, [(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        place = (i is None, i or 0)
+        least[of[k]] = min(least.get(of[k], place), place)
     kept = simhash.keep_one(df).collect()
-    assert sorted(r.item_id for r in kept if r.item_id is not None) == sorted(classes)
-    assert sum(r.item_id is None for r in kept) == 2 and kept[0].asDict().keys() == set(df.columns)
+    assert sorted((r.item_id is None, r.item_id or 0) for r in kept) == sorted(least.values()) and kept[0].asDict().keys() == set(df.columns)
+
+
+def test_keep_one_keeps_rows_not_ids(spark):
+    texts = [" ".join(words(random.Random(s), 40)) for s in (1, 2)]
+    rows = [(7, texts[0], "a"), (7, texts[1], "b"), (7, texts[1], "b"), (None, texts[0], "c"), (None, " ".join(words(random.Random(3), 40)), "d"), (9, texts[1], "e")]
+    df = spark.createDataFrame(rows, "item_id bigint, title string, row_key string").withColumn("_kept", F.lit(1))
+    assert sorted((r.row_key, r._kept) for r in simhash.keep_one(df).collect()) == [("a", 1), ("b", 1), ("d", 1)]
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

@@ -135,3 +135,10 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_without_reserved_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([(1, text, "x"), (2, "quite other words", "y"), (3, None, "z")], "item_id bigint, title string, _lower string")
+    reserved = spark.createDataFrame([(1, text)], "reserved_id bigint, text string")
+    assert sorted(map(tuple, tiling.without_reserved(df, reserved).collect())) == [(2, "quite other words", "y"), (3, None, "z")]
