@@ -274,6 +274,9 @@ def keep_one(items: DataFrame) -> DataFrame:
     """
     row = free_name(items.columns, "row_key")
     key = F.struct(F.col("item_id").isNull().alias("u"), F.col("item_id").alias("id"), F.xxhash64("title").alias("h"))
+    # as one text, by which both the join and the last step deal out the rows
+    text = lambda of_id, of_title: F.concat_ws("|", of_title.cast("string"), of_id.cast("string"))
     found = similar_titles(items.select(key.alias("item_id"), "title"))
-    kept = found.filter("item_id = component_id").select(F.col("item_id").alias(row)).distinct()
-    return items.withColumn(row, key).join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
+    kept = found.filter("item_id = component_id").select(text(F.col("item_id.id"), F.col("item_id.h")).alias(row)).distinct()
+    named = items.withColumn(row, text(F.col("item_id"), F.xxhash64("title"))).join(kept, row, "left_semi")
+    return named.dropDuplicates([row]).drop(row)
